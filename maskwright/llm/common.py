@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
+_WORD = re.compile(WORD)
+#: White space to str.split() that is part of a word here.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words(text: str) -> list[str]:
+    """The words of a text; str.split() is many times faster than the pattern and the same where no odd space occurs."""
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ covered, and the characters of covered words are the repetition coverage of that
 
 A document fails the base rules when it has under 50 words or over half of its words stand in repeated 3-word windows.
 It fails the method's rules when, for one of the lengths, the share of characters inside duplicated windows is over that
-length's bound, or lines equal to an earlier line hold more characters than their bound.
+length's bound, lines equal to an earlier line hold more characters than their bound, or there are too many symbols.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; ids may be null or repeated;
 other columns are not read.
@@ -22,22 +22,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from maskwright.llm.common import WORD, text_of
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import text_of, words
+
 
 @dataclass(frozen=True)
 class Rules:
-    """Bounds: least words, share of words in repeated 3-word windows, share of characters covered by duplicated windows of n words, share of characters in duplicated lines."""
+    """Bounds: least words, symbols for each word, share of words in repeated 3-word windows, share of characters covered by duplicated windows of n words, share of characters in duplicated lines."""
 
     least_words: int = 50
     repeat_percent: int = 50
-    covered: tuple[tuple[int, float], ...] = ((5, 0.35), (7, 0.32), (10, 0.30))
+    symbols_per_word: float = 0.1
+    covered: tuple[tuple[int, float], ...] = ((5, 0.50), (7, 0.48), (10, 0.45))
     line_chars: float = 0.30
 
 
-_WORDS = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered double, dup_line_share double"
@@ -48,49 +48,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every window of n words: sum of word hash times base**(n-1-k), rolled from the shorter window."""
-    if len(words) < n:
-        return words[:0]
-    h = words[: len(words) - n + 1].copy()
+    if len(hashes) < n:
+        return hashes[:0]
+    h = hashes[: len(hashes) - n + 1].copy()
     for k in range(1, n):
-        h = h * _BASE + words[k : len(words) - n + 1 + k]
+        h *= _BASE
+        h += hashes[k : len(hashes) - n + 1 + k]
     return _mix(h)
 
 
-def repeated(words: np.ndarray, n: int) -> np.ndarray:
+def repeated(hashes: np.ndarray, n: int) -> np.ndarray:
     """Which words stand in a window of n words that is found twice or more in the text."""
-    h = window_hashes(words, n)
-    marks = np.zeros(len(words) + 1, np.int64)
-    if len(h) > 1:
-        order = np.sort(h)
-        twice = order[1:][order[1:] == order[:-1]]
-        if len(twice):
-            at = np.flatnonzero(np.isin(h, twice))
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + n, -1)
-    return np.cumsum(marks[:-1]) > 0
+    h = window_hashes(hashes, n)
+    covered = np.zeros(len(hashes), bool)
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice):
+        at = np.flatnonzero(np.isin(h, twice))
+        for k in range(n):
+            covered[at + k] = True
+    return covered
 
 
 def measure(text: str, rules: Rules) -> tuple:
-    words = _WORDS.findall(text)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashes = _mix(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64))
+    found = words(text)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    hashes = _mix(np.fromiter(map(hash, found), np.int64, len(found)).view(np.uint64))
     seen: set[str] = set()
     dup_lines = dup_chars = 0
     for line in text.split("\n"):
         if line in seen:
             dup_lines += 1
-            dup_chars += sum(map(len, _WORDS.findall(line)))
-        elif _WORDS.search(line):
+            dup_chars += sum(map(len, words(line)))
+        elif words(line):
             seen.add(line)
-    chars, n = int(sizes.sum()), len(words)
+    chars, n = int(sizes.sum()), len(found)
     n_repeat = int(repeated(hashes, 3).sum())
     failed = n < rules.least_words or 100 * n_repeat > rules.repeat_percent * n
     shares = [int(sizes[repeated(hashes, k)].sum()) / chars if chars else 0.0 for k, _ in rules.covered]
     line_share = dup_chars / chars if chars else 0.0
-    kept = not failed and line_share <= rules.line_chars and all(s <= most for s, (_, most) in zip(shares, rules.covered))
-    return n, chars, len(_SYMBOLS.findall(text)), dup_lines, n_repeat, failed, kept, max(shares), line_share
+    n_symbols = len(_SYMBOLS.findall(text))
+    kept = not failed and n_symbols <= rules.symbols_per_word * n and line_share <= rules.line_chars and all(s <= most for s, (_, most) in zip(shares, rules.covered))
+    return n, chars, n_symbols, dup_lines, n_repeat, failed, kept, max(shares), line_share
 
 
 def check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
