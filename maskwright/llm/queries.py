@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat_format, html_extract, quality_rules, secret_scan
+from maskwright.llm import best_fit_packing, chat_format, html_extract, quality_rules, secret_scan
 from maskwright.llm.common import table
 
 
@@ -26,7 +27,11 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op6_chat_format, op7_html_extract)
+    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op6_chat_format, op7_html_extract, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
