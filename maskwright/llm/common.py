@@ -24,6 +24,10 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text) if _ODD.search(text) else text.split()
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(text)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, quality_rules, secret_scan
+from maskwright.llm import best_fit_packing, chat_format, html_extract, quality_rules, secret_scan, source_mixing
 from maskwright.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -32,6 +36,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op6_chat_format, op7_html_extract, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
