@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, quality_rules, secret_scan, source_mixing
+from maskwright.llm import best_fit_packing, chat_format, html_extract, language_id, quality_rules, secret_scan, source_mixing
 from maskwright.llm.common import table
 
 
@@ -31,11 +31,15 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
