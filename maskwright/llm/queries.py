@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, language_id, quality_rules, secret_scan, source_mixing
+from maskwright.llm import best_fit_packing, chat_format, html_extract, language_id, quality_rules, secret_scan, source_mixing, toxicity
 from maskwright.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
