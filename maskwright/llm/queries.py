@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, language_id, quality_rules, secret_scan, source_mixing, toxicity
+from maskwright.llm import best_fit_packing, chat_format, html_extract, kd_search, language_id, quality_rules, secret_scan, source_mixing, toxicity
 from maskwright.llm.common import table
 
 
@@ -23,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check(table(spark, sf_dir, "documents"))
 
 
+def op4_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}
