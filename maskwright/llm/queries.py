@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, kd_search, language_id, quality_rules, secret_scan, source_mixing, toxicity
+from maskwright.llm import best_fit_packing, chat_format, html_extract, kd_search, language_id, ngram_join, quality_rules, secret_scan, source_mixing, toxicity
 from maskwright.llm.common import table
 
 
@@ -44,11 +44,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op9_ngram_join, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op9_ngram_join": ngram_join.SQL, "op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}
