@@ -55,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWER = np.ones(64, np.uint64)
+_POWER = np.zeros(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
