@@ -129,10 +129,10 @@ def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: s
     return np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows], np.float32).reshape(len(rows), DIMS), [k for k, _ in rows]
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, ``p_<name>`` payload, lang_pred, score."""
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """One row per input row: id, ``text`` if asked for, ``p_<name>`` payload, lang_pred, score."""
     read = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *(F.col(c).alias(f"p_{c}") for c in payload))
-    kept = [c for c in read.columns if c != "text"]
+    kept = [c for c in read.columns if keep_text or c != "text"]
     schema = read.select(kept).schema.add("lang_pred", "string").add("score", "double")
     languages, matrix = np.array(model.languages + [UND], object), model.matrix
 

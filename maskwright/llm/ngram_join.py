@@ -298,6 +298,25 @@ def digest(df: DataFrame, **kw) -> DataFrame:
     return join(df, **kw)[0].select("doc_id", "n_shingles", "component_id")
 
 
+
+def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of df that stay: of each component the one with the smallest id (then text hash), of repeated rows one; rows without words all stay.
+
+    Rows that go, and repeated ones, are few beside the rest; their keys are broadcast if a count shows that they are at most
+    ``MAX_BROADCAST``, else joined.
+    """
+    found = materialize(join(df, id_col, text_col, **kw)[0].filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), F.first("component").alias("component")), "found")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
+    marked = found.join(kept, "component").withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash")))).filter("goes or times > 1")
+    marks = materialize(marked.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "goes"), "marks")
+    small = marks.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text_of(text_col)).alias("k_hash"))
+    on = F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_hash") == F.col("m_hash"))
+    seen = own.join(F.broadcast(marks) if small else marks, on, "left")
+    once = seen.filter("goes is not null and not goes").dropDuplicates(["k_id", "k_hash"])
+    return seen.filter("goes is null").unionByName(once).select("row.*")
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id,
