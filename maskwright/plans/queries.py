@@ -535,7 +535,7 @@ def e3_span_rect(spark, sf_dir):
     return _flat(_boxes(spark, sf_dir), "doc_id", "line_no")
 
 
-@query("SELECT doc_id, round((length(text) - len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]'))) * 0.55 + len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]')), 4) AS width FROM documents")
+@query("SELECT doc_id, round(CAST((length(text) - len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]'))) * 0.55 + len(regexp_extract_all(text, '[一-鿿㐀-䶿豈-﫿]')) AS DOUBLE), 4) AS width FROM documents")
 def e2_text_width(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.round(spans.text_width(F.col("text")), 4).alias("width"))
 

@@ -32,7 +32,7 @@ def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
         elif op == "revert":
             action, scope, at = None, None, None
     if action:
-        state.update((action, scope, at.to_pydatetime() if at is not None else None))
+        state.update((action, scope, pd.Timestamp(at).to_pydatetime() if at is not None else None))
     elif state.exists:
         state.remove()
     yield pd.DataFrame({"hit_id": [key[0]], "action": [action], "scope": [scope], "promoted_at": [at], "deleted": [action is None]}).astype({"promoted_at": "datetime64[us]"})

@@ -65,13 +65,13 @@ def s3_stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s4_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = stream_of(spark, sf_dir, "events").select("ts", F.col("event_type").alias("rule_name"))
+    hits = stream_of(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("rule_name"))
     out = run(jobs.stream_counts(hits, width="1 day", late="2 days"), "update")
     return out.groupBy("window_start", "rule_name").agg(F.max_by("hits", "batch").alias("hits"))
 
 
 def s5_stream_dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = stream_of(spark, sf_dir, "events").select("ts", F.concat_ws("|", "user_id", "event_type").alias("hit_id"))
+    hits = stream_of(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("|", "user_id", "event_type").alias("hit_id"))
     return run(jobs.stream_dedupe_hits(hits, late="365 days").select("hit_id"), "append").drop("batch")
 
 
