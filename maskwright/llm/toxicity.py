@@ -5,8 +5,10 @@ mean of their embeddings, so a misspelling that was never seen shares most of it
 window are averaged and a linear softmax tells toxic from not. A text is as toxic as its most toxic window of ``window`` words: a few insults in a long text would drown in an average over all of it.
 
 Training gets labels only from rows of the training folds: about ``max_docs`` texts of each label, of up to ``max_chars``
-characters each and whole (both are parameters), come to the driver. Embeddings and softmax are trained together by Adam on
-full batches of windows: each text's most toxic one under the model so far, which for clean texts is the hardest one. As the softmax is linear, each bucket's embedding folds into one number; scoring a text is a look-up of word
+characters each and whole (both are parameters), come to the driver. Embeddings and softmax are trained together on full
+batches of windows: each text's most toxic one under the model so far, which for clean texts is the hardest one. Steps have
+momentum and one size for each of the three parameters, set by its largest gradient: n-grams that many texts share move most,
+and those of a single text hardly at all. As the softmax is linear, each bucket's embedding folds into one number; scoring a text is a look-up of word
 scores and a running mean, done inside Arrow batches over whole texts, without a shuffle.
 
 Defined results: null and empty texts have score ``empty_score`` (the base rate of the sample); labels that are null or whose
@@ -123,8 +125,8 @@ class _Bags:
         return out
 
 
-def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, window: int = WINDOW, turns: int = 14, steps: int = 10, rate: float = 0.1, seed: int = 3) -> Model:
-    """Embeddings (buckets x dim) and softmax weights (dim x 2) by Adam on the logistic loss, both classes weighing the same.
+def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, window: int = WINDOW, turns: int = 14, steps: int = 10, rate: float = 0.3, seed: int = 3) -> Model:
+    """Embeddings (buckets x dim) and softmax weights (dim x 2) by momentum on the logistic loss, both classes weighing the same.
 
     Each turn picks windows: of every text the one that is most toxic so far, and of clean texts one at random besides. The
     first picks go by the smoothed log odds of the texts that hold a bucket.
@@ -147,10 +149,10 @@ def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int =
         held[int(label)][np.unique(np.concatenate([of_word(k) for k in np.unique(d)]))] += 1
     odds = np.log((held[1] + 0.5) / (y.sum() + 1)) - np.log((held[0] + 0.5) / (len(y) - y.sum() + 1))
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
+    emb = np.zeros((buckets, dim), np.float32)  # what training never meets stays neutral
     w = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, w, bias)]
+    moments = [[np.zeros_like(p), 0.0] for p in (emb, w, bias)]
     step = 0
     for _ in range(turns):
         scores = word_means(odds, subs, len(vocab))
@@ -173,7 +175,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int =
             grads = (sub.backward(doc.backward(g @ w.T)), vec.T @ g, g.sum(0))
             for param, grad, m in zip((emb, w, bias), grads, moments):
                 m[0] += 0.1 * (grad - m[0])
-                m[1] += 0.01 * (grad * grad - m[1])
+                m[1] += 0.01 * (float((grad * grad).max()) - m[1])
                 param -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
         odds = emb @ (w[:, 1] - w[:, 0])
     return Model(odds.astype(np.float32), float(bias[1] - bias[0]), base, window)
