@@ -106,3 +106,31 @@ def check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, length(unnest(ws)) AS c FROM s),
+p AS (SELECT r, n, list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' ')) AS gs FROM s, (SELECT unnest([3, 5, 7, 10]) AS n) WHERE len(ws) >= n),
+g AS (SELECT r, n, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS g FROM p),
+t AS (SELECT r, n, g FROM g GROUP BY r, n, g HAVING count(*) > 1),
+c AS (SELECT DISTINCT g.r, g.n, g.i + k AS i FROM g JOIN t ON t.r = g.r AND t.n = g.n AND t.g = g.g, (SELECT unnest(range(10)) AS k) WHERE k < g.n),
+v AS (SELECT c.r, c.n, count(*) AS words, sum(w.c) AS chars FROM c JOIN w ON w.r = c.r AND w.i = c.i GROUP BY c.r, c.n),
+l AS (SELECT r, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)),
+e AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+x AS (SELECT r, count(*) AS lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM e WHERE k > 1 GROUP BY r),
+f AS (
+  SELECT s.r, s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(x.lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce((SELECT words FROM v WHERE v.r = s.r AND n = 3), 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce((SELECT chars FROM v WHERE v.r = s.r AND n = 5), 0) AS DOUBLE) AS c5, CAST(coalesce((SELECT chars FROM v WHERE v.r = s.r AND n = 7), 0) AS DOUBLE) AS c7,
+         CAST(coalesce((SELECT chars FROM v WHERE v.r = s.r AND n = 10), 0) AS DOUBLE) AS c10, CAST(coalesce(x.chars, 0) AS DOUBLE) AS lc
+  FROM s LEFT JOIN x ON x.r = s.r),
+h AS (SELECT *, CASE WHEN word_chars > 0 THEN c5 / word_chars ELSE 0 END AS s5, CASE WHEN word_chars > 0 THEN c7 / word_chars ELSE 0 END AS s7,
+  CASE WHEN word_chars > 0 THEN c10 / word_chars ELSE 0 END AS s10, CASE WHEN word_chars > 0 THEN lc / word_chars ELSE 0 END AS dup_line_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_symbols <= 0.1::DOUBLE * n_words AND dup_line_share <= 0.30::DOUBLE AND s5 <= 0.50::DOUBLE AND s7 <= 0.48::DOUBLE AND s10 <= 0.45::DOUBLE AS kept,
+       CAST(greatest(s5, s7, s10) AS DOUBLE) AS covered, CAST(dup_line_share AS DOUBLE) AS dup_line_share
+FROM h
+"""

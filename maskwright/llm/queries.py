@@ -55,4 +55,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op9_ngram_join, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op9_ngram_join": ngram_join.SQL, "op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.SQL, "op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}

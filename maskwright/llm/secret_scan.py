@@ -206,3 +206,40 @@ def mask(df: DataFrame, marker: str = "[SECRET]", payload: tuple[str, ...] = (),
     rest = lambda acc: F.concat(acc["out"], F.substring(acc["t"], (acc["at"] + 1).cast("int"), F.length(acc["t"])))
     masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
     return scan(df, payload=payload, **kw).withColumn("masked", masked)
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _sql() -> str:
+    """SQL for the digest: entropies from each window's own counts, not from running ones."""
+    keys = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"""({keys})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    found = lambda name, source, pattern: f"""{name}0 AS (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs FROM {source} WHERE regexp_matches(text, '{pattern}')),
+{name}1 AS (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM {name}0),
+{name} AS (SELECT r, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM {name}1)"""
+    parts = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)", found("a", "d", assign), found("k", "d", BASE[1][1]), found("x", "d", BASE[2][1])]
+    base = " UNION ALL ".join(f"SELECT r, s, {k} AS o, s + length(m) AS e, '{n}' AS kind FROM {t}{where}" for k, (n, t, where) in enumerate((("assign", "a", f" WHERE length(regexp_extract(m, '{assign}', 2)) >= 6"), ("access", "k", ""), ("hex", "x", ""))))
+    parts.append(f"b0 AS ({base})")
+    for k, c in enumerate(CLASSES):
+        letters = "[" + "".join(sorted(set(c.letters) - {"-"})).replace("0123456789", "0-9").replace(_AZ, "A-Z").replace(_AZ.lower(), "a-z") + ("-" if "-" in c.letters else "") + "]"
+        allowed = " OR ".join([f"contains(lower(m), '{a.lower()}')" for a in ALLOW] + [f"regexp_matches(m, '{p.replace('^(?i)', '(?i)^')}')" for p in ALLOW_PATTERNS])
+        parts += [
+            found(f"c{k}", "d", f"{letters}{{{c.window},}}"),
+            f"n{k} AS (SELECT r, s, m FROM c{k} WHERE NOT ({allowed}))",
+            f"w{k} AS (SELECT r, s, m, unnest(range(length(m) - {c.window} + 1)) AS i FROM n{k})",
+            f"u{k} AS (SELECT r, s, i, unnest(string_split(m[i + 1:i + {c.window}], '')) AS ch FROM w{k})",
+            f"q{k} AS (SELECT r, s, i, count(*) AS n FROM u{k} GROUP BY r, s, i, ch)",
+            f"h{k} AS (SELECT r, s, i FROM q{k} GROUP BY r, s, i HAVING -sum(n / {c.window}.0::DOUBLE * log2(n / {c.window}.0::DOUBLE)) >= {c.bits} - 1e-9)",
+            f"g{k} AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r, s ORDER BY i) <= {c.window} THEN 0 ELSE 1 END AS cut FROM h{k})",
+            f"j{k} AS (SELECT *, sum(cut) OVER (PARTITION BY r, s ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM g{k})",
+            f"e{k} AS (SELECT r, s + min(i) AS s, {len(BASE) + k} AS o, s + max(i) + {c.window} AS e, '{c.kind}' AS kind FROM j{k} GROUP BY r, s, island)",
+            f"b{k + 1} AS (SELECT * FROM b{k} UNION ALL SELECT * FROM e{k} WHERE NOT EXISTS (SELECT 1 FROM b{k} y WHERE y.r = e{k}.r AND y.s <= e{k}.s AND y.e >= e{k}.e))",
+        ]
+    listed_ = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e)"
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{n}') AS BIGINT) AS n_{n}" for n, *_ in BASE)
+    return f"WITH {', '.join(parts)} SELECT d.doc_id, {counts}, sha256({listed_} FILTER (WHERE o < {len(BASE)}), '')) AS base_sha256, {listed_} FILTER (WHERE o IS NOT NULL), '') AS spans FROM d LEFT JOIN b{len(CLASSES)} z ON z.r = d.r GROUP BY d.r, d.doc_id"
+
+
+SQL = _sql()
