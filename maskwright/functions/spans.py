@@ -44,14 +44,25 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+def _starts(text: Column, term: Column) -> Column:
+    """Where the term occurs, overlaps included: the text is cut before each occurrence, and the pieces' lengths add up."""
+    pieces = F.split(text, F.concat(F.lit("(?="), literal(term), F.lit(")")), -1)
+    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["out"])
+
+
 def kept_runs(text: Column, terms: Column) -> Column:
     """What the terms' occurrences leave of the text, as spans. Occurrences are case-sensitive and may overlap; blank terms count for nothing.
 
     An empty text without terms is kept as one empty span; an empty text with terms is not kept.
     """
     real = F.filter(terms, lambda t: t.isNotNull() & (F.trim(t) != ""))
-    places = lambda t: F.filter(F.sequence(F.lit(1), F.length(text) - F.length(t) + 1), lambda i: F.substring(text, i, F.length(t)) == t)
-    hits = lambda t: F.when(F.contains(text, t), F.transform(places(t), lambda i: F.struct((i - 1).alias("s"), (i - 1 + F.length(t)).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    hits = lambda t: F.when(F.contains(text, t), F.transform(_starts(text, t), lambda i: F.struct(i.alias("s"), (i + F.length(t)).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     covered = F.array_sort(F.flatten(F.transform(real, hits)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     one = lambda s, e: F.array(F.struct(s.alias("start"), e.alias("end"), piece(text, s, e).alias("text")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.spans import FLAGS, find_all, literal
 from maskwright.operators.rules import Rule, first_seen
 
+# Names of custom rules, block-list hits and name hits.
 CUSTOM, BLOCK_PREFIX, NAME_RULE = "自定义", "黑名单:", "姓名启发式"
 HIT_COLS = ["doc_id", "location", "start", "end", "text", "source", "channel", "rule_name", "rule_ord", "pattern", "replacement"]
 #: Up to so many terms are held by every task; more are found by a join on their first characters.

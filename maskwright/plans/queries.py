@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans
@@ -124,19 +124,19 @@ def a6_rules_from_config(spark, sf_dir):
 
 @query("""
 SELECT coalesce(d.k, u.k) AS rule_name, coalesce(u.pattern, d.pattern) AS pattern, coalesce(u.enabled, d.enabled) AS enabled
-FROM (SELECT p_partkey AS k, p_type AS pattern, true AS enabled FROM part WHERE p_partkey % 2 = 0) d
-FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_brand END AS pattern, false AS enabled FROM part WHERE p_partkey % 3 = 0) u ON d.k = u.k""")
+FROM (SELECT p_partkey AS k, p_type AS pattern, true AS enabled FROM part WHERE p_type <> 'ECONOMY') d
+FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_brand END AS pattern, false AS enabled FROM part WHERE p_size > 10) u ON d.k = u.k""")
 def a7_overlay_rules(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     one = lambda df, pattern, on: df.select(F.col("p_partkey").alias("rule_name"), pattern.alias("pattern"), F.lit(on).alias("enabled"))
-    return config.overlay_rules(one(p.filter("p_partkey % 2 = 0"), F.col("p_type"), True), one(p.filter("p_partkey % 3 = 0"), F.when(F.col("p_size") > 25, F.col("p_brand")), False))
+    return config.overlay_rules(one(p.filter("p_type <> 'ECONOMY'"), F.col("p_type"), True), one(p.filter("p_size > 10"), F.when(F.col("p_size") > 25, F.col("p_brand")), False))
 
 
-@query("SELECT o_orderkey, 0 AS rule_index, o_orderstatus = 'F' AS enabled, 'exact' AS mode, o_orderpriority AS find, o_orderstatus AS replace FROM orders WHERE o_orderkey % 4 <> 0")
+@query("SELECT o_orderkey, 0 AS rule_index, o_orderstatus = 'F' AS enabled, 'exact' AS mode, o_orderpriority AS find, o_orderstatus AS replace FROM orders WHERE o_orderstatus <> 'P'")
 def a8_import_replace_rules(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     rule = F.struct((F.col("o_orderstatus") == "F").alias("enabled"), F.lit("exact").alias("mode"), F.col("o_orderpriority").alias("find"), F.col("o_orderstatus").alias("replace"))
-    text = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 == 0, 2).otherwise(1).alias("version"), F.array(rule).alias("rules")))
+    text = F.to_json(F.struct(F.when(F.col("o_orderstatus") == "P", 2).otherwise(1).alias("version"), F.array(rule).alias("rules")))
     return config.import_replace_rules(o.select("o_orderkey", text.alias("config")), "config", ("o_orderkey",))
 
 
@@ -206,7 +206,7 @@ def _stored(spark, sf_dir) -> DataFrame:
     )
 
 
-STORED = """st AS (SELECT event_id AS ord, 'd|' || user_id AS hit_id, CASE WHEN event_type = 'click' THEN 'confirm' ELSE 'ignore' END AS action,
+STORED = """st AS (SELECT value, event_id AS ord, 'd|' || user_id AS hit_id, CASE WHEN event_type = 'click' THEN 'confirm' ELSE 'ignore' END AS action,
   CASE WHEN event_type = 'signup' THEN 'permanent' WHEN event_type = 'purchase' THEN 'forever' ELSE 'session' END AS scope,
   event_type NOT IN ('error', 'purchase') AND CAST(trunc(value - 1) AS INTEGER) >= 0 AND (event_type <> 'signup' OR user_id % 2 = 0) AS good FROM events)"""
 
@@ -216,22 +216,22 @@ def d10_restore_overrides(spark, sf_dir):
     return overrides.restore_overrides(_stored(spark, sf_dir))[0].select("ord", "hit_id", "action", "scope")
 
 
-@query(f"""WITH {STORED}, cur AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND ord < 2000 GROUP BY hit_id),
-nw AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND ord >= 2000 GROUP BY hit_id)
+@query(f"""WITH {STORED}, cur AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND trunc(value - 1) < 19 GROUP BY hit_id),
+nw AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND trunc(value - 1) >= 19 GROUP BY hit_id)
 SELECT * FROM nw UNION ALL SELECT * FROM cur WHERE hit_id NOT IN (SELECT hit_id FROM nw)""")
 def a10_load_overrides(spark, sf_dir):
     rows = _stored(spark, sf_dir)
-    cur = overrides.load_overrides(rows.filter("false"), rows.filter("ord < 2000"))
-    return overrides.load_overrides(cur, rows.filter("ord >= 2000")).select("hit_id", "action", "scope")
+    cur = overrides.load_overrides(rows.filter("false"), rows.filter("end < 19"))
+    return overrides.load_overrides(cur, rows.filter("end >= 19")).select("hit_id", "action", "scope")
 
 
-@query(f"""WITH {STORED}, cur AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND ord < 2000 GROUP BY hit_id),
-nw AS (SELECT hit_id, max_by(action, ord) AS action, 'permanent' AS scope FROM st WHERE good AND scope = 'permanent' AND ord >= 2000 GROUP BY hit_id)
+@query(f"""WITH {STORED}, cur AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND trunc(value - 1) < 19 GROUP BY hit_id),
+nw AS (SELECT hit_id, max_by(action, ord) AS action, 'permanent' AS scope FROM st WHERE good AND scope = 'permanent' AND trunc(value - 1) >= 19 GROUP BY hit_id)
 SELECT * FROM nw UNION ALL SELECT * FROM cur WHERE scope <> 'permanent' AND hit_id NOT IN (SELECT hit_id FROM nw)""")
 def a10_replace_overrides(spark, sf_dir):
     rows = _stored(spark, sf_dir)
-    cur = overrides.load_overrides(rows.filter("false"), rows.filter("ord < 2000"))
-    return overrides.replace_overrides(cur, rows.filter("ord >= 2000")).select("hit_id", "action", "scope")
+    cur = overrides.load_overrides(rows.filter("false"), rows.filter("end < 19"))
+    return overrides.replace_overrides(cur, rows.filter("end >= 19")).select("hit_id", "action", "scope")
 
 
 # ---- rules and terms -----------------------------------------------------------------------------------------------
@@ -399,8 +399,8 @@ def c15_inject_names(spark, sf_dir):
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    d = t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.lit(0).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).when(F.col("doc_id") % 3 == 1, F.lit(" ")).otherwise(F.col("text")).alias("text"), (F.col("doc_id") % 2 == 0).alias("has_images"))
+    """Each document line as a page; it has an image block if it holds a comma."""
+    return blocks(spark, sf_dir).select("doc_id", F.col("block_no").alias("page"), "text", F.contains("text", F.lit(",")).alias("has_images"))
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -413,11 +413,11 @@ def _lines(spark, sf_dir) -> DataFrame:
     return b.select("doc_id", F.lit(0).alias("page"), F.lit("raw").alias("pass"), F.col("block_no").alias("line_no"), "text", box.alias("box"))
 
 
-@query(f"""WITH {BLOCKS}, l AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY block_no) AS ls FROM b WHERE text <> '' GROUP BY doc_id),
-pg AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN ' ' ELSE text END AS text, doc_id % 2 = 0 AS img FROM documents)
-SELECT pg.doc_id, CASE WHEN length(trim(text)) < 50 AND img AND ls IS NOT NULL THEN ls ELSE text END AS text FROM pg LEFT JOIN l ON l.doc_id = pg.doc_id""")
+@query(f"""WITH {BLOCKS} SELECT doc_id, block_no AS page, CASE WHEN length(trim(text)) < 50 AND contains(text, ',') THEN replace(text, ' ', chr(10)) ELSE text END AS text FROM b""")
 def c16_name_source_text(spark, sf_dir):
-    return names.name_source_text(_pages(spark, sf_dir), _lines(spark, sf_dir)).select("doc_id", "text")
+    pages = _pages(spark, sf_dir)
+    words = pages.select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("line_no", "text"))
+    return names.name_source_text(pages, words).select("doc_id", "page", "text")
 
 
 @query("""
@@ -435,11 +435,12 @@ def c18_attach_rule_name(spark, sf_dir):
     return detect.attach_rule_name(hits, rows).select("l_orderkey", "l_linenumber", "rule_name")
 
 
-@query("""WITH p AS (SELECT doc_id, doc_id % 3 <> 1 AS txt, doc_id % 4 = 0 AS img FROM documents)
-SELECT doc_id, 'text' AS channel FROM p WHERE txt UNION ALL SELECT doc_id, 'image' FROM p WHERE img UNION ALL SELECT doc_id, 'page' FROM p WHERE NOT txt AND NOT img""")
+@query(f"""WITH {BLOCKS}, p AS (SELECT doc_id, block_no AS page, trim(text) <> '' AS txt, contains(text, ',') AS img FROM b)
+SELECT doc_id, page, 'text' AS channel FROM p WHERE txt UNION ALL SELECT doc_id, page, 'image' FROM p WHERE img UNION ALL SELECT doc_id, page, 'page' FROM p WHERE NOT txt AND NOT img""")
 def c19_pick_channels(spark, sf_dir):
-    images = t(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("block_no"))
-    return detect.pick_channels(_pages(spark, sf_dir), images).select("doc_id", "channel")
+    pages = _pages(spark, sf_dir)
+    images = pages.filter("has_images").select("doc_id", "page", F.explode(F.array(F.lit(1), F.lit(2))).alias("block_no"))
+    return detect.pick_channels(pages, images)
 
 
 @query(f"WITH {BLOCKS}, " + sql_spans("c", "b", "[0-9]+", CARD_KEEP, "doc_id, block_no") + ", ps AS (SELECT unnest(['raw', 'enhanced']) AS pass) SELECT doc_id, pass, block_no AS line_no, start, m AS text FROM c, ps")
@@ -471,11 +472,12 @@ def d2_drop_allowed(spark, sf_dir):
     return lists.apply_allow_list(hits, spark.createDataFrame([("44",), ("mail",)], "term string"), False).select("doc_id", "location", "start", "text")
 
 
-@query("SELECT doc_id, i AS run_no, r AS text FROM (SELECT doc_id, unnest(range(1, len(rs) + 1)) - 1 AS i, unnest(rs) AS r FROM (SELECT doc_id, list_filter(string_split_regex(substr(text, 1, 200), 'the|an'), lambda x: x <> '') AS rs FROM documents))")
+@query(f"""WITH {BLOCKS}, k AS (SELECT doc_id, location, list_filter(string_split_regex(text, 'the|an'), lambda x: x <> '') AS rs FROM b WHERE text <> '')
+SELECT doc_id, location, unnest(range(1, len(rs) + 1)) - 1 AS run_no, unnest(rs) AS text FROM k""")
 def d1_split_by_allow_list(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    runs = lists.split_by_allow_list(F.substring("text", 1, 200), F.array(F.lit("the"), F.lit("an")))
-    return d.select("doc_id", F.posexplode(runs).alias("i", "r")).select("doc_id", F.col("i").cast("long").alias("run_no"), F.col("r.text").alias("text"))
+    runs = lists.split_by_allow_list(F.col("text"), F.array(F.lit("the"), F.lit("an")))
+    cut = blocks(spark, sf_dir).select("doc_id", "location", F.posexplode(runs).alias("i", "r"))
+    return cut.select("doc_id", "location", F.col("i").cast("long").alias("run_no"), F.col("r.text").alias("text"))
 
 
 @query(HITS + f""", tm AS (SELECT unnest(['token', 'password']) AS term), p AS (SELECT doc_id, location, term, string_split(text, term) AS gs FROM b JOIN tm ON contains(text, term)),
@@ -494,18 +496,22 @@ def d5_with_hit_id(spark, sf_dir):
 
 
 def decisions(spark, sf_dir) -> DataFrame:
-    """Every third document's hits are ignored, every other third's confirmed."""
-    h = overrides.with_hit_id(detect.find_spans(blocks(spark, sf_dir), PII), "doc_id").filter("doc_id % 3 <> 2")
-    return h.select("hit_id", F.when(F.col("doc_id") % 3 == 0, "ignore").otherwise("confirm").alias("action")).distinct()
+    """Hits in labelled documents: confirmed in documents of good quality, ignored in others."""
+    h = overrides.with_hit_id(detect.find_spans(blocks(spark, sf_dir), PII), "doc_id")
+    good = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return h.join(good, "doc_id").select("hit_id", F.when(F.col("quality") == 1, "confirm").otherwise("ignore").alias("action")).distinct()
+
+
+QUALITY = ", lq AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
 
 
-@query(HITS + " SELECT doc_id, location, start FROM h WHERE doc_id % 3 <> 0")
+@query(HITS + QUALITY + " SELECT h.doc_id, location, start FROM h LEFT JOIN lq ON lq.doc_id = h.doc_id WHERE quality IS NULL OR quality = 1")
 def d6_filter_overridden(spark, sf_dir):
     hits = overrides.with_hit_id(detect.find_spans(blocks(spark, sf_dir), PII), "doc_id")
     return overrides.filter_overridden(hits, decisions(spark, sf_dir)).select("doc_id", "location", "start")
 
 
-@query(HITS + " SELECT doc_id, location, start, doc_id % 3 = 1 AS confirmed FROM h")
+@query(HITS + QUALITY + " SELECT h.doc_id, location, start, coalesce(quality = 1, false) AS confirmed FROM h LEFT JOIN lq ON lq.doc_id = h.doc_id")
 def d11_annotate_hits(spark, sf_dir):
     hits = overrides.with_hit_id(detect.find_spans(blocks(spark, sf_dir), PII), "doc_id")
     return overrides.annotate_hits(hits, decisions(spark, sf_dir)).select("doc_id", "location", "start", "confirmed")
@@ -568,32 +574,25 @@ def e5_clip_to_page(spark, sf_dir):
     return _flat(b.withColumn("rect", geometry.clip_to_page(F.col("rect"), clip)), "doc_id", "line_no")
 
 
+_CELL_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
 def _cells(spark, sf_dir) -> DataFrame:
     """Line items as boxes of an order's page: five lines of boxes at places by part."""
-    li = t(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = t(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_CELL_ORDER)))
     box = geometry.rect(F.col("l_partkey") % 400, (F.col("l_suppkey") % 5) * 20, F.col("l_quantity"), F.lit(12))
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("ord"), ((F.col("l_suppkey") % 5) * 20.0 + 6).alias("y_center"), box.alias("rect"), F.col("l_returnflag").alias("text"), F.lit("ocr").alias("source"), F.col("l_linestatus").alias("rule_name"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("k").alias("ord"), ((F.col("l_suppkey") % 5) * 20.0 + 6).alias("y_center"), box.alias("rect"), F.col("l_returnflag").alias("text"), F.lit("ocr").alias("source"), F.col("l_linestatus").alias("rule_name"))
 
 
-CELLS = """ce AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(l_partkey % 400 AS DOUBLE) AS x, CAST(l_suppkey % 5 * 20 AS DOUBLE) AS y, l_quantity AS w, l_returnflag AS text FROM
-  (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1)"""
-
-
-def _unique_cells(spark, sf_dir) -> DataFrame:
-    """Without orders in which a line number comes twice, whose boxes would depend on which row is taken."""
-    li = t(spark, sf_dir, "lineitem")
-    twice = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("l_orderkey").alias("doc_id")).distinct()
-    return _cells(spark, sf_dir).join(twice, "doc_id", "left_anti")
-
-
-CELLS += ", cu AS (SELECT * FROM ce WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))"
+CELLS = f"""cu AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_CELL_ORDER)}) AS INTEGER) AS ord,
+  CAST(l_partkey % 400 AS DOUBLE) AS x, CAST(l_suppkey % 5 * 20 AS DOUBLE) AS y, l_quantity AS w, l_returnflag AS text FROM lineitem)"""
 
 
 @query(f"""WITH {CELLS}, g AS (SELECT *, max(x + w) OVER (PARTITION BY doc_id, y ORDER BY x, w, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cu),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x - reach > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, y ORDER BY x, w, ord ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT doc_id, min(x) AS x, y, max(x + w) - min(x) AS w, CAST(12 AS DOUBLE) AS h FROM i GROUP BY doc_id, y, k""")
 def e6_merge_adjacent(spark, sf_dir):
-    return _flat(geometry.merge_adjacent(_unique_cells(spark, sf_dir)), "doc_id")
+    return _flat(geometry.merge_adjacent(_cells(spark, sf_dir)), "doc_id")
 
 
 @query(HITS + """, s AS (SELECT doc_id, location, start, text, string_split(text, '4') AS gs FROM h), k AS (SELECT doc_id, location, start, text, gs, unnest(range(1, len(gs) + 1)) AS i FROM s)
@@ -604,7 +603,9 @@ def e7_kept_span_rect(spark, sf_dir):
     return hits.select("doc_id", "location", "start", F.round(r["w"], 4).alias("w"), F.round(r["x"], 4).alias("x"))
 
 
-@query(f"""WITH RECURSIVE {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM cu),
+def _collapsed(source: str) -> str:
+    """Groups of touching boxes by recursion over the boxes of a page in order."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM {source}),
 st(doc_id, n, gs) AS (
   SELECT doc_id, CAST(1 AS BIGINT), [struct_pack(fx := x, fy := y, fw := w, x0 := x, y0 := y, x1 := x + w, y1 := y + 12, ord := ord, text := text)] FROM o WHERE n = 1
   UNION ALL
@@ -612,39 +613,40 @@ st(doc_id, n, gs) AS (
     ELSE list_transform(gs, lambda g, k: CASE WHEN k = p THEN struct_pack(fx := g.fx, fy := g.fy, fw := g.fw, x0 := least(g.x0, x), y0 := least(g.y0, y), x1 := greatest(g.x1, x + w), y1 := greatest(g.y1, y + 12), ord := g.ord, text := g.text) ELSE g END) END
   FROM (SELECT s.doc_id, s.gs, o.*, coalesce(list_position(list_transform(gs, lambda g: NOT (g.fx + g.fw + 2 < o.x OR o.x + o.w + 2 < g.fx OR g.fy + 14 < o.y OR o.y + 14 < g.fy)), true), 0) AS p
         FROM st s JOIN o ON o.doc_id = s.doc_id AND o.n = s.n + 1) AS s(doc_id, gs, d2, ord, x, y, w, text, n, p) JOIN (SELECT 1) ON true, LATERAL (SELECT s.n AS n, s.ord AS ord, s.text AS text) AS o),
-z AS (SELECT doc_id, gs FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)
-SELECT doc_id, g.ord AS ord, g.text AS text, g.x0 AS x, g.y0 AS y, g.x1 - g.x0 AS w, g.y1 - g.y0 AS h FROM (SELECT doc_id, unnest(gs) AS g FROM z)""")
+z AS (SELECT doc_id, gs FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {CELLS}, {_collapsed('cu')} SELECT doc_id, g.ord AS ord, g.text AS text, g.x0 AS x, g.y0 AS y, g.x1 - g.x0 AS w, g.y1 - g.y0 AS h FROM (SELECT doc_id, unnest(gs) AS g FROM z)")
 def e8_collapse_touching(spark, sf_dir):
-    return _flat(geometry.collapse_touching(_unique_cells(spark, sf_dir)), "doc_id", "ord", "text")
+    return _flat(geometry.collapse_touching(_cells(spark, sf_dir)), "doc_id", "ord", "text")
 
 
 def _words_as_tokens(spark, sf_dir) -> DataFrame:
-    li = _unique_cells(spark, sf_dir)
+    li = _cells(spark, sf_dir)
     return li.select("doc_id", "page", F.col("ord").alias("tok_no"), F.concat("text", F.col("ord").cast("string")).alias("text"), geometry.rect(F.col("rect.x") - 20, F.col("rect.y"), F.col("rect.w") + 40, F.col("rect.h")).alias("rect"))
 
 
 @query(f"""WITH {CELLS} SELECT c.doc_id, c.ord, (SELECT min_by(t.text || t.ord, t.ord) FROM cu t WHERE t.doc_id = c.doc_id AND t.y = c.y AND c.x + c.w / 2 BETWEEN t.x - 20 AND t.x + t.w + 20) AS resolved FROM cu c""")
 def e9_resolve_text(spark, sf_dir):
-    return geometry.resolve_text(_unique_cells(spark, sf_dir), _words_as_tokens(spark, sf_dir)).select("doc_id", "ord", "resolved")
+    return geometry.resolve_text(_cells(spark, sf_dir), _words_as_tokens(spark, sf_dir)).select("doc_id", "ord", "resolved")
 
 
 @query(f"""WITH {CELLS}, r AS (SELECT c.doc_id, c.ord, (SELECT min_by(t.text || t.ord, t.ord) FROM cu t WHERE t.doc_id = c.doc_id AND t.y = c.y AND c.x + c.w / 2 BETWEEN t.x - 20 AND t.x + t.w + 20) AS res FROM cu c)
 SELECT doc_id, ord FROM r WHERE NOT contains(res, 'A') AND NOT contains(res, '1')""")
 def d3_apply_allow_list_boxes(spark, sf_dir):
-    blank = _unique_cells(spark, sf_dir).withColumn("text", F.lit(""))
+    blank = _cells(spark, sf_dir).withColumn("text", F.lit(""))
     return geometry.apply_allow_list_boxes(blank, _words_as_tokens(spark, sf_dir), F.array(F.lit("A"), F.lit("1"))).select("doc_id", "ord")
 
 
-@query(f"""WITH {CELLS}, c AS (SELECT doc_id, count(*) AS n, min(x - 20) AS x, max(x + w + 20) - min(x - 20) AS w FROM cu WHERE text = 'R' GROUP BY doc_id) SELECT doc_id, x, w FROM c WHERE n = 1""")
+@query(f"""WITH RECURSIVE {CELLS}, r AS (SELECT doc_id, ord, x - 20 AS x, y, w + 40 AS w, text FROM cu WHERE text = 'R'), {_collapsed('r')}
+SELECT doc_id, g.x0 AS x, g.y0 AS y, g.x1 - g.x0 AS w, g.y1 - g.y0 AS h FROM (SELECT doc_id, unnest(gs) AS g FROM z)""")
 def e10_block_list_boxes(spark, sf_dir):
-    found = geometry.block_list_boxes(_words_as_tokens(spark, sf_dir), spark.createDataFrame([("R",)], "term string"))
-    one = _unique_cells(spark, sf_dir).filter("text = 'R'").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
-    return found.join(one, "doc_id").select("doc_id", "rect.x", "rect.w")
+    return _flat(geometry.block_list_boxes(_words_as_tokens(spark, sf_dir), spark.createDataFrame([("R",)], "term string")), "doc_id")
 
 
 @query(f"WITH {CELLS} SELECT DISTINCT doc_id, x, y, round(w / 25) * 25 AS w FROM cu")
 def e11_dedupe_rects(spark, sf_dir):
-    c = _unique_cells(spark, sf_dir).withColumn("rect", geometry.rect(F.col("rect.x"), F.col("rect.y"), F.round(F.col("rect.w") / 25) * 25, F.col("rect.h")))
+    c = _cells(spark, sf_dir).withColumn("rect", geometry.rect(F.col("rect.x"), F.col("rect.y"), F.round(F.col("rect.w") / 25) * 25, F.col("rect.h")))
     return geometry.dedupe_rects(c).select("doc_id", "rect.x", "rect.y", "rect.w")
 
 
@@ -746,10 +748,11 @@ def f7_manual_global(spark, sf_dir):
     return resolve.manual_global(_selections(spark, sf_dir), blocks(spark, sf_dir)).select("doc_id", "location", "start", "text")
 
 
-@query(GLOBAL + " SELECT doc_id, location, start, text FROM gm WHERE doc_id % 3 <> 0 AND NOT (doc_id % 3 = 1 AND location = 'paragraph_0' AND start = 0)")
+@query(GLOBAL + QUALITY + " SELECT gm.doc_id, location, start, text FROM gm LEFT JOIN lq ON lq.doc_id = gm.doc_id WHERE quality IS NULL OR quality = 1 AND NOT (location = 'paragraph_0' AND start = 0)")
 def f8_undo_manual(spark, sf_dir):
     s = _selections(spark, sf_dir)
-    undone = s.filter("doc_id % 3 < 2").withColumn("mode", F.when(F.col("doc_id") % 3 == 0, "global"))
+    good = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    undone = s.join(good, "doc_id").withColumn("mode", F.when(F.col("quality") == 0, "global"))
     return resolve.undo_manual(resolve.manual_global(s, blocks(spark, sf_dir)), undone).select("doc_id", "location", "start", "text")
 
 

@@ -27,6 +27,7 @@ def read_corpus(spark: SparkSession, paths: list[str], fmt: str = "text") -> Dat
     return df.select(*(F.col(c).alias("text" if fmt == "text" else c) for c in df.columns), *meta)
 
 
+# What a path must not hold, and its greatest length.
 META_CHARS = (";", "|", "&", "$", "`", ">", "<", "\n", "\r")
 ESCAPES = ("%00", "%0a", "%0d")
 MAX_PATH = 4096
