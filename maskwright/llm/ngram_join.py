@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialize, text_of
-from maskwright.llm.components import components
+from maskwright.llm.components import components, joined
 
 N, PERCENT, HEAVY, BLOCK, MAX_BROADCAST = 4, 85, 32, 2048, 2_000_000
 PARTS, CELLS = 1024, 1 << 14
@@ -259,8 +259,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
     entries = rows.filter("kind = 1").groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.max("rest").alias("rest"))
     hub = F.min(F.struct((F.col("n") - F.col("shared")).alias("rare"), "sig", "n", "shared", "rest")).alias("hub")
-    lists = entries.groupBy("key").agg(F.count("*").alias("size"), hub).filter("size > 1")
-    listed = materialize(entries.join(lists, "key"), "lists")
+    lists = entries.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), hub).filter("size > 1")
+    listed = materialize(joined(entries, lists, "key", "k").drop("k"), "lists")
     entry = F.struct("sig", "n", "shared", "rest").alias("x")
     few = listed.filter(F.col("size") <= heavy).groupBy("key").agg(F.collect_list(entry).alias("xs"))
     paired = F.flatten(F.transform("xs", lambda a: F.transform(F.filter("xs", lambda b: (b["sig"] > a["sig"]) & _can_link(a, b, percent)), lambda b: F.struct(a["sig"].alias("a"), b["sig"].alias("b")))))
@@ -275,18 +275,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     first = components(links)
 
     rooted = many.join(first.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).drop("hub")
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("key").alias("k"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = rooted.join(split, "key").withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
+    dealt = joined(rooted, split, "key", "k").drop("k").withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     grid = dealt.withColumn("o", other).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o", "size")
     more = grid.groupBy("key", "i", "j").applyInArrow(_open_pairs(percent), "a binary, b binary").distinct()
     late = materialize(_verified(more, sets, percent), "late")
-    joined = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+    whole = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
 
-    of_class = classes.join(joined, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("component"))
-    ids = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(ids, "component").select("sig", "component", "component_id")
+    of_class = classes.join(whole, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("component"))
+    ids = of_class.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id"))
+    named = joined(of_class, ids, "component", "c").select("sig", "component", "component_id")
     out = rows.filter("kind = 0").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "sig")
     full = out.filter("n_shingles > 0").join(named, "sig")
     empty = out.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
@@ -306,8 +306,8 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw)
     ``MAX_BROADCAST``, else joined.
     """
     found = materialize(join(df, id_col, text_col, **kw)[0].filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"), F.first("component").alias("component")), "found")
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
-    marked = found.join(kept, "component").withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash")))).filter("goes or times > 1")
+    kept = found.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
+    marked = joined(found, kept, "component", "c").withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash")))).filter("goes or times > 1")
     marks = materialize(marked.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "goes"), "marks")
     small = marks.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text_of(text_col)).alias("k_hash"))
