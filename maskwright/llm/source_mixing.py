@@ -122,7 +122,7 @@ def _numbers(docs: DataFrame, sources: list[Source]) -> DataFrame:
 
 def located(docs: DataFrame, n_rows: int) -> DataFrame:
     """Documents with the place of their first word in their source's stream (``at``): order is by bucket, id, size."""
-    buckets = max(1, n_rows // max(2000, int(n_rows**0.5)))
+    buckets = max(1, n_rows // max(500, int(n_rows**0.5)))
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
