@@ -41,14 +41,26 @@ def shrink_box(box: Column, x_ratio: float = 0.15, y_ratio: float = 0.1) -> Colu
 
 def span_rect(box: Column, text: Column, start: Column, end: Column, scale: float = 1.0, off_x: float = 0.0, off_w: float = 0.0, adjust: float = 0.0) -> Column:
     """The part of a line's box that a span takes by text width, one unit in on both sides, at least 5 wide before and after scaling; null for an empty text or a box without width."""
-    own = shrink_box(box, adjust, adjust * 0.6)
-    x0, x1 = _side(own, "x", F.array_min), _side(own, "x", F.array_max)
-    y0, y1 = _side(box, "y", F.array_min), _side(box, "y", F.array_max)
-    total = text_width(text)
-    before, match = text_width(piece(text, F.lit(0), start)) / total, text_width(piece(text, start, end)) / total
-    x = (x0 + before * (x1 - x0) + 1) / scale - off_x
-    w = F.greatest(F.lit(MIN_WIDTH), F.greatest(F.lit(MIN_WIDTH), match * (x1 - x0) - 2) / scale - off_w)
-    return F.when((F.length(text) > 0) & (x1 > x0), rect(x, y0 / scale, w, (y1 - y0) / scale))
+    low, high = _side(box, "x", F.array_min), _side(box, "x", F.array_max)
+    inset = (high - low) * adjust / 2
+    values = {
+        "x0": F.when(low + inset >= high - inset, low).otherwise(low + inset),
+        "x1": F.when(low + inset >= high - inset, high).otherwise(high - inset),
+        "y0": _side(box, "y", F.array_min),
+        "y1": _side(box, "y", F.array_max),
+        "total": text_width(text),
+        "before": text_width(piece(text, F.lit(0), start)),
+        "match": text_width(piece(text, start, end)),
+    }
+
+    def of(v: Column) -> Column:
+        width = v["x1"] - v["x0"]
+        x = (v["x0"] + v["before"] / v["total"] * width + 1) / scale - off_x
+        w = F.greatest(F.lit(MIN_WIDTH), F.greatest(F.lit(MIN_WIDTH), v["match"] / v["total"] * width - 2) / scale - off_w)
+        return F.when((F.length(text) > 0) & (width > 0), rect(x, v["y0"] / scale, w, (v["y1"] - v["y0"]) / scale))
+
+    # One value computed once: a struct bound by a lambda keeps the expression small where the box is used many times.
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), of), 0)
 
 
 def clip_to_page(r: Column, clip: Column) -> Column:
