@@ -249,8 +249,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, heavy: int = HEAVY, block: int = BLOCK, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Documents with their class, and the links between classes that were verified.
 
-    Documents: doc_id, n_shingles, sig, text_hash, component_id, component (the component's class; for an empty set its own row
-    stands for itself). Links: a, b (classes). Links inside a component that others already imply may be missing.
+    Documents: doc_id, n_shingles, sig, text_hash, component_id, component (the component's smallest class; null for an
+    empty set, which is a component of its own). Links: a, b (classes). Links inside a component that others already imply may be missing.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     cells, small = _statistics(docs, n, percent)
