@@ -82,37 +82,46 @@ class Model:
     matrix: np.ndarray
 
 
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32)
+
+
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     norm = np.sqrt(np.outer(np.maximum(a.sum(1), 1), np.maximum(b.sum(1), 1)))
     return a @ b.T / norm
 
 
-def fit(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features; landmarks are taken in turn from the languages, in the order given."""
+def fit(packed: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, block: int = 128) -> Model:
+    """Kernel ridge regression on Nyström features; landmarks are taken in turn from the languages, in the order given.
+
+    ``packed`` has the texts' bits, eight to a byte; they are unpacked a block of rows at a time, so that memory follows the
+    landmarks and not the sample.
+    """
     languages = sorted(set(lang))
     by = {k: [i for i, y in enumerate(lang) if y == k] for k in languages}
     turns = [i for r in range(max(map(len, by.values()), default=0)) for k in languages if r < len(by[k]) for i in (by[k][r],)]
-    mark = x[turns[:landmarks]]
+    mark = unpacked(packed[turns[:landmarks]])
     if not len(mark):
-        return Model([], np.zeros((x.shape[1], 0), np.float32))
+        return Model([], np.zeros((DIMS + 1, 0), np.float32))
     values, vectors = np.linalg.eigh(kernel(mark, mark).astype(float))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([kernel(x, mark) @ root, np.ones((len(x), 1))])
+    features = np.vstack([kernel(unpacked(packed[i : i + block]), mark) @ root for i in range(0, len(packed), block)])
+    phi = np.hstack([features, np.ones((len(packed), 1))])
     y = np.where(np.array(lang)[:, None] == np.array(languages)[None], 1.0, -1.0)
     share = np.array([1 / len(by[k]) for k in lang])
     a = phi.T @ (phi * share[:, None]) + ridge * np.eye(phi.shape[1])
     alpha = np.linalg.solve(a, phi.T @ (y * share[:, None]))
-    scaled = mark / np.sqrt(np.maximum(mark.sum(1, keepdims=True), 1))
-    return Model(languages, np.vstack([scaled.T @ (root @ alpha[:-1]), alpha[-1:]]).astype(np.float32))
+    mark /= np.sqrt(np.maximum(mark.sum(1, keepdims=True), 1))
+    return Model(languages, np.vstack([mark.T @ (root @ alpha[:-1]).astype(np.float32), alpha[-1:]]).astype(np.float32))
 
 
 def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int) -> tuple[np.ndarray, list[str]]:
-    """Bits and labels of the training sample, in an order that does not depend on the partitions."""
+    """Packed bits and labels of the training sample, in an order that does not depend on the partitions."""
     labelled = df.filter(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
-        return np.zeros((0, DIMS), np.float32), []
+        return np.zeros((0, DIMS // 8), np.uint8), []
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))))
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
@@ -126,7 +135,7 @@ def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: s
 
     got = picked.mapInArrow(pack, "lang string, bits binary").distinct().limit(4 * per_language * max_languages).collect()
     rows = sorted(((r["lang"], bytes(r["bits"])) for r in got), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
-    return np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows], np.float32).reshape(len(rows), DIMS), [k for k, _ in rows]
+    return np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), DIMS // 8), [k for k, _ in rows]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
