@@ -11,7 +11,8 @@ momentum and one size for each of the three parameters, set by its largest gradi
 and those of a single text hardly at all. As the softmax is linear, each bucket's embedding folds into one number; scoring a text is a look-up of word
 scores and a running mean, done inside Arrow batches over whole texts, without a shuffle.
 
-Defined results: null and empty texts have score ``empty_score`` (the base rate of the sample); labels that are null or whose
+Defined results: null and empty texts and those of white space hold no insult and have score ``EMPTY_SCORE`` whatever the labels
+are (a rate of the sample would be near 0.5 once both labels are thinned); labels that are null or whose
 document is absent are not used; a document with several labels is toxic if one says so; without labels every score is 0;
 ids may repeat; other columns are not read.
 """
@@ -30,6 +31,7 @@ from maskwright.llm.common import fold, text_of, words
 
 BUCKETS, DIM, WINDOW, MAX_DOCS, MAX_CHARS = 1 << 16, 8, 4, 2500, 16000
 CACHED = 400_000
+EMPTY_SCORE = 0.0
 SIZES = (3, 4, 5, 6)
 _EDGES = ".,;:!?*#$%&|()[]\"'"
 
@@ -69,16 +71,15 @@ def word_means(values: np.ndarray, subs: tuple[np.ndarray, np.ndarray], n: int)
 
 @dataclass
 class Model:
-    """Log odds of each bucket, those of an empty window, and the score of a text without words."""
+    """Log odds of each bucket and those of an empty window."""
 
     buckets: np.ndarray
     bias: float
-    empty_score: float
     window: int = WINDOW
 
     def scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
         """Scores of texts; ``known`` holds the word scores met so far."""
-        out = np.full(len(texts), self.empty_score)
+        out = np.full(len(texts), EMPTY_SCORE)
         for i in range(0, len(texts), 256):
             found = [turns_of(t) for t in texts[i : i + 256]]
             if len(known) > CACHED:
@@ -137,7 +138,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int =
     docs, y = [docs[k] for k in on], y[on]
     base = float(y.mean()) if len(y) else 0.0
     if not 0 < base < 1:
-        return Model(np.zeros(buckets, np.float32), -30.0 if base == 0 else 30.0, base, window)
+        return Model(np.zeros(buckets, np.float32), -30.0 if base == 0 else 30.0, window)
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d]) for d in docs]
     subs = subwords(list(vocab), buckets)
@@ -178,7 +179,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int =
                 m[1] += 0.01 * (float((grad * grad).max()) - m[1])
                 param -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
         odds = emb @ (w[:, 1] - w[:, 0])
-    return Model(odds.astype(np.float32), float(bias[1] - bias[0]), base, window)
+    return Model(odds.astype(np.float32), float(bias[1] - bias[0]), window)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int, max_chars: int) -> list[tuple[str, int]]:

@@ -287,3 +287,14 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values()) and len(got) == 404
     assert {r["score"] for r in toxicity.classify(d, lab.filter("false")).collect() if r["doc_id"] is not None} == {r["score"] for r in toxicity.classify(d, lab.filter("false")).collect()}
     assert toxicity.classify(d.filter("false"), lab).count() == 0
+
+
+def test_empty_texts_are_clean_at_any_size(spark):
+    """Also where both labels have more rows than are trained on, and the sample is balanced."""
+    rng = np.random.default_rng(4)
+    texts = [speak(rng, "abcdefgh", 12) + (" rotter" if i % 2 else "") for i in range(300)]
+    d = spark.createDataFrame([*enumerate(texts), (500, None), (501, ""), (502, " \n\t ")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    for most in (10, 20, 40, 80):
+        got = [(r["score"], r["predicted"]) for r in toxicity.classify(d, lab, max_docs=most, turns=1, steps=1).filter("doc_id >= 500").collect()]
+        assert got == [(0.0, 0)] * 3
