@@ -4,10 +4,11 @@ The kernel of two texts counts the letter n-grams (n = 2, 3, 4, over lower-cased
 each once however often it occurs, divided by the root of the product of their numbers: a blended-spectrum presence kernel.
 N-grams are hashed to ``DIMS`` places, so a text is a row of bits.
 
-Training: labelled texts of the training folds are thinned to about ``per_language`` distinct ones for each of the
-``max_languages`` most frequent labels (a bounded sample; both are parameters); their bits, not their texts, come to the
-driver. Landmarks are spread over the languages; ridge regression is solved on the Nyström features of the sample, one
-column per language with targets +1 and -1.
+Training: labelled texts of the training folds are thinned to about ``per_language`` distinct ones for every label, and to
+fewer where there are so many labels that this would pass ``max_rows`` (a bounded sample; both are parameters), but not to
+under ``LEAST_ROWS``; their bits, not their texts, come to the driver. Landmarks are spread over the languages, four for each
+where there are many; ridge regression is solved on the Nyström features of the sample, one column per language with targets
++1 and -1.
 
 Scoring: kernel against the landmarks, then their weights, are both matrices, so their product is taken once and a batch of
 texts costs one matrix product of its bits with a (DIMS x languages) matrix. Texts are scored whole, inside Arrow batches,
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import fold, text_of
 
-DIMS, PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 1 << 15, 400, 256, 64, 1e-2
+DIMS, PER_LANGUAGE, LANDMARKS, MAX_ROWS, LEAST_ROWS, RIDGE = 1 << 15, 400, 256, 25600, 16, 1e-2
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -95,36 +96,41 @@ def fit(packed: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge:
     """Kernel ridge regression on Nyström features; landmarks are taken in turn from the languages, in the order given.
 
     ``packed`` has the texts' bits, eight to a byte; they are unpacked a block of rows at a time, so that memory follows the
-    landmarks and not the sample.
+    landmarks and not the sample. ``landmarks`` is their least number, four for a language the next bound.
     """
     languages = sorted(set(lang))
     by = {k: [i for i, y in enumerate(lang) if y == k] for k in languages}
     turns = [i for r in range(max(map(len, by.values()), default=0)) for k in languages if r < len(by[k]) for i in (by[k][r],)]
-    mark = unpacked(packed[turns[:landmarks]])
+    mark = unpacked(packed[turns[: max(landmarks, 4 * len(languages))]])
     if not len(mark):
         return Model([], np.zeros((DIMS + 1, 0), np.float32))
     values, vectors = np.linalg.eigh(kernel(mark, mark).astype(float))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.vstack([kernel(unpacked(packed[i : i + block]), mark) @ root for i in range(0, len(packed), block)])
-    phi = np.hstack([features, np.ones((len(packed), 1))])
-    y = np.where(np.array(lang)[:, None] == np.array(languages)[None], 1.0, -1.0)
+    of, names = np.array(lang), np.array(languages)
     share = np.array([1 / len(by[k]) for k in lang])
-    a = phi.T @ (phi * share[:, None]) + ridge * np.eye(phi.shape[1])
-    alpha = np.linalg.solve(a, phi.T @ (y * share[:, None]))
+    a, b = ridge * np.eye(root.shape[1] + 1), np.zeros((root.shape[1] + 1, len(languages)))
+    for i in range(0, len(packed), block):
+        features = kernel(unpacked(packed[i : i + block]), mark) @ root
+        phi = np.hstack([features, np.ones((len(features), 1))])
+        weighted = phi * share[i : i + block, None]
+        a += phi.T @ weighted
+        b += weighted.T @ np.where(of[i : i + block, None] == names[None], 1.0, -1.0)
+    alpha = np.linalg.solve(a, b)
     mark /= np.sqrt(np.maximum(mark.sum(1, keepdims=True), 1))
     return Model(languages, np.vstack([mark.T @ (root @ alpha[:-1]).astype(np.float32), alpha[-1:]]).astype(np.float32))
 
 
-def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int) -> tuple[np.ndarray, list[str]]:
+def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, per_language: int, max_rows: int) -> tuple[np.ndarray, list[str]]:
     """Packed bits and labels of the training sample, in an order that does not depend on the partitions."""
     labelled = df.filter(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return np.zeros((0, DIMS // 8), np.uint8), []
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))))
+    most = min(per_language, max(LEAST_ROWS, max_rows // len(counts)))
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
+    picked = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +139,7 @@ def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: s
             packed = [np.packbits(bits([rows[k]])[0].astype(bool)).tobytes() for k in on]
             yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in on], pa.string()), pa.array(packed, pa.binary())], ["lang", "bits"])
 
-    got = picked.mapInArrow(pack, "lang string, bits binary").distinct().limit(4 * per_language * max_languages).collect()
+    got = picked.mapInArrow(pack, "lang string, bits binary").distinct().limit(4 * most * len(counts)).collect()
     rows = sorted(((r["lang"], bytes(r["bits"])) for r in got), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
     return np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), DIMS // 8), [k for k, _ in rows]
 
@@ -163,9 +169,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return read.mapInArrow(run, schema)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """A model from the rows with a label whose id is not in fold 0."""
-    x, lang = sample(df, fold(F.col(id_col)) != 0, id_col, text_col, lang_col, per_language, max_languages)
+    x, lang = sample(df, fold(F.col(id_col)) != 0, id_col, text_col, lang_col, per_language, max_rows)
     return fit(x, lang)
 
 

@@ -298,3 +298,22 @@ def test_empty_texts_are_clean_at_any_size(spark):
     for most in (10, 20, 40, 80):
         got = [(r["score"], r["predicted"]) for r in toxicity.classify(d, lab, max_docs=most, turns=1, steps=1).filter("doc_id >= 500").collect()]
         assert got == [(0.0, 0)] * 3
+
+
+def alphabets(n):
+    """Letters of n made-up languages, six of 26 each."""
+    rng = np.random.default_rng(7)
+    return {f"l{k:02}": "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)) for k in range(n)}
+
+
+def test_every_label_is_learned(spark):
+    """Also with more labels than 64, of which the last are rare, and where the row bound thins each."""
+    rng = np.random.default_rng(8)
+    own = alphabets(70)
+    names = [k for j, k in enumerate(own) for _ in range(20 if j < 60 else 12)]
+    df = spark.createDataFrame([(i, speak(rng, own[k], 30), k) for i, k in enumerate(names)], "doc_id long, text string, lang string")
+    for kw in ({}, {"max_rows": 70}):
+        held = [r for r in language_id.identify(df, **kw).collect() if r["held_out"]]
+        assert {names[r["doc_id"]] for r in held} > {"l69", "l68", "l65"}
+        assert np.mean([r["lang_pred"] == names[r["doc_id"]] for r in held]) > 0.98
+        assert all(r["lang_pred"] == names[r["doc_id"]] for r in held if names[r["doc_id"]] >= "l60")
