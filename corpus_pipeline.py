@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages. Each takes and returns documents (the last returns packed pieces); run() writes every
 stage's result in the shared folder, so a lost executor costs a stage's own tasks only.
 
-1. ``language_id``: documents whose text is in no known language (no letter, or nothing like what was learned) go; a missing
-   ``lang`` is filled in.
+1. ``language_id``: documents in no language (``und``: no letter) go; a missing ``lang`` is filled in. The score decides
+   nothing, as that of a short text falls with the number of languages.
 2. ``ngram_join``: of each group of near copies (4-word shingles, Jaccard 0.85) one document stays.
 3. ``secret_scan``: secrets are masked in place; no document goes.
 4. ``source_mixing``: sources are brought to their target weights by blocks of words. A document's row holds the words that
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from maskwright.llm import best_fit_packing, language_id, ngram_join, secret_scan, source_mixing
 from maskwright.llm.common import materialize, table
 
-#: Documents below it look like none of the languages learned.
-LEAST_SCORE = 0.1
-
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c not in ("text", "n_chars"))
@@ -36,7 +33,7 @@ def _documents(out: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = language_id.score(docs, language_id.train(docs), payload=_others(docs), keep_text=True)
-    kept = out.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE))
+    kept = out.filter(F.col("lang_pred") != language_id.UND)
     return _documents(kept, docs, text=F.col("text"), n_chars=F.length("text"), lang=F.coalesce("p_lang", "lang_pred"))
 
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from maskwright.llm import best_fit_packing, byte_bpe, chat_format, html_extract, language_id, quality_rules, secret_scan, toxicity
 from maskwright.llm.common import words
 
@@ -317,3 +318,14 @@ def test_every_label_is_learned(spark):
         assert {names[r["doc_id"]] for r in held} > {"l69", "l68", "l65"}
         assert np.mean([r["lang_pred"] == names[r["doc_id"]] for r in held]) > 0.98
         assert all(r["lang_pred"] == names[r["doc_id"]] for r in held if names[r["doc_id"]] >= "l60")
+
+
+@pytest.mark.parametrize("n", [4, 12, 64])
+def test_short_documents_stay_in_the_pipeline(spark, n):
+    rng = np.random.default_rng(9)
+    rows = [(i, speak(rng, a, 30), k) for i, (k, a) in enumerate([*alphabets(n).items()] * 12)]
+    short = [(10000 + i, speak(rng, a, 1), None if i % 2 else k) for i, (k, a) in enumerate(alphabets(n).items())]
+    df = spark.createDataFrame([(*r, "s", len(r[1])) for r in [*rows, *short, (20000, "12 !", "l00")]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert set(got) == {r[0] for r in [*rows, *short]} and None not in got.values()
+    assert all(got[i] == k for i, _, k in short if k)
