@@ -4,7 +4,10 @@ Each page is worked on by itself inside Arrow batches: no shuffle, memory follow
 scripts, styles, forms, menus and other furniture are left out by element name or by the words of class and id. Every
 paragraph passes points (one, its commas, its length) to its ancestors, halved and then divided by their distance, and
 discounted by the share of its characters that are link text. The container with the most points, discounted in the same way,
-is kept with those siblings that score near it or are prose themselves.
+is taken; inside an article or main, or where only headings and prose stand beside it, the outer element is. It is kept whole, lists
+of links included, with those siblings that score near it or are prose themselves and the headings before them. Lists of links
+are left out only where the whole page is the container. Words of class and id never remove what holds most of a page's points, unless
+an article or main stands beside it.
 
 Defined results: null and empty pages give the empty text; unclosed, crossed and cut-off markup is read as far as it goes;
 pages may repeat and ids may be null; other columns are not read.
@@ -32,16 +35,18 @@ _BLOCK = {"p", "div", "article", "section", "main", "body", "html", "h1", "h2",
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "button", "select", "input", "svg", "html", "body", "head", "object", "canvas", "audio", "video", "map", "math"}
 #: A start tag ends an open element of the set; the search stops at the scope's elements.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?](?:\s|$)|[。！？]")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "points", "chars", "links", "scored")
+    __slots__ = ("tag", "parts", "parent", "dropped", "points", "chars", "links", "scored", "held")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list = []
-        self.points, self.scored, self.chars, self.links = 0.0, False, 0, 0
+        self.points, self.scored, self.chars, self.links, self.held = 0.0, False, 0, 0, 0.0
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -52,9 +57,10 @@ def _furniture(tag: str, attributes: str) -> bool:
     return any(_FURNITURE.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
 
 
-def parse(page: str) -> Node:
-    """The page as a tree of nodes and texts; what is left out is marked as dropped."""
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The page as a tree of nodes and texts, where what is left out is marked as dropped, and the nodes that only their class or id drops."""
     root = top = Node("html", None, False)
+    named: list[Node] = []
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -91,9 +97,11 @@ def parse(page: str) -> Node:
                 break
             node = node.parent
         node = Node(tag, top, _furniture(tag, m[3]))
+        if node.dropped and tag not in _DROPPED:
+            named.append(node)
         top.parts.append(node)
         top = node
-    return root
+    return root, named
 
 
 def _measure(node: Node, in_link: bool, below: list[Node]) -> None:
@@ -134,14 +142,41 @@ def _density(n: Node) -> float:
     return n.links / n.chars if n.chars else 0.0
 
 
+def _points(n: Node) -> float:
+    if n.tag not in _BLOCK or not n.chars:
+        return 0.0
+    text = _own_text(n).strip()
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - _density(n)) if len(text) >= 25 else 0.0
+
+
+def _restore(root: Node, named: list[Node]) -> None:
+    """Take back the dropping by class of nodes with over half of the page's points, unless an article or main stands apart from them."""
+    for n in named:
+        n.dropped = False
+    nodes: list[Node] = []
+    _measure(root, False, nodes)
+    for n in reversed(nodes):
+        n.held += _points(n)
+        if n.parent:
+            n.parent.held += n.held
+    bodies = [n for n in nodes if n.tag in ("article", "main") and n.held]
+    for n in named:
+        n.dropped = n.held <= root.held / 2 or any(not _within(n, b) and not _within(b, n) for b in bodies)
+    for n in nodes:
+        n.chars = n.links = 0
+
+
+def _within(n: Node | None, outer: Node) -> bool:
+    while n is not None and n is not outer:
+        n = n.parent
+    return n is outer
+
+
 def _score(nodes: list[Node]) -> None:
     for n in nodes:
-        if n.tag not in _BLOCK or not n.chars:
+        points = _points(n)
+        if not points:
             continue
-        text = _own_text(n).strip()
-        if len(text) < 25:
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - _density(n))
         level, up = 0, n if n.tag in ("div", "section", "article", "main", "td", "html") else n.parent
         while up is not None and level < 5:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -151,8 +186,8 @@ def _score(nodes: list[Node]) -> None:
             up = up.parent
 
 
-def _blocks(n: Node, out: list[str]) -> None:
-    """Texts of the blocks below n in page order; lists and tables made of links are left out."""
+def _blocks(n: Node, out: list[str], links: bool = True) -> None:
+    """Texts of the blocks below n in page order; without ``links``, lists and tables made of links are left out."""
     text: list[str] = []
 
     def flush() -> None:
@@ -172,7 +207,7 @@ def _blocks(n: Node, out: list[str]) -> None:
                 flush()
         elif p.tag in _BLOCK:
             flush()
-            if not (p.tag in ("ul", "ol", "dl", "table", "div", "section") and _density(p) > 0.5):
+            if links or not (p.tag in ("ul", "ol", "dl", "table", "div", "section") and _density(p) > 0.5):
                 stack.append(None)
                 stack.extend(reversed(p.parts))
         else:
@@ -180,29 +215,72 @@ def _blocks(n: Node, out: list[str]) -> None:
     flush()
 
 
+def _heading(n: Node) -> bool:
+    """A heading, or an element that holds nothing else."""
+    while n.tag not in _HEADINGS:
+        inner = [p for p in n.parts if isinstance(p, Node) and not p.dropped and p.chars]
+        if len(inner) != 1 or inner[0].tag not in _BLOCK or any(isinstance(p, str) and not p.isspace() for p in n.parts):
+            return False
+        n = inner[0]
+    return True
+
+
+def _prose(n: Node) -> bool:
+    if n.tag == "p":
+        text = _own_text(n).strip()
+        return len(text) > 80 and _density(n) < 0.25 or 0 < len(text) <= 80 and not n.links and bool(_SENTENCE.search(text))
+    out: list[str] = []
+    _blocks(n, out)
+    text = " ".join(out)
+    if n.tag in ("blockquote", "pre", "figure") and not n.links:
+        return bool(text)
+    return len(text) > 80 and _density(n) < 0.25 and bool(_SENTENCE.search(text))
+
+
+def _beside(n: Node) -> list[Node]:
+    return [s for s in n.parent.parts if isinstance(s, Node) and s is not n and not s.dropped and s.tag in _BLOCK and s.chars]
+
+
+def _outer(best: Node) -> Node:
+    """The article or main around a node; else its parent as long as only headings and prose stand beside it there."""
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None:
+        return up
+    while best.parent and best.parent.parent and (beside := _beside(best)) and all(_heading(s) or _prose(s) for s in beside):
+        best = best.parent
+    return best
+
+
 def extract(page: str) -> str:
     """The page's main text: its blocks in page order, joined by one line feed."""
-    root = parse(page)
+    root, named = parse(page)
+    if named:
+        _restore(root, named)
     nodes: list[Node] = []
     _measure(root, False, nodes)
     _score(nodes)
     final = {id(n): n.points * (1 - _density(n)) for n in nodes if n.scored and n.tag in _BLOCK}
     best = max((n for n in nodes if id(n) in final), key=lambda n: final[id(n)], default=root)
+    least = 0.2 * final.get(id(best), 0.0)
     while best.parent and best.tag in ("p", "li", "tr", "td", "tbody", "h1", "h2", "h3", "blockquote", "pre"):
         best = best.parent
+    best = _outer(best)
     out: list[str] = []
     if best.parent is None:
-        _blocks(best, out)
+        _blocks(best, out, links=False)
         return "\n".join(out)
-    least = max(10.0, 0.2 * final.get(id(best), 0.0))
-    for s in best.parent.parts:
-        if s is best:
-            _blocks(s, out)
-        elif isinstance(s, Node) and not s.dropped and s.tag in _BLOCK:
-            text = _own_text(s).strip()
-            prose = s.tag == "p" and (len(text) > 80 and _density(s) < 0.25 or 0 < len(text) <= 80 and not s.links and re.search(r"[.!?](?:\s|$)", text))
-            if prose or final.get(id(s), 0.0) >= least and _density(s) < 0.3:
-                _blocks(s, out)
+    waiting: list[Node] = []
+    for s in [p for p in best.parent.parts if isinstance(p, Node) and (p is best or not p.dropped and p.tag in _BLOCK and p.chars)]:
+        if s is not best and _heading(s):
+            waiting.append(s)
+        elif s is best or _prose(s) or 0 < least <= final.get(id(s), 0.0) and _density(s) < 0.3:
+            for n in [*waiting, s]:
+                _blocks(n, out)
+            waiting = []
+        else:
+            waiting = [n for n in waiting if n.tag == "h1"]
     return "\n".join(out)
 
 

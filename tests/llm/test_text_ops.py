@@ -329,3 +329,24 @@ def test_short_documents_stay_in_the_pipeline(spark, n):
     got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, df, "").collect()}
     assert set(got) == {r[0] for r in [*rows, *short]} and None not in got.values()
     assert all(got[i] == k for i, _, k in short if k)
+
+
+LONG = ["Paragraph {}, with commas, and more of them, and text that is long enough, to score, in all honesty, rather well.".format(k) for k in range(3)]
+SHORT = "One paragraph of some ninety characters that has no comma and closes the whole page at last."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<nav>Menu</nav><article><h1>Head</h1><section>{0}</section><section><h2>Next</h2>{1}</section></article>", ["Head", *LONG, "Next", SHORT]),
+        ("<article><h1>Head</h1><div class=body>{0}</div></article>", ["Head", *LONG]),
+        ("<div><h1>Head</h1><div>{0}</div><h2>Next</h2><div>{1}</div></div><p>x", ["Head", *LONG, "Next", SHORT]),
+        ("<h1>Head</h1><div>{0}</div><h2>More</h2><ul><li><a href=1>link</a></ul>", ["Head", *LONG]),
+        ("<article>{0}<h2>Sources</h2><ol><li><a href=1>First source</a><li><a href=2>Second source</a></ol><div><a href=3>All of them</a></div></article>", [*LONG, "Sources", "First source", "Second source", "All of them"]),
+        ("<ul><li><a href=1>Home</a></ul><div class='post social-story'><h1>Head</h1>{0}</div><div class=cookies>{1}</div>", ["Head", *LONG]),
+        ("<article>{1}</article><div class=comments>{0}</div>", [SHORT]),
+    ],
+)
+def test_articles_are_whole(page, want):
+    paragraphs = "".join(f"<p>{x}</p>" for x in LONG)
+    assert html_extract.extract(page.format(paragraphs, f"<p>{SHORT}</p>")).split("\n") == want
