@@ -9,8 +9,9 @@ slots beyond a source's number are given up and missing ones are added there, so
 half a block, and no block is taken more than ``max_repeat`` times.
 
 Streams need running sums over all documents of a source. They are made within hash buckets of about sqrt(rows) documents
-and then over the buckets, so no source is ever in one task. Sources are counted first; their table (three numbers each) is
-held by the driver and is refused beyond ``MAX_SOURCES``.
+and then over the buckets, so no source's documents are ever in one task; its slots are dealt to tasks by shard. Sources are a
+table (their number is not bounded): targets come from a few aggregates over it, and a shard draws first how many slots each
+group of ``GROUP`` sources gets and then, by a join, each source of the group. Only one number for each group is on the driver.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own and comes last; documents of
 one id are ordered by size; repeated rows take part each; without words every target is 0; other columns are not read.
@@ -20,58 +21,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import materialize, n_words, text_of, word_spans
+from maskwright.llm.common import map_texts, materialize, n_words, text_of, word_spans
 
-WEIGHTS, MAX_REPEAT, BLOCK_WORDS, SEED, MAX_SOURCES = (5, 2, 1), 3, 128, 7, 100_000
-
-
-@dataclass(frozen=True)
-class Source:
-    """A source in order of names: size in words, target, number of blocks, slots of the mix."""
-
-    name: str | None
-    size: int
-    target: float
-    blocks: int
-    slots: int
-
-
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> list[float]:
-    """Shares of the whole size by weight; those above max_repeat times their size stop there and the rest is shared anew."""
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        total = sum(weights[k % len(weights)] for k in open_)
-        share = {k: left * weights[k % len(weights)] / total for k in open_}
-        above = [k for k in open_ if share[k] > max_repeat * sizes[k]]
-        if not above:
-            for k in open_:
-                out[k] = share[k]
-            break
-        for k in above:
-            out[k] = float(max_repeat * sizes[k])
-            left -= out[k]
-        open_ = [k for k in open_ if k not in set(above)]
-    return out
-
-
-def plan_sources(rows: list[tuple[str | None, int]], block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> list[Source]:
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
-    out = []
-    for (name, size), target in zip(rows, targets([s for _, s in rows], weights, max_repeat)):
-        blocks = math.ceil(size / block_words)
-        passes = min(int(target // size), max_repeat) if size else 0
-        rest = min(blocks, round((target - passes * size) / block_words)) if passes < max_repeat else 0
-        out.append(Source(name, size, target, blocks, passes * blocks + rest))
-    return out
+WEIGHTS, MAX_REPEAT, BLOCK_WORDS, SEED, GROUP = (5, 2, 1), 3, 128, 7, 4096
+#: Slots that a task makes at least, and at once.
+TASK_SLOTS = 1 << 16
 
 
 def _hash(x: np.ndarray, key: int) -> np.ndarray:
@@ -106,18 +68,42 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return materialize(read, "sized")
 
 
-def sources_of(docs: DataFrame, **kw) -> list[Source]:
-    rows = docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return plan_sources([(r["source"], r["size"]) for r in rows], **kw)
-
+def _level(table: DataFrame, weight: Column, max_repeat: int) -> tuple[float, float]:
+    """Words and weights that are left to the sources that do not stop at their bound: each of these has words * weight / weights.
 
-def _numbers(docs: DataFrame, sources: list[Source]) -> DataFrame:
-    """Documents with the number of their source, its size and its target. The table is bounded by MAX_SOURCES."""
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("sid", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    small = docs.sparkSession.createDataFrame([(s.name, k, s.size, s.target) for k, s in enumerate(sources)], schema)
-    return docs.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    A round gives up those whose share is above their bound; shares of the others only grow by that, so rounds end.
+    """
+    words, weights = table.agg(F.sum("size").cast("double"), F.sum(weight)).first()
+    total, before = words or 0.0, 0
+    while True:
+        above = F.lit(words or 0.0) * weight / F.lit(weights or 1) > max_repeat * F.col("size")
+        n, stopped, left = table.agg(F.count_if(above), F.sum(F.when(above, max_repeat * F.col("size"))), F.sum(F.when(~above, weight))).first()
+        if n == before:
+            return words or 0.0, weights or 1
+        before, words, weights = n, total - float(stopped or 0), left
+
+
+def sources_of(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The sources, written once: name, sid (place by code points, null last), source_size, target, blocks, slots."""
+    named = docs.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("size")).withColumn("last", F.col("name").isNull())
+    places = materialize(named.repartitionByRange("last", "name").sortWithinPartitions("last", "name").withColumn("at", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("at", 33)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    starts = places.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    table = materialize(places.join(F.broadcast(starts), part == F.col("part")).select("name", "size", (F.col("before") + F.col("at") - F.shiftleft("part", 33)).alias("sid")), "ranked")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights)).cast("int") + 1)
+    words, all_ = _level(table, weight, max_repeat)
+    share = F.lit(words) * weight / F.lit(all_)
+    full = table.withColumn("target", F.when(share > max_repeat * F.col("size"), (max_repeat * F.col("size")).cast("double")).otherwise(share))
+    passes = F.when(F.col("size") > 0, F.least(F.floor(F.col("target") / F.col("size")), F.lit(max_repeat))).otherwise(0)
+    sized_ = full.withColumns({"blocks": F.ceil(F.col("size") / block_words), "passes": passes})
+    rest = F.when((F.col("passes") < max_repeat) & (F.col("size") > 0), F.least("blocks", F.round((F.col("target") - F.col("passes") * F.col("size")) / block_words).cast("long"))).otherwise(0)
+    return materialize(sized_.select("name", "sid", F.col("size").alias("source_size"), "target", "blocks", (F.col("passes") * F.col("blocks") + rest).alias("slots")), "sources")
+
+
+def _numbers(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with the number of their source, its size and its target."""
+    return docs.join(sources.select("name", "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
 
 def located(docs: DataFrame, n_rows: int) -> DataFrame:
@@ -130,49 +116,63 @@ def located(docs: DataFrame, n_rows: int) -> DataFrame:
     return dealt.withColumn("inside", inside).join(totals, ["sid", "bucket"]).withColumn("at", F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
 
 
-def slots(spark, sources: list[Source], seed: int = SEED) -> DataFrame:
+def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: one row per slot with its output shard, source number, pass and block index."""
-    n = sum(s.slots for s in sources)
+    spark = sources.sparkSession
+    open_ = sources.filter("slots > 0").select("sid", "slots", "blocks", F.floor(F.col("sid") / GROUP).alias("grp"))
+    groups = materialize(open_.groupBy("grp").agg(F.sum("slots").alias("all"), F.array_sort(F.collect_list(F.struct("sid", "slots"))).alias("own")), "groups")
+    of_group = {r["grp"]: r["all"] for r in groups.select("grp", "all").collect()}
+    names = np.array(sorted(of_group), np.int64)
+    weights = np.array([of_group[k] for k in names.tolist()], np.int64)
+    n = int(weights.sum())
     per_shard = max(4096, int(n**0.5))
     shards = math.ceil(n / per_shard)
-    wanted = np.array([s.slots for s in sources], np.int64)
-    blocks = np.array([max(1, s.blocks) for s in sources], np.int64)
 
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for shard in part["id"]:
-                size = min(per_shard, n - int(shard) * per_shard)
-                got = np.random.default_rng([seed, int(shard)]).multinomial(size, wanted / n)
-                sid = np.flatnonzero(got)
-                yield pd.DataFrame({"shard": np.full(len(sid), shard), "sid": sid.astype(np.int32), "n": got[sid]})
+                got = np.random.default_rng([seed, int(shard)]).multinomial(min(per_shard, n - int(shard) * per_shard), weights / n)
+                on = np.flatnonzero(got)
+                yield pd.DataFrame({"shard": np.full(len(on), shard), "grp": names[on], "n": got[on]})
 
-    drawn = spark.range(shards, numPartitions=max(1, min(shards, 1024))).mapInPandas(draw, "shard long, sid int, n long")
+    def draw_sources(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for shard, grp, count, own in part[["shard", "grp", "n", "own"]].itertuples(index=False):
+                sid, wanted = np.array([x["sid"] for x in own], np.int64), np.array([x["slots"] for x in own], np.int64)
+                got = np.random.default_rng([seed, int(shard), int(grp)]).multinomial(int(count), wanted / wanted.sum())
+                on = np.flatnonzero(got)
+                yield pd.DataFrame({"shard": np.full(len(on), shard), "sid": sid[on], "n": got[on]})
+
+    of_groups = spark.range(shards, numPartitions=max(1, min(shards // 16, 1024))).mapInPandas(draw_groups, "shard long, grp long, n long")
+    drawn = materialize(of_groups.join(groups.select("grp", "own"), "grp").mapInPandas(draw_sources, "shard long, sid long, n long"), "drawn")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = drawn.withColumn("first", before)
-    full = spark.createDataFrame([(k, int(w)) for k, w in enumerate(wanted)] or [], "sid int, wanted long")
-    settled = F.broadcast(full).join(drawn.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").select(F.lit(shards).cast("long").alias("shard"), "sid", (F.col("wanted") - F.least("wanted", F.coalesce("drawn", F.lit(0)))).alias("n"), F.least("wanted", F.coalesce("drawn", F.lit(0))).alias("first"))
-    every = runs.unionByName(settled).filter("n > 0")
+    had = F.least("slots", F.coalesce("drawn", F.lit(0)))
+    settled = open_.join(drawn.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").select(F.lit(shards).cast("long").alias("shard"), "sid", (F.col("slots") - had).alias("n"), had.alias("first"))
+    every = runs.unionByName(settled).filter("n > 0").join(open_.select("sid", "slots", "blocks"), "sid")
 
     def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for shard, sid, count, first in part[["shard", "sid", "n", "first"]].itertuples(index=False):
-                k = np.arange(first, min(first + count, wanted[sid]))
-                turn, index = k // blocks[sid], k % blocks[sid]
-                block = np.empty(len(k), np.int64)
-                for t in np.unique(turn):
-                    block[turn == t] = permuted(index[turn == t], int(blocks[sid]), hash((seed, int(sid), int(t))))
-                yield pd.DataFrame({"shard": np.full(len(k), shard), "sid": np.full(len(k), sid, np.int32), "turn": turn, "block": block})
+            for shard, sid, first, last, blocks in part[["shard", "sid", "first", "last", "blocks"]].itertuples(index=False):
+                for begin in range(first, last, TASK_SLOTS):
+                    k = np.arange(begin, min(begin + TASK_SLOTS, last))
+                    turn, index = k // blocks, k % blocks
+                    block = np.empty(len(k), np.int64)
+                    for t in np.unique(turn):
+                        block[turn == t] = permuted(index[turn == t], int(blocks), hash((seed, int(sid), int(t))))
+                    yield pd.DataFrame({"shard": np.full(len(k), shard), "sid": np.full(len(k), sid), "turn": turn, "block": block})
 
-    return every.mapInPandas(fill, "shard long, sid int, turn long, block long")
+    dealt = every.withColumn("last", F.least(F.col("first") + F.col("n"), "slots")).repartition(max(1, min(-(-n // TASK_SLOTS), 1 << 15)), "shard", "sid")
+    return dealt.mapInPandas(fill, "shard long, sid long, turn long, block long")
 
 
-def taken(docs: DataFrame, sources: list[Source], block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def taken(docs: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The parts of documents that the mix takes: row, begin and end (words of the document), times."""
     n_rows = docs.count()
     at = located(_numbers(docs.select("row", "doc_id", "source", "size").filter("size > 0"), sources), n_rows)
     last = F.floor((F.col("at") + F.col("size") - 1) / block_words)
     parts = at.select("row", "sid", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block_words), last)).alias("block"))
-    times = slots(docs.sparkSession, sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     begin = F.greatest(F.col("block") * block_words - F.col("at"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("at"), F.col("size"))
     return parts.join(times, ["sid", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
@@ -212,7 +212,7 @@ def mixed_documents(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
             columns = [pa.array(texts, pa.string()) if c == "text" else same.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(times, pa.int32())], [*names, "times"])
 
-    out = joined.mapInArrow(run, schema)
+    out = map_texts(joined, run, schema)
     return out.select("doc_id", "source", "times", "text", *(F.col(f"q_{c}").alias(f"p_{c}") for c in payload))
 
 

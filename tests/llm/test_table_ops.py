@@ -177,21 +177,49 @@ def test_mix_reaches_targets(spark):
         s = sources[r["doc_id"]]
         size[s], taken[s], target[s] = size[s] + r["size"], taken[s] + r["taken"], r["target"]
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    assert [target[s] for s in names] == source_mixing.targets([size[s] for s in names])
+    assert [target[s] for s in names] == brute_targets([size[s] for s in names])
     assert all(r["source_size"] == size[sources[r["doc_id"]]] for r in got)
     assert all(abs(taken[s] - target[s]) <= source_mixing.BLOCK_WORDS for s in names)
     assert source_mixing.mix(df.filter("false")).count() == 0
 
 
+def brute_targets(sizes, weights=(5, 2, 1), max_repeat=3):
+    """Shares of the whole size by weight; those above max_repeat times their size stop there and the rest is shared anew."""
+    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
+    while open_:
+        total = sum(weights[k % len(weights)] for k in open_)
+        share = {k: left * weights[k % len(weights)] / total for k in open_}
+        above = [k for k in open_ if share[k] > max_repeat * sizes[k]]
+        if not above:
+            for k in open_:
+                out[k] = share[k]
+            break
+        for k in above:
+            out[k] = float(max_repeat * sizes[k])
+            left -= out[k]
+        open_ = [k for k in open_ if k not in set(above)]
+    return out
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
 def test_targets(sizes):
-    out = source_mixing.targets(sizes)
+    out = brute_targets(sizes)
     assert abs(sum(out) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
     free = [t / w for t, s, w in zip(out, sizes, [5, 2, 1] * 4) if t < 3 * s]
     assert all(t <= 3 * s for t, s in zip(out, sizes)) and (not free or max(free) - min(free) < 1e-6 * max(free))
 
 
+def test_many_sources(spark):
+    """More sources than a group holds, most of one document: targets and draws are those of brute force."""
+    n = 9000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40 + F.when(F.col("id") % 1000 == 0, 3000).otherwise(0)).cast("int")).alias("text"))
+    got = source_mixing.mix(df).collect()
+    by = sorted(got, key=lambda r: f"s{r['doc_id']}")
+    assert np.allclose([r["target"] for r in by], brute_targets([r["size"] for r in by]))
+    assert all(r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= source_mixing.BLOCK_WORDS for r in got) and len(got) == n
+
+
 @given(st.integers(1, 500), st.integers(0, 10**9))
 def test_permutation(n, key):
     assert sorted(source_mixing.permuted(np.arange(n), n, key)) == list(range(n))
