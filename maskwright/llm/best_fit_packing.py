@@ -26,91 +26,117 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import byte_bpe
-from maskwright.llm.common import materialize, text_of
+from maskwright.llm.common import map_texts, materialize, text_of
 
 CAPACITY, END_ID = 1024, 2
+#: The program is solved to within this share of its dual bound, or for so many rounds.
+GAP, ROUNDS, PROGRAMS = 0.05, 500, 3
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long"
 
 
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, kept = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = byte_bpe.encode(text, path) + end
-                n = len(ids) // 4
+                ids = np.append(byte_bpe.encode(text, path), np.array([end_id], "<u4"))
+                n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    own = ids[4 * i : 4 * j]
+                    own = ids[i:j].tobytes()
                     rows.append((doc, k, i, j - i, zlib.crc32(own)))
                     kept.append(own) if with_ids else None
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return map_texts(df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, PIECES + ", ids binary" * with_ids)
 
 
 @dataclass
 class Solution:
-    """Configurations: copies of each length, and in how many sequences each is used."""
+    """Configurations: copies of each length, and in how many sequences each is used. ``value`` is the fractional program's, and no
+    packing whatever has fewer sequences than ``bound``, its dual."""
 
     lengths: list[dict[int, int]]
     uses: list[int]
+    value: float = 0.0
+    bound: float = 0.0
 
 
-def knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of most value: copies of each length; value[l] is that of one item of length l (0: none of it)."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By dynamic programming, for each room up to capacity the most value that fits, and the length to take first (0: leave one free); value[l] is that of one item of length l (0: none of it)."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    usable = np.where(value > 0, value, -np.inf)
     for c in range(1, capacity + 1):
-        sums = value[1 : c + 1] + best[c - 1 :: -1] if c > 1 else value[1:2] + best[:1]
+        sums = usable[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(sums.argmax())
-        if sums[k] > best[c - 1]:
-            best[c], took[c] = sums[k], k + 1 if value[k + 1] > 0 else 0
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] and value[took[c]] > 0:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+        best[c], took[c] = (sums[k], k + 1) if sums[k] > best[c - 1] else (best[c - 1], 0)
+    return best, took
+
+
+def filled(took: np.ndarray, room: int, first: int = 0) -> dict[int, int]:
+    """The best configuration of a room, after one item of length ``first``, if given."""
+    out = {first: 1} if first else {}
+    room -= first
+    while room > 0:
+        l = int(took[room])
+        if l:
+            out[l] = out.get(l, 0) + 1
+        room -= l or 1
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, step: float, rounds: int) -> dict[tuple, float]:
-    """The configuration program by multiplicative weights: sequences of each configuration, not whole.
+def fractional(counts: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float, float]:
+    """The configuration program by multiplicative weights: sequences of each configuration (not whole), their sum, and a dual bound.
 
-    A length weighs a little more than in proportion to its tokens (long pieces are hard to place, so their dual price is
-    higher), times exp(-covered share): pricing then prefers full sequences, and among them those with lengths that are
-    behind. Each round adds its configuration until one of its lengths has gained
-    ``step`` of its count; lengths covered in full drop out.
+    A length's price is its tokens times exp(-rate * share of its count that is covered so far), so lengths that are behind cost
+    more. A round prices all configurations by one knapsack and takes, for each length, the best that holds it, if its value
+    is within ``gap`` of the best of all; it grows until one of its lengths has gained 1/rate of its count in the round. Prices
+    divided by the best value are a solution of the dual program, whose largest value bounds every packing from below. It ends
+    when the solution, scaled up to cover every length, is within ``gap`` of that bound, and after ``rounds`` in any case.
     """
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return {}, 0.0, 0.0
     have = counts.astype(float)
-    covered = np.zeros(len(counts))
-    price = np.arange(len(counts)) ** 1.1
+    rate = np.log(len(lengths) + 1) / gap
+    covered, bound, total = np.zeros(len(counts)), 0.0, 0.0
     x: dict[tuple, float] = {}
     for _ in range(rounds):
-        open_ = (have > 0) & (covered < have)
-        if not open_.any():
+        share = covered[lengths] / have[lengths]
+        price = np.zeros(len(counts))
+        price[lengths] = lengths * np.exp(-np.minimum(rate * (share - share.min()), 600))
+        best, took = knapsack(price, capacity)
+        bound = max(bound, float(price @ have) / best[capacity])
+        if share.min() > 0 and total / share.min() <= (1 + gap) * bound:
             break
-        share = np.divide(covered, have, out=np.ones(len(have)), where=have > 0)
-        value = np.where(open_, price * np.exp(-share * 0.02), 0.0)
-        config = tuple(sorted(knapsack(value, capacity).items()))
-        gain = min(min(step * have[l], have[l] - covered[l]) / a for l, a in config)
-        for l, a in config:
-            covered[l] += a * gain
-        x[config] = x.get(config, 0.0) + gain
-    return x
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, step: float = 1.0, rounds: int = 500) -> Solution:
-    """Whole configurations that cover the histogram exactly."""
+        worth = price[lengths] + best[capacity - lengths]
+        room = have / rate
+        for l in lengths[np.argsort(-worth, kind="stable")][: int((worth >= (1 - gap) * best[capacity]).sum())].tolist():
+            if room[l] > 0:
+                config = tuple(sorted(filled(took, capacity, l).items()))
+                gain = min(room[k] / a for k, a in config)
+                if gain > 0:
+                    x[config] = x.get(config, 0.0) + gain
+                    total += gain
+                    for k, a in config:
+                        room[k] -= a * gain
+                        covered[k] += a * gain
+    least = float((covered[lengths] / have[lengths]).min())
+    scale = 1 / least if least else 1.0
+    return {c: n * scale for c, n in x.items()}, total * scale, bound
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, rounds: int = ROUNDS) -> Solution:
+    """Whole configurations that cover the histogram exactly.
+
+    The fractional solution is rounded in order of use, what is cut off being carried to the next configuration, and never above what is left of
+    a length. What remains is a smaller program of the same kind, solved in turn (at most PROGRAMS of them, fewer where rounding gains
+    nothing); the last pieces go largest first, each time with the largest that fits.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for l, n in histogram.items():
         left[l] = n
@@ -123,20 +149,26 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, step: float = 1.0
         for l, a in config.items():
             left[l] -= a * n
 
-    if left[capacity]:
-        use({capacity: 1}, int(left[capacity]))
-    x = fractional(left, capacity, step, rounds)
-    for config, n in sorted(x.items(), key=lambda c: (-sum(l * a for l, a in c[0]), -c[1], c[0])):
-        if whole := min(int(n + 1e-9), *(int(left[l]) // a for l, a in config)):
-            use(dict(config), whole)
+    first = None
+    for _ in range(PROGRAMS):
+        x, value, bound = fractional(left, capacity, gap, rounds)
+        first = first or (value, bound)
+        before, carry = int(left.sum()), 0.0
+        for config, n in sorted(x.items(), key=lambda c: (-c[1], c[0])):
+            whole = min(int(n + carry + 1e-9), *(int(left[l]) // a for l, a in config))
+            carry = min(n + carry - whole, 1.0)
+            if whole > 0:
+                use(dict(config), whole)
+        if before - int(left.sum()) <= before // 4:
+            break
     while left.any():
-        config, gap = {}, capacity
-        while gap and len(fit := np.flatnonzero(left[: gap + 1] - np.array([config.get(l, 0) for l in range(gap + 1)]) > 0)):
+        config, gap_ = {}, capacity
+        while gap_ and len(fit := np.flatnonzero(left[: gap_ + 1] - np.array([config.get(l, 0) for l in range(gap_ + 1)]) > 0)):
             l = int(fit[-1])
             config[l] = config.get(l, 0) + 1
-            gap -= l
+            gap_ -= l
         use(config, min(int(left[l]) // a for l, a in config.items()))
-    return Solution(lengths, uses)
+    return Solution(lengths, uses, *(first or (0.0, 0.0)))
 
 
 def _places(solution: Solution, capacity: int) -> dict[str, np.ndarray]:
