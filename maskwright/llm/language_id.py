@@ -30,11 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import fold, text_of
+from maskwright.llm.common import fold, map_texts, text_of
 
 DIMS, PER_LANGUAGE, LANDMARKS, MAX_ROWS, LEAST_ROWS, RIDGE = 1 << 15, 400, 256, 25600, 16, 1e-2
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+#: A word character that is no digit: nearly always a letter, but fractions and the like are such too.
+_LIKELY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (str.isalpha)."""
+    return any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
 def grams(text: str, dims: int = DIMS) -> np.ndarray:
@@ -135,11 +142,11 @@ def sample(df: DataFrame, train: Column, id_col: str, text_col: str, lang_col: s
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
-            on = [k for k, t in enumerate(rows) if _LETTER.search(t)]
+            on = [k for k, t in enumerate(rows) if has_letter(t)]
             packed = [np.packbits(bits([rows[k]])[0].astype(bool)).tobytes() for k in on]
             yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in on], pa.string()), pa.array(packed, pa.binary())], ["lang", "bits"])
 
-    got = picked.mapInArrow(pack, "lang string, bits binary").distinct().limit(4 * most * len(counts)).collect()
+    got = map_texts(picked, pack, "lang string, bits binary").distinct().limit(4 * most * len(counts)).collect()
     rows = sorted(((r["lang"], bytes(r["bits"])) for r in got), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
     return np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), DIMS // 8), [k for k, _ in rows]
 
@@ -155,7 +162,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             texts = b.column(1).to_pylist()
             pred, value = np.full(len(texts), len(languages) - 1), np.zeros(len(texts))
-            on = [k for k, t in enumerate(texts) if _LETTER.search(t)] if len(languages) > 1 else []
+            on = [k for k, t in enumerate(texts) if has_letter(t)] if len(languages) > 1 else []
             for i in range(0, len(on), 64):
                 at = on[i : i + 64]
                 x = bits([texts[k] for k in at])
@@ -166,7 +173,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             out = [pa.array(languages[pred].tolist(), pa.string()), pa.array(value)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *out], [*kept, "lang_pred", "score"])
 
-    return read.mapInArrow(run, schema)
+    return map_texts(read, run, schema)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:

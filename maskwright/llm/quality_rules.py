@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import text_of, words
+from maskwright.llm.common import map_texts, text_of, words
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return map_texts(df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, SCHEMA)
 
 
 SQL = r"""

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import fold, text_of, words
+from maskwright.llm.common import fold, map_texts, text_of, words
 
 BUCKETS, DIM, WINDOW, MAX_DOCS, MAX_CHARS = 1 << 16, 8, 4, 2500, 16000
-CACHED = 400_000
+CACHED = 50_000
 EMPTY_SCORE = 0.0
 SIZES = (3, 4, 5, 6)
 _EDGES = ".,;:!?*#$%&|()[]\"'"
@@ -82,7 +82,7 @@ class Model:
         out = np.full(len(texts), EMPTY_SCORE)
         for i in range(0, len(texts), 256):
             found = [turns_of(t) for t in texts[i : i + 256]]
-            if len(known) > CACHED:
+            if len(known) > CACHED:  # a slice of texts adds at most its own words
                 known.clear()
             new = list({w for d in found for w in d if w not in known})
             if new:
@@ -206,7 +206,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     read = df.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"), text_of(text_col).alias("text"))
-    return read.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(read, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, **kw) -> DataFrame:
