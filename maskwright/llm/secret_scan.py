@@ -5,7 +5,7 @@ of a character class is a candidate; a window of fixed width slides over it, and
 window are updated by the one that enters and the one that leaves, so that the Shannon entropy costs the same at each
 step. Runs of windows at or above the class's threshold become one span. Candidates that the allow list covers add none.
 
-Everything is a per-row expression: no shuffle, no Python, and a row costs time in proportion to its text. Cheap tests
+Everything is a per-row expression: no shuffle, no Python, and a row costs time in proportion to its text, times the logarithm of the number of its matches. Cheap tests
 (``contains``, one ``rlike``) come first, as nearly all texts hold no candidate.
 
 Defined results: null text is the empty text, which has no spans; ids may be null or repeated, each row is scanned for
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import text_of
+from maskwright.llm.common import let, running, text_of
 
 SPAN = "array<struct<start:long,ord:int,end:long,kind:string>>"
 #: Base kinds as listed: pattern, group that is measured, its least length. A run of ``access`` or ``hex`` that is long
@@ -53,6 +53,8 @@ CLASSES = (
     CharClass("entropy_hex", "0123456789abcdefABCDEF", 20, 3.0),
     CharClass("entropy_base64", f"{_AZ}{_AZ.lower()}0123456789+/_-=", 24, 4.0),
 )
+#: Places of a long run that are folded at once, and code points of a block of a text that is masked.
+BLOCK = 4096
 #: Candidates that hold one of these (in either case) are placeholders or well-known sequences.
 ALLOW = ("example", "0123456789abcdef", "abcdefghijklmnop", "xxxxxxxx", "placeholder", "deadbeefdeadbeef")
 #: Candidates that match one of these are not secrets: words without digits or without letters, identifiers made of words.
@@ -65,29 +67,11 @@ ALLOW_PATTERNS = (
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Matches of the pattern with their places: array of (start, end, text) in code points, by one pass over gaps and matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(gaps_of(acc), i)) + F.length(F.get(found_of(acc), i))).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(F.get(gaps_of(acc), i))).cast("long").alias("start"),
-                    (acc["at"] + F.length(F.get(gaps_of(acc), i)) + F.length(F.get(found_of(acc), i))).cast("long").alias("end"),
-                    F.get(found_of(acc), i).alias("found"),
-                )
-            ),
-        ).alias("out"),
-        acc["gaps"].alias("gaps"),
-        acc["found"].alias("found"),
-    )
-    gaps_of, found_of = (lambda acc: acc["gaps"]), (lambda acc: acc["found"])
-    none = F.array().cast("array<struct<start:long,end:long,found:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"), gaps.alias("gaps"), found.alias("found"))
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, lambda acc, i: step(acc, i), lambda acc: acc["out"])
+    """Matches of the pattern with their places: array of (start, end, text) in code points, from running sums over gaps and matches."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    sizes = lambda x: F.transform(x["found"], lambda m, i: (F.length(F.get(x["gaps"], i)) + F.length(m)).cast("long"))
+    place = lambda x, ends: F.transform(x["found"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("found")))
+    return let(both, lambda x: let(running(sizes(x), lambda p, q: p + q), lambda ends: place(x, ends)))
 
 
 def _base(text: Column, ord_: int) -> Column:
@@ -106,32 +90,43 @@ def hot_windows(run: Column, cls: CharClass) -> Column:
     """Spans (from, to) inside a run of the class's letters that windows of enough entropy cover.
 
     The state of the fold holds the counts by letter and S, the sum of c*log2(c) over them; the entropy of a full window of
-    w letters is log2(w) - S / w. A run shorter than the window has none.
+    w letters is log2(w) - S / w. A run shorter than the window has none. Long runs are folded in blocks of BLOCK places, so that no array
+    grows with the run: each block starts 2w - 1 letters early, with the counts of no letter, and ends w places late, which is all
+    that tells whether a window of the block is the first or last of its span.
     """
-    letters = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(cls.letters), c))
     w, bound = cls.window, (F.log2(F.lit(float(cls.window))) - F.lit(cls.bits)) * cls.window + F.lit(1e-9)
-    pairs = "array<struct<from:int,to:int>>"
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(cls.letters) + 1).alias("n"),
-        F.lit(0.0).alias("s"),
-        letters.alias("x"),
-        F.array().cast(pairs).alias("out"),
-    )
-
-    def step(acc: Column, i: Column) -> Column:
-        came, left = F.get(acc["x"], i), F.when(i >= w, F.get(acc["x"], i - w)).otherwise(F.lit(0))
-        c_in, c_out = F.get(acc["n"], came), F.when(left > 0, F.get(acc["n"], left)).otherwise(F.lit(0))
-        moved = came != left
-        s = F.when(moved, acc["s"] + _clogc(c_in + 1) - _clogc(c_in) - _clogc(c_out) + _clogc(c_out - 1)).otherwise(acc["s"])
-        n = F.when(moved, F.transform(acc["n"], lambda c, k: c + (k == came).cast("int") - ((k == left) & (left > 0)).cast("int"))).otherwise(acc["n"])
-        hot = (i >= w - 1) & (s <= bound)
-        joined = F.when(
-            (F.size(acc["out"]) > 0) & (F.try_element_at(acc["out"], F.lit(-1))["to"] >= i - w + 1),
-            F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc["out"], F.lit(-1))["from"].alias("from"), (i + 1).alias("to")))),
-        ).otherwise(F.concat(acc["out"], F.array(F.struct((i - w + 1).alias("from"), (i + 1).alias("to")))))
-        return F.struct(n.alias("n"), s.alias("s"), acc["x"].alias("x"), F.when(hot, joined).otherwise(acc["out"]).cast(pairs).alias("out"))
+    far = -(1 << 30)
+
+    def block(x: Column, k: Column) -> Column:
+        first = k * BLOCK
+        start = F.struct(F.array_repeat(F.lit(0), len(cls.letters) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(far).alias("last"), F.array().cast("array<int>").alias("from"), F.array().cast("array<int>").alias("to"))
+        begin = F.greatest(first - (2 * w - 1), F.lit(0))
+
+        def step(acc: Column, i: Column) -> Column:
+            came = F.coalesce(F.get(x, i), F.lit(0))
+            left = F.when(i - w >= begin, F.coalesce(F.get(x, i - w), F.lit(0))).otherwise(F.lit(0))
+            c_in, c_out = F.get(acc["n"], came), F.get(acc["n"], left)
+            moved = came != left
+            gain = F.when(came > 0, _clogc(c_in + 1) - _clogc(c_in)).otherwise(0.0) + F.when(left > 0, _clogc(c_out - 1) - _clogc(c_out)).otherwise(0.0)
+            s = F.when(moved, acc["s"] + gain).otherwise(acc["s"])
+            n = F.when(moved, F.transform(acc["n"], lambda c, j: c + ((j == came) & (came > 0)).cast("int") - ((j == left) & (left > 0)).cast("int"))).otherwise(acc["n"])
+            at = i - w + 1  # the window that ends here
+            hot = (at >= begin) & (i < F.size(x)) & (s <= bound)
+            in_block = lambda p: (p >= first) & (p < first + BLOCK)
+            opens = hot & (acc["last"] < at - w) & in_block(at)
+            closes = ~hot & (acc["last"] == at - w) & in_block(acc["last"])
+            return F.struct(
+                n.alias("n"), s.alias("s"), F.when(hot, at).otherwise(acc["last"]).alias("last"),
+                F.when(opens, F.array_append(acc["from"], at)).otherwise(acc["from"]).alias("from"), F.when(closes, F.array_append(acc["to"], acc["last"] + w)).otherwise(acc["to"]).alias("to"),
+            )
+
+        # places of letters: the last window of the block ends at first + BLOCK + w - 2, and w more steps tell whether it is its span's last
+        return F.aggregate(F.sequence(begin, F.least(first + BLOCK, F.size(x)) + 2 * w), start, step, lambda acc: F.struct(acc["from"].alias("from"), acc["to"].alias("to")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda acc: acc["out"])
+    letters = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(cls.letters), c))
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: block(x, k))
+    ends = lambda b: F.arrays_zip(F.flatten(F.transform(b, lambda y: y["from"])).alias("from"), F.flatten(F.transform(b, lambda y: y["to"])).alias("to"))
+    return let(letters, lambda x: let(blocks(x), ends)).cast("array<struct<from:int,to:int>>")
 
 
 def _allowed(run: Column, allow: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
@@ -156,7 +151,12 @@ def _entropy(text: Column, cls: CharClass, ord_: int, allow: tuple[str, ...], pa
 
 
 def _outside(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda x: ~F.exists(others, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    """Spans that lie in none of the others: all are put in order of start and a running largest end of the others tells."""
+    tag = lambda xs, own: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x.alias("x")))
+    ends = lambda y: running(F.transform(y, lambda t: F.when(t["own"] == 0, t["x"]["end"]).otherwise(F.lit(-1).cast("long"))), F.greatest)
+    outside = lambda y, e: F.transform(F.filter(F.transform(y, lambda t, i: F.struct(t.alias("t"), F.get(e, i).alias("e"))), lambda p: (p["t"]["own"] == 1) & (p["e"] < p["t"]["x"]["end"])), lambda p: p["t"]["x"])
+    clean = let(F.array_sort(F.concat(tag(others, 0), tag(spans, 1))), lambda y: let(ends(y), lambda e: outside(y, e)))
+    return F.when(F.size(spans) > 0, F.when(F.size(others) > 0, clean).otherwise(spans)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def scan(
@@ -195,16 +195,28 @@ def digest(df: DataFrame, **kw) -> DataFrame:
     return scan(df, **kw).select(F.col("id").alias("doc_id"), *(n(k) for k, *_ in BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _between(blocks: Column, begin: Column, end: Column) -> Column:
+    """The text from begin to end, of a text that is cut into blocks of BLOCK code points: only the blocks that it meets are looked at."""
+    first, last = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    a, z = (begin % BLOCK).cast("int"), (end % BLOCK).cast("int")
+    head, tail = F.get(blocks, first), F.coalesce(F.get(blocks, last), F.lit(""))
+    inner = F.when(last > first + 1, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise(F.lit(""))
+    one, more = F.substring(head, a + 1, z - a), F.concat(F.substring(head, a + 1, F.lit(BLOCK)), inner, F.substring(tail, F.lit(1), z))
+    return F.coalesce(F.when(first == last, one).otherwise(more), F.lit(""))
+
+
 def mask(df: DataFrame, marker: str = "[SECRET]", payload: tuple[str, ...] = (), **kw) -> DataFrame:
     """The scan's rows with every span replaced by the marker; overlapping spans by one. Texts without spans stay as they are."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.col("text").alias("t"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(acc["t"], (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(marker))).otherwise(acc["out"]).alias("out"),
-        acc["t"].alias("t"),
-    )
-    rest = lambda acc: F.concat(acc["out"], F.substring(acc["t"], (acc["at"] + 1).cast("int"), F.length(acc["t"])))
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    done = running(F.transform("spans", lambda x: x["end"]), F.greatest)
+
+    def cut(b: Column, e: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0).cast("long"))
+        parts = F.transform("spans", lambda x, i: F.when(x["start"] >= before(i), F.concat(_between(b, before(i), x["start"]), F.lit(marker))).otherwise(F.lit("")))
+        rest = _between(b, F.element_at(e, -1), F.length("text").cast("long"))
+        return F.array_join(F.array_append(parts, rest), "")
+
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    masked = F.when(F.size("spans") > 0, let(blocks, lambda b: let(done, lambda e: cut(b, e)))).otherwise(F.col("text"))
     return scan(df, payload=payload, **kw).withColumn("masked", masked)
 
 
