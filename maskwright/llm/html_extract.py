@@ -7,7 +7,8 @@ discounted by the share of its characters that are link text. The container with
 is taken; inside an article or main, or where only headings and prose stand beside it, the outer element is. It is kept whole, lists
 of links included, with those siblings that score near it or are prose themselves and the headings before them. Lists of links
 are left out only where the whole page is the container. Words of class and id never remove what holds most of a page's points, unless
-an article or main stands beside it.
+an article or main stands beside it, nor (where they may mean content too) long prose inside an article. Loose text beside
+the container is taken as a paragraph. The tree is built in time in proportion to the page.
 
 Defined results: null and empty pages give the empty text; unclosed, crossed and cut-off markup is read as far as it goes;
 pages may repeat and ids may be null; other columns are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import map_texts, text_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|comments?|comment-?list|disqus|repl(?:y|ies)|respond|share\w*|sharing|social\w*|related|recommend\w*|pagination|pager|toolbar|legal|copyright|complementary|navigation|contentinfo|search)(?:$|[-_\s])", re.I)
+#: Of these words, those that articles use for prose of their own as well (a share price, legal news, a header of a section).
+_WEAK = re.compile(r"(?:^|[-_\s])(?:header|masthead|foot|legal|share\w*|sharing|alert|notices?|search|toolbar|banner|widget\w*|promo\w*)(?:$|[-_\s])", re.I)
+_LISTS = {"ul", "ol", "dl", "table"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes"}
 _DROPPED = {"nav", "header", "footer", "aside", "form", "svg", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "map", "math", "fieldset", "label", "input"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -41,25 +46,52 @@ _SENTENCE = re.compile(r"[.!?](?:\s|$)|[。！？]")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "points", "chars", "links", "scored", "held")
+    __slots__ = ("tag", "parts", "parent", "block", "dropped", "weak", "points", "chars", "links", "scored", "held", "first", "last", "bodies")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.weak = tag, parent, dropped, False
+        self.block = None if parent is None else parent if parent.tag in _BLOCK else parent.block  # the block around it
         self.parts: list = []
         self.points, self.scored, self.chars, self.links, self.held = 0.0, False, 0, 0, 0.0
+        self.first = self.last = self.bodies = 0
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if tag in _DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    return any(_FURNITURE.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+def _named(attributes: str) -> str:
+    return " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
+
+
+class _Open:
+    """The open elements, with the depths at which each tag is open, so that no search climbs the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def depth(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop_to(self, depth: int) -> None:
+        """Close the element at a depth and all in it; each is closed once, whatever the page."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The page as a tree of nodes and texts, where what is left out is marked as dropped, and the nodes that only their class or id drops."""
-    root = top = Node("html", None, False)
+    root = Node("html", None, False)
+    open_ = _Open(root)
     named: list[Node] = []
     at, end = 0, len(page)
     while at < end:
@@ -68,39 +100,35 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         tag = m[2]
         if tag is None:
             if not m[0].startswith(("<!", "<?")):
-                top.parts.append(m[0])
+                open_.top.parts.append(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent if tag in _BLOCK or node.tag not in _BLOCK else root
-            if node is not root:
-                top = node.parent
+            depth = open_.depth((tag,))
+            if depth and (tag in _BLOCK or not open_.blocks or open_.blocks[-1] < depth):
+                open_.pop_to(depth)
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
-            top.parts.append(" ")
+            open_.top.parts.append(" ")
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            top.parts.append(" " if tag not in _BLOCK else Node(tag, top, True))
+            open_.top.parts.append(" " if tag not in _BLOCK else Node(tag, open_.top, True))
             continue
         if tag in ("html", "body"):
-            top = root if top.tag == "head" else top
+            open_.pop_to(open_.depth(("head",)) or len(open_.stack))
             continue
-        closing, scope = _IMPLIED.get(tag, ({"p"}, {"td", "th", "button", "table"}) if tag in _CLOSES_P else ((), ()))
-        node = top if closing else None
-        while node and node.parent and node.tag not in scope:
-            if node.tag in closing:
-                top = node.parent
-                break
-            node = node.parent
-        node = Node(tag, top, _furniture(tag, m[3]))
+        closing, scope = _IMPLIED.get(tag, (("p",), ("td", "th", "button", "table")) if tag in _CLOSES_P else ((), ()))
+        if (depth := open_.depth(closing)) > open_.depth(scope):
+            open_.pop_to(depth)
+        words = "" if tag in ("html", "body", "article", "main") or tag in _DROPPED else _named(m[3])
+        node = Node(tag, open_.top, tag in _DROPPED or bool(_FURNITURE.search(words)))
         if node.dropped and tag not in _DROPPED:
+            node.weak = not _FURNITURE.search(_WEAK.sub("  ", words))
             named.append(node)
-        top.parts.append(node)
-        top = node
+        open_.top.parts.append(node)
+        open_.push(node)
     return root, named
 
 
@@ -110,10 +138,13 @@ def _measure(node: Node, in_link: bool, below: list[Node]) -> None:
     while stack:
         n, link, done = stack.pop()
         if done:
+            n.last = len(below)
             if n.parent and not n.dropped:
                 n.parent.chars += n.chars
                 n.parent.links += n.links
             continue
+        n.first = len(below)
+        n.bodies = (n.parent.bodies if n.parent else 0) + (n.tag in ("article", "main"))
         below.append(n)
         stack.append((n, link, True))
         link = link or n.tag == "a"
@@ -150,7 +181,8 @@ def _points(n: Node) -> float:
 
 
 def _restore(root: Node, named: list[Node]) -> None:
-    """Take back the dropping by class of nodes with over half of the page's points, unless an article or main stands apart from them."""
+    """Take back the dropping by class: of nodes with over half of the page's points, unless an article or main stands apart from
+    them; and, inside an article or main, of long prose with few links whose class words are no sure sign of furniture."""
     for n in named:
         n.dropped = False
     nodes: list[Node] = []
@@ -159,31 +191,26 @@ def _restore(root: Node, named: list[Node]) -> None:
         n.held += _points(n)
         if n.parent:
             n.parent.held += n.held
-    bodies = [n for n in nodes if n.tag in ("article", "main") and n.held]
+    bodies = [n.first for n in nodes if n.tag in ("article", "main") and n.held]
     for n in named:
-        n.dropped = n.held <= root.held / 2 or any(not _within(n, b) and not _within(b, n) for b in bodies)
+        around = n.bodies - (n.tag in ("article", "main"))
+        inside = bisect_left(bodies, n.last) - bisect_left(bodies, n.first)
+        apart = len(bodies) > around + inside
+        n.dropped = not (n.held > root.held / 2 and not apart or n.weak and around and n.chars >= 200 and _density(n) < 0.1)
     for n in nodes:
         n.chars = n.links = 0
 
 
-def _within(n: Node | None, outer: Node) -> bool:
-    while n is not None and n is not outer:
-        n = n.parent
-    return n is outer
-
-
 def _score(nodes: list[Node]) -> None:
     for n in nodes:
         points = _points(n)
         if not points:
             continue
-        level, up = 0, n if n.tag in ("div", "section", "article", "main", "td", "html") else n.parent
+        level, up = 0, n if n.tag in ("div", "section", "article", "main", "td", "html") else n.block
         while up is not None and level < 5:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up.scored = True
-            if up.tag in _BLOCK:
-                level += 1
-            up = up.parent
+            level, up = level + 1, up.block
 
 
 def _blocks(n: Node, out: list[str], links: bool = True) -> None:
@@ -232,7 +259,7 @@ def _prose(n: Node) -> bool:
     out: list[str] = []
     _blocks(n, out)
     text = " ".join(out)
-    if n.tag in ("blockquote", "pre", "figure") and not n.links:
+    if n.tag in ("blockquote", "pre", "figure") and not n.links or n.tag in _LISTS and _density(n) < 0.25:
         return bool(text)
     return len(text) > 80 and _density(n) < 0.25 and bool(_SENTENCE.search(text))
 
@@ -272,7 +299,7 @@ def extract(page: str) -> str:
         _blocks(best, out, links=False)
         return "\n".join(out)
     waiting: list[Node] = []
-    for s in [p for p in best.parent.parts if isinstance(p, Node) and (p is best or not p.dropped and p.tag in _BLOCK and p.chars)]:
+    for s in _runs(best.parent, best):
         if s is not best and _heading(s):
             waiting.append(s)
         elif s is best or _prose(s) or 0 < least <= final.get(id(s), 0.0) and _density(s) < 0.3:
@@ -284,6 +311,24 @@ def extract(page: str) -> str:
     return "\n".join(out)
 
 
+def _runs(parent: Node, best: Node) -> list[Node]:
+    """The blocks of a node, with each run of loose text between them as a paragraph."""
+    out: list[Node] = []
+    loose: Node | None = None
+    for p in parent.parts:
+        if isinstance(p, Node) and (p is best or p.tag in _BLOCK):
+            loose = None
+            if p is best or not p.dropped and p.chars:
+                out.append(p)
+        elif isinstance(p, str) or not p.dropped:
+            if loose is None:
+                out.append(loose := Node("p", parent, False))
+            loose.parts.append(p)
+            loose.chars += p.chars if isinstance(p, Node) else len(p) if not p.isspace() else 0
+            loose.links += p.links if isinstance(p, Node) else 0
+    return [p for p in out if p.chars or p is best]
+
+
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -404,3 +405,21 @@ SHORT = "One paragraph of some ninety characters that has no comma and closes th
 def test_articles_are_whole(page, want):
     paragraphs = "".join(f"<p>{x}</p>" for x in LONG)
     assert html_extract.extract(page.format(paragraphs, f"<p>{SHORT}</p>")).split("\n") == want
+
+
+def test_loose_text_lists_and_quotations_stay():
+    inner = "<h1>Head</h1>Loose text beside the rest, long enough to be a paragraph, as some pages write it, without a tag.<div class=body>{}</div><ul><li>one</li><li>two</li></ul><blockquote>Quoted.</blockquote>".format("".join(f"<p>{x}</p>" for x in LONG))
+    want = ["Head", "Loose text beside the rest, long enough to be a paragraph, as some pages write it, without a tag.", *LONG, "one", "two", "Quoted."]
+    for page in (f"<nav>Menu</nav><article>{inner}</article>", f"<nav>Menu</nav><div>{inner}</div><footer>Foot</footer>"):
+        assert html_extract.extract(page).split("\n") == want
+    for name in ("share-price", "legal", "header-image"):
+        prose = "".join(f"<p>{x}</p>" for x in LONG)
+        assert html_extract.extract(f"<article><div class={name}>{prose}</div></article>").split("\n") == LONG
+        assert html_extract.extract(f"<article>{prose}<div class={name}>{prose}</div><div class='comments {name}'>{prose}</div></article>").split("\n") == LONG * 2
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 5, "<div>" * 50_000 + "</p></li>" * 50_000, "<b>" * 50_000 + "<p>text, long enough to score well" * 2000, "<p>" * 100_000, "<a " * 100_000 + '"', "<div class=nav><article>" * 30_000 + "text"])
+def test_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 10
