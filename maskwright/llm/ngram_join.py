@@ -1,16 +1,18 @@
 """N-gram Jaccard join, size-aware: subsets for small sets, inverted lists for large ones, exact.
 
-A document is the set of its distinct word shingles (64-bit hashes). Documents with the same set are one class; the join
-works on classes and returns a component for every document, so copies are never paired with each other.
+A document is the set of its distinct word shingles (64-bit hashes). Documents with the same set are one class (128 bits; a
+set of one shingle by its words); the join works on classes and returns a component for every document, so copies are never
+paired with each other. Texts go by 128 bits as well.
 
-1. Shingle counts. Each task counts the shingles of its batches before they move; what is left after the exchange is a
+1. Shingle counts. Each task counts the shingles of its batches before they move; they are dealt to parts whose number grows
+   with the bytes of the texts, so that no part outgrows a task. What is left after the exchange is a
    fixed-size table (2**24 one-byte cells, whatever the corpus) of frequency classes. Cell 0 means that the shingle is in one
    document only. The table only orders shingles, rare ones first, and any order gives the same result.
 2. Keys. A link needs a share of each set's shingles, so two linked sets meet in their prefixes under that order. A large
    set lists each shingle of its prefix (inverted lists). A small set instead lists the two-subsets of a prefix that is longer
    by one; lists are then far shorter, at the price of more keys. The boundary is the size where both cost the same: it comes
    from the histogram of sizes and the mean list length. Small sets that can still match a large one list single shingles too.
-   Shingles that no other document has are never listed.
+   Shingles that no other document has are never listed, nor are sets too small to link with any but themselves.
 3. Candidates. Two sets of a list are compared if their sizes, their numbers of shared shingles and what is left behind the
    key still allow a link. In a list of more than ``heavy`` sets all are first compared with one of them, the one
    with the fewest rare shingles; only pairs that are then still in different components are formed afterwards, in blocks of
@@ -36,16 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, text_of
+from maskwright.llm.common import map_texts, materialize, text_of
 from maskwright.llm.components import components, joined
 
-N, PERCENT, HEAVY, BLOCK, MAX_BROADCAST = 4, 85, 32, 2048, 2_000_000
-PARTS, CELLS = 1024, 1 << 14
+N, PERCENT, HEAVY, BLOCK, MAX_BROADCAST = 4, 85, 32, 2048, 500_000
+#: Bits of the frequency table's places, least and most bits of parts, bytes of texts for a part, shingles that a task counts at once.
+CELL_BITS, LEAST_BITS, MOST_BITS, PART_BYTES, AT_ONCE = 24, 10, 22, 32 << 20, 1 << 21
+LONG_WORD = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
+_TO_LOWER = bytes(_LOWER.astype(np.uint8))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,14 +60,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWER = np.zeros(0, np.uint64)
+_POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONG_WORD - 1, _BASE)]), dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(1 << n.bit_length(), _BASE)]), dtype=np.uint64)
-    return _POWER
+def _word_hashes(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words that follow each other in ``own`` (lower-cased bytes): polynomial ones, and a digest for those over LONG_WORD bytes."""
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(own)) - np.repeat(first, sizes)
+    h = _mix(np.add.reduceat((own + np.uint64(1)) * _POWER[np.minimum(at, LONG_WORD - 1)], first))
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        word = own[first[k] : first[k] + sizes[k]].astype(np.uint8).tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
@@ -73,11 +82,7 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    own = b[word]
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(len(own)) - np.repeat(first, sizes)
-    h = _mix(np.add.reduceat((_LOWER[own] + np.uint64(1)) * _powers(int(sizes.max()))[at], first))
+    h = _word_hashes(_LOWER[b[word]], ends - starts)
     k = min(n, len(h))
     out = h[: len(h) - k + 1].copy()
     for i in range(1, k):
@@ -85,23 +90,31 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(k)))
 
 
-def _cut(sorted_: np.ndarray) -> np.ndarray:
-    return np.searchsorted(sorted_ >> np.uint64(54), np.arange(PARTS + 1, dtype=np.uint64))
+def _signature(text: str, s: np.ndarray) -> bytes:
+    """128 bits for a set: of its hashes, or, where it is one shingle, of the words themselves."""
+    return hashlib.md5(s.tobytes() if len(s) != 1 else b"1" + b" ".join(text.encode("utf-8", "replace").translate(_TO_LOWER).split())).digest()
+
 
+def _count_batches(n: int, bits: int):
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(sets), return_counts=True)
+        short = ((found >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        part = (found >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        rows = [(int(part[i]), short[i:j][times[i:j] == 1].tobytes(), short[i:j][times[i:j] > 1].tobytes(), times[i:j][times[i:j] > 1].astype("<u4").tobytes()) for i, j in zip(first, [*first[1:], len(found)])]
+        sizes, held = np.unique([len(s) for s in sets], return_counts=True)
+        rows.append((-1 - int(found[0] % np.uint64(64)) if len(found) else -1, sizes.astype("<u4").tobytes(), held.astype("<u4").tobytes(), b""))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "once", "more", "times"])
 
-def _count_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
         for b in batches:
-            sets = [shingles(t, n) for t in b.column(0).to_pylist()]
-            if not sets:
-                continue
-            found, times = np.unique(np.concatenate(sets), return_counts=True)
-            short = ((found >> np.uint64(22)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            cuts = _cut(found)
-            rows = [(k, short[i:j][times[i:j] == 1].tobytes(), short[i:j][times[i:j] > 1].tobytes(), times[i:j][times[i:j] > 1].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-            sizes, held = np.unique([len(s) for s in sets], return_counts=True)
-            rows.append((-1 - int(found[0] % np.uint64(64)) if len(found) else -1, sizes.astype("<u4").tobytes(), held.astype("<u4").tobytes(), b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "once", "more", "times"])
+            sets += [shingles(t, n) for t in b.column(0).to_pylist()]
+            if sum(map(len, sets)) >= AT_ONCE:
+                yield counted(sets)
+                sets = []
+        if sets:
+            yield counted(sets)
 
     return run
 
@@ -110,22 +123,29 @@ def _joined(t: pa.Table, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), "<u4")
 
 
-def _frequency(t: pa.Table) -> pa.Table:
-    """Frequency classes of one part, its listed shingles and their occurrences; or, for negative parts, the sizes."""
-    part = t.column("part")[0].as_py()
-    cells, listed, total = np.zeros(CELLS, np.uint8), 0, 0
-    if part < 0:
-        sizes, held = _joined(t, "once"), _joined(t, "more")
-        used, at = np.unique(sizes, return_inverse=True)
-        cells = np.concatenate([used, np.bincount(at, held, len(used)).astype("<u4")]).astype("<u4")
-    else:
-        once, more = _joined(t, "once"), _joined(t, "more")
-        x, at = np.unique(np.concatenate([once, more]), return_inverse=True)
-        df = np.bincount(at, np.concatenate([np.ones(len(once)), _joined(t, "times")]), len(x))
-        on = df >= 2
-        listed, total = int(on.sum()), int(df[on].sum())
-        np.maximum.at(cells, x[on] >> 18, np.minimum(255, 1 + 4 * np.log2(df[on] / 2)).astype(np.uint8))
-    return pa.table({"part": pa.array([part], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary()), "listed": pa.array([listed], pa.int64()), "total": pa.array([total], pa.int64())})
+def _frequency(bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Frequency classes of one part, its listed shingles and their occurrences; or, for negative parts, the sizes."""
+        part = t.column("part")[0].as_py()
+        cells, listed, total = np.zeros(1 << (CELL_BITS - bits), np.uint8), 0, 0
+        if part < 0:
+            sizes, held = _joined(t, "once"), _joined(t, "more")
+            used, at = np.unique(sizes, return_inverse=True)
+            cells = np.concatenate([used, np.bincount(at, held, len(used)).astype("<u4")]).astype("<u4")
+        else:
+            once, more = _joined(t, "once"), _joined(t, "more")
+            x, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+            df = np.bincount(at, np.concatenate([np.ones(len(once)), _joined(t, "times")]), len(x))
+            on = df >= 2
+            listed, total = int(on.sum()), int(df[on].sum())
+            np.maximum.at(cells, x[on] >> np.uint32(32 - CELL_BITS + bits), np.minimum(255, 1 + 4 * np.log2(df[on] / 2)).astype(np.uint8))
+        return pa.table({"part": pa.array([part], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary()), "listed": pa.array([listed], pa.int64()), "total": pa.array([total], pa.int64())})
+
+    return run
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -144,12 +164,15 @@ def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) ->
 
 
 def _statistics(texts: DataFrame, n: int, percent: int) -> tuple[np.ndarray, int]:
-    """The table of frequency classes and the boundary; 1024 rows of 16 KB and at most 64 of sizes come to the driver."""
-    counted = texts.select("text").mapInArrow(_count_batches(n), "part int, once binary, more binary, times binary")
-    cells, sizes, listed, total = np.zeros(PARTS * CELLS, np.uint8), {}, 0, 0
-    for r in counted.groupBy("part").applyInArrow(_frequency, "part int, cells binary, listed long, total long").toLocalIterator():
+    """The table of frequency classes (16 MB) and the boundary; they and at most 64 rows of sizes come to the driver, a part at a time."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / PART_BYTES + 1))))
+    counted = map_texts(texts.select("text"), _count_batches(n, bits), "part int, once binary, more binary, times binary")
+    width = 1 << (CELL_BITS - bits)
+    cells, sizes, listed, total = np.zeros(1 << CELL_BITS, np.uint8), {}, 0, 0
+    for r in counted.groupBy("part").applyInArrow(_frequency(bits), "part int, cells binary, listed long, total long").toLocalIterator():
         if r["part"] >= 0:
-            cells[r["part"] * CELLS : (r["part"] + 1) * CELLS] = np.frombuffer(r["cells"], np.uint8)
+            cells[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["cells"], np.uint8)
         else:
             for s, c in np.frombuffer(r["cells"], "<u4").reshape(2, -1).T.tolist():
                 sizes[s] = sizes.get(s, 0) + c
@@ -157,7 +180,7 @@ def _statistics(texts: DataFrame, n: int, percent: int) -> tuple[np.ndarray, int
     return cells, boundary(sizes, total / max(1, listed), percent)
 
 
-ROWS = "kind int, doc_id long, text_hash long, n int, sig binary, shared int, key long, rest int"
+ROWS = "kind int, doc_id long, text_hash binary, n int, sig binary, shared int, key long, rest int"
 
 
 def _keys(cells: np.ndarray, small: int, n: int, percent: int):
@@ -166,7 +189,9 @@ def _keys(cells: np.ndarray, small: int, n: int, percent: int):
         cls = cells[(s >> np.uint64(40)).astype(np.int64)]
         order = np.lexsort((s, cls))
         unique, p, size = int((cls == 0).sum()), prefix(len(s), percent), len(s)
-        out = []
+        out: list[tuple[int, int]] = []
+        if 100 * size < percent * (size + 1):  # one shingle apart is too much: it links with its own class alone
+            return size - unique, out
         if size > small * percent / 100:
             out += [(int(s[k].view(np.int64)), size - i) for i in range(unique, p) for k in (order[i],)]
         if size <= small:
@@ -183,12 +208,12 @@ def _keys(cells: np.ndarray, small: int, n: int, percent: int):
             cols: list[list] = [[] for _ in range(8)]
             for doc, hash_, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 s = shingles(text, n)
-                sig = hashlib.md5(s.tobytes()).digest()
+                sig = _signature(text, s)
                 shared, keys = of(s) if len(s) else (0, [])
                 rows = [(0, doc, hash_, len(s), sig, shared, None, None)] + [(1, None, None, len(s), sig, shared, key, rest) for key, rest in keys]
                 for c, values in zip(cols, zip(*rows)):
                     c += values
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], [x.split()[0] for x in ROWS.split(", ")])
 
     return run
@@ -226,18 +251,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     found = docs.join(F.broadcast(wanted) if n_wanted <= MAX_BROADCAST else wanted, "text_hash", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             sigs, items = [], []
             for hash_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if hash_ not in seen:
                     seen.add(hash_)
                     s = shingles(text, n)
-                    sigs.append(hashlib.md5(s.tobytes()).digest())
+                    sigs.append(_signature(text, s))
                     items.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["sig", "items"])
 
-    return materialize(found.select("text_hash", "text").mapInArrow(run, "sig binary, items array<long>").groupBy("sig").agg(F.first("items").alias("items")), "sets")
+    return materialize(map_texts(found.select("text_hash", "text"), run, "sig binary, items array<long>").groupBy("sig").agg(F.first("items").alias("items")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,9 +277,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     Documents: doc_id, n_shingles, sig, text_hash, component_id, component (the component's smallest class; null for an
     empty set, which is a component of its own). Links: a, b (classes). Links inside a component that others already imply may be missing.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", _text_key(F.col("text")))
     cells, small = _statistics(docs, n, percent)
-    rows = materialize(docs.select("doc_id", "text_hash", "text").mapInArrow(_keys(cells, small, n, percent), ROWS), "keys")
+    rows = materialize(map_texts(docs.select("doc_id", "text_hash", "text"), _keys(cells, small, n, percent), ROWS), "keys")
     classes = rows.filter("kind = 0 and n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"))
 
     entries = rows.filter("kind = 1").groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.max("rest").alias("rest"))
@@ -310,7 +335,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw)
     marked = joined(found, kept, "component", "c").withColumn("goes", ~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash")))).filter("goes or times > 1")
     marks = materialize(marked.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "goes"), "marks")
     small = marks.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text_of(text_col)).alias("k_hash"))
+    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("k_id"), _text_key(text_of(text_col)).alias("k_hash"))
     on = F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_hash") == F.col("m_hash"))
     seen = own.join(F.broadcast(marks) if small else marks, on, "left")
     once = seen.filter("goes is not null and not goes").dropDuplicates(["k_id", "k_hash"])

@@ -57,7 +57,7 @@ def corpus(seed, n=60):
     return texts
 
 
-HARD = ["", None, "\n \t", "one", "ONE", "one two", "one two three", "a b c d", "A b C d", "a b c d e", "é É", "x " * 4000, "tie tie tie tie"]
+HARD = ["", None, "\n \t", "L" * 9000, "l" * 9000, "l" * 9001, "z " + "m" * 5000 + " b c d e f g h i j", "z " + "M" * 5000 + " b c d e f g h i j", "one", "ONE", "one two", "one two three", "a b c d", "A b C d", "a b c d e", "é É", "x " * 4000, "tie tie tie tie"]
 
 
 @pytest.mark.parametrize("heavy, block", [(32, 2048), (2, 3)])
