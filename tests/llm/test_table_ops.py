@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -129,17 +130,20 @@ def test_components(spark):
 def test_search_is_brute_force(spark):
     rng = np.random.default_rng(0)
     data = [(i, rng.normal(size=6).round(2).tolist()) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(60)]
-    data += [(500, None), (550, []), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (650, [float("nan")] * 6), (700, [float("inf")] + [0.0] * 5), (750, [1.0, 2.0]), (751, [3.0, 1.0]), (50, data[50][1]), (None, [1.0] * 6), (800, [1e30] + [0.0] * 5)]
+    data += [(500, None), (550, []), (551, []), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (650, [float("nan")] * 6), (700, [float("inf")] + [0.0] * 5), (750, [1.0, 2.0]), (751, [3.0, 1.0]), (50, data[50][1]), (None, [1.0] * 6), (None, [9e5] * 6)]
+    data += [(800, [1e30] + [0.0] * 5), (850, [600000.0] + [0.0] * 5), (851, [900000.0] + [0.5] * 5), (852, [3e7, -2e7, 1e7, 0.1, 0.2, 0.3]), (853, [-1e300] * 6)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in data], "vec_id long, embedding array<double>, score int, rank int")
-    usable = [(i, np.clip(np.floor(256 * np.array(v, float)), -(1 << 27), 1 << 27).astype(np.int64)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in data if v is not None and None not in v and all(map(math.isfinite, v))]
+    fit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
     want = []
     for k, (q, x) in enumerate(usable):
-        if q % 50 == 0:
-            scored = sorted((-int(x @ y), i) for j, (i, y) in enumerate(usable) if j != k and len(y) == len(x))
-            want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
-    for kw in ({}, {"shard_rows": 50, "query_block": 3}):
+        if q is not None and q % 50 == 0:
+            scored = sorted((-fit(sum(a * b for a, b in zip(x, y))), i is None, i or 0) for j, (i, y) in enumerate(usable) if j != k and len(y) == len(x))
+            want += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(scored[:5], 1)]
+    for kw in ({}, {"shard_rows": 50}):
         got = kd_search.top_k(df, F.col("id") % 50 == 0, **kw)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert (550, 1, 551, 0) in want and any(s > 1 << 53 for *_, s in want)
     assert kd_search.top_k(df.filter("false"), F.col("id") % 50 == 0).count() == 0
 
 
