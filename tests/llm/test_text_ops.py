@@ -124,6 +124,18 @@ def test_quality_counts_are_brute_force(spark):
     assert quality_rules.check(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("share, kept", [(0.0, True), (0.1, True), (0.15, True), (0.25, False), (0.35, False), (0.45, False)])
+def test_duplicated_passages_decide_below_the_base_rule(share, kept):
+    """Of 1,000 words a share stands in a passage of twelve words and its copies; short phrases that come again are no passages."""
+    n = int(1000 * share / 12)
+    passage = " ".join(f"pass{k:03}" for k in range(12))
+    parts = [passage] * n + [f"word{k:04} of the time" if k % 100 == 0 else f"word{k:04}" for k in range(1000 - 12 * n)]
+    text = " ".join(parts[::2] + parts[1::2])
+    rules = quality_rules.Rules()
+    got = dict(zip(("n", "chars", "symbols", "dup", "repeat", "failed", "kept"), quality_rules.measure(text, rules)))
+    assert got["kept"] == kept and not got["failed"]
+
+
 @given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 6))
 def test_repetition_coverage(ids, n):
     h = quality_rules._mix(np.array(ids, np.uint64) + np.uint64(1))
