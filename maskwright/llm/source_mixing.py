@@ -175,7 +175,7 @@ def taken(docs: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, s
     times = slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     begin = F.greatest(F.col("block") * block_words - F.col("at"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("at"), F.col("size"))
-    return parts.join(times, ["sid", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
+    return parts.join(times.hint("merge"), ["sid", "block"]).select("row", begin.alias("begin"), end.alias("end"), "times")
 
 
 def mix(df: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, **cols) -> DataFrame:
