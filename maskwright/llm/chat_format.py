@@ -4,8 +4,9 @@ For every participant of a conversation the dialogue is rendered once: that part
 others' as ``user`` with their name, ``system`` turns as ``system``; the mask lists the places that are trained on, which
 are the participant's own contents with their end marker.
 
-Turns are put in order by one range exchange on conversation, turn, role and text, so a conversation, or a turn number, that
-holds many rows is spread over tasks; a turn's number in its conversation is its place in its range plus the sizes of the ranges before. The
+Conversations of at most ``turns_per_part`` turns are gathered in one shuffle. The turns of longer ones are put in order by a
+range exchange on conversation, turn, role and text, so a conversation, or a turn number, that holds many rows is spread over
+tasks; a turn's number in its conversation is its place in its range plus the sizes of the ranges before. Such a
 dialogue is rendered in parts of ``turns_per_part`` turns by that number, each a row: the rendering of the whole dialogue is
 the texts of its parts in order, and ``offset`` is where a part starts in it. Participants are found by a partial aggregate
 and joined back, not broadcast.
@@ -53,13 +54,13 @@ def _mask(segments: Column) -> Column:
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
-    """Turns with their number in their conversation (``at``, from 0) and the conversation's number of turns (``total``)."""
+    """Turns with their number in their conversation (``at``, from 0)."""
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc(), F.col("draw").asc()]
     drawn = turns.withColumn("draw", F.monotonically_increasing_id())  # repeated rows can be parted too
     dealt = materialize(drawn.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).drop("draw"), "turns")
     part = F.shiftright("place", 33)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = dealt.groupBy(F.col("conv_id").alias("c"), part.alias("part")).agg(F.count("*").alias("n"), F.min("place").alias("first")).withColumns({"before": before, "total": F.sum("n").over(Window.partitionBy("c"))})
+    ranges = dealt.groupBy(F.col("conv_id").alias("c"), part.alias("part")).agg(F.count("*").alias("n"), F.min("place").alias("first")).withColumn("before", before)
     own = dealt.withColumn("part", part).join(ranges.withColumnRenamed("part", "p"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
     return own.withColumn("at", F.col("before") + F.col("place") - F.col("first")).drop("c", "p", "part", "place", "first", "before", "n")
 
@@ -67,11 +68,13 @@ def _numbered(turns: DataFrame) -> DataFrame:
 def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, offset, n_turns, n_own, text, mask (places in the part)."""
     read = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), _safe(text_of(text_col)).alias("text"))
-    turns = _numbered(read).withColumn("name", F.translate(_safe(F.coalesce("role", F.lit("unknown"))), "\n\r", "  "))
+    shown = read.withColumn("name", F.translate(_safe(F.coalesce("role", F.lit("unknown"))), "\n\r", "  "))
     people = read.filter(F.col("role").isNull() | (F.col("role") != "system")).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
+    many = materialize(read.groupBy(F.col("conv_id").alias("m")).agg(F.count("*").alias("n")).filter(F.col("n") > turns_per_part).select("m"), "long")
+    own = F.col("conv_id").eqNullSafe(F.col("m"))
+    place = F.struct(F.col("turn").isNull().alias("last"), "turn", F.col("role").isNull().alias("end"), "role", "text", "name")
 
-    def rendered(own: DataFrame) -> DataFrame:
-        parts = own.groupBy("conv_id", F.floor(F.col("at") / turns_per_part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "role", "name", "text"))).alias("turns"))
+    def rendered(parts: DataFrame) -> DataFrame:
         rows = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("segments", _segments(F.col("perspective")))
         return rows.select(
             "conv_id",
@@ -84,9 +87,11 @@ def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         )
 
     before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    short, long = (rendered(turns.filter(c)) for c in (F.col("total") <= turns_per_part, F.col("total") > turns_per_part))
+    whole = shown.join(many, own, "left_anti").groupBy("conv_id").agg(F.array_sort(F.collect_list(place)).alias("turns")).withColumn("part", F.lit(0).cast("long"))
+    numbered = _numbered(shown.join(many, own, "left_semi")).groupBy("conv_id", F.floor(F.col("at") / turns_per_part).alias("part"))
+    parts = numbered.agg(F.array_sort(F.collect_list(F.struct("at", "role", "name", "text"))).alias("turns"))
     offset = F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0))
-    return short.withColumn("offset", F.lit(0).cast("long")).unionByName(long.withColumn("offset", offset))
+    return rendered(whole).withColumn("offset", F.lit(0).cast("long")).unionByName(rendered(parts).withColumn("offset", offset))
 
 
 SQL = """
