@@ -15,23 +15,29 @@ def literal(needle: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def let(value: Column, of) -> Column:
+    """of(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: of(x)), F.lit(0))
+
+
+def running_sum(values: Column) -> Column:
+    """Running sums of an array by doubling steps: n * log2(n) work, and no array is copied for each element."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int") - 1)
+    far = lambda k: F.pow(F.lit(2.0), k).cast("int")
+    return F.aggregate(passes, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= far(k), x + F.get(acc, i - far(k))).otherwise(x)))
+
+
 def find_all(text: Column, pattern: Column) -> Column:
     """All non-overlapping matches, leftmost first. The pattern must not match the empty string.
 
-    Matches and the gaps between them alternate, so one pass over both gives every offset. Texts without a match cost one
-    search; null text has no matches.
+    Matches and the gaps between them alternate, so running sums over both give every offset, in time in proportion to the text. Texts without
+    a match cost one search; null text has no matches.
     """
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"), found.alias("found"), gaps.alias("gaps"))
-
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(acc["found"], i)
-        s = acc["at"] + F.length(F.get(acc["gaps"], i))
-        e = s + F.length(m)
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), m.alias("text")))).alias("out"), acc["found"].alias("found"), acc["gaps"].alias("gaps"))
-
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPAN))
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    sizes = lambda x: F.transform(x["found"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m))
+    place = lambda x, ends: F.transform(x["found"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("text")))
+    found = let(both, lambda x: let(running_sum(sizes(x)), lambda ends: place(x, ends)))
+    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def text_width(text: Column) -> Column:

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import FLAGS, find_all, literal
-from maskwright.operators.rules import Rule, first_seen
+from maskwright.operators.rules import GUARDS, Rule, first_seen
 
 # Names of custom rules, block-list hits and name hits.
 CUSTOM, BLOCK_PREFIX, NAME_RULE = "自定义", "黑名单:", "姓名启发式"
 HIT_COLS = ["doc_id", "location", "start", "end", "text", "source", "channel", "rule_name", "rule_ord", "pattern", "replacement"]
 #: Up to so many terms are held by every task; more are found by a join on their first characters.
-MAX_TERMS = 1000
+MAX_TERMS, MAX_LENGTH, KEY_LENGTH = 1000, 10_000, 6
 
 
 def hit(x: Column, source: str, rule_name: Column, rule_ord: Column, pattern: Column, channel: str = "automatic") -> Column:
@@ -28,7 +28,14 @@ def hits_in(text: Column, rules: list[Rule], source: str = "rule") -> Column:
     """All hits of all rules in a text as one array, without leaving the row. Rules may overlap one another."""
     # One function for each rule, as each needs its own pattern compiled once.
     one = lambda r: F.transform(find_all(text, F.lit(FLAGS + r.pattern)), lambda x: hit(x, source, F.lit(r.rule_name), F.lit(r.rule_ord), F.lit(r.pattern)))
-    return F.flatten(F.array(*(one(r) for r in rules)))
+    none = F.array().cast("array<struct<start:int,end:int,text:string,source:string,channel:string,rule_name:string,rule_ord:int,pattern:string,replacement:string>>")
+    return F.flatten(F.array(*(F.when(_likely(text, r), one(r)).otherwise(none) for r in rules)))
+
+
+def _likely(text: Column, r: Rule) -> Column:
+    """Whether a rule may match at all, by what its matches must hold; rules without a guard always may."""
+    guard = GUARDS.get(r.pattern, "")
+    return F.lit(True) if not guard else text.rlike(FLAGS + guard[1:]) if guard[0] == "~" else text.contains(guard)
 
 
 def find_spans(blocks: DataFrame, rules: list[Rule], source: str = "rule") -> DataFrame:
@@ -55,14 +62,17 @@ def find_exact(blocks: DataFrame, needle: str, source: str, case: bool = False,
 
 
 def with_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Blocks with each term they contain. The terms are counted; many meet the blocks by an equi-join on their first characters."""
-    n, k = terms.agg(F.count("*"), F.min(F.length("term"))).first()
-    if n <= MAX_TERMS:
+    """Blocks with each term they contain. The terms are counted; many, or very long ones, meet the blocks by an equi-join on their first
+    KEY_LENGTH characters, or on all of a shorter term, so that short terms do not shorten the others' keys."""
+    n, longest = terms.agg(F.count("*"), F.max(F.length("term"))).first()
+    if n <= MAX_TERMS and longest and longest <= MAX_LENGTH:
         return blocks.join(F.broadcast(terms), F.contains(blocks["text"], terms["term"]))
-    at = F.sequence(F.lit(1), F.length("text") - k + 1)
-    grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(k))))
-    keyed = blocks.filter(F.length("text") >= k).withColumn("_k", F.explode(grams))
-    return keyed.join(terms.withColumn("_k", F.substring("term", 1, k)), "_k").filter(F.contains("text", "term")).drop("_k")
+    size = F.least(F.length("term"), F.lit(KEY_LENGTH))
+    keyed_terms = terms.withColumn("_k", F.substring(F.col("term"), F.lit(1), size))
+    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())  # KEY_LENGTH numbers at most
+    grams = lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring(F.col("text"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    keyed = blocks.withColumn("_k", F.explode(F.array_distinct(F.concat(*map(grams, sizes or [1])))))
+    return keyed.join(keyed_terms, "_k").filter(F.contains("text", "term")).drop("_k")
 
 
 def scan_block_list(blocks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -94,9 +104,9 @@ def tag_source(channel: Column, kind: Column) -> Column:
 
 
 def attach_rule_name(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Names of the hits' patterns; the first rule of a pattern counts, an unknown pattern is a custom one. The rules are settings, few enough to broadcast."""
+    """Names of the hits' patterns; the first rule of a pattern counts, an unknown pattern is a custom one."""
     names = first_seen(rules.select("pattern", F.col("rule_name").alias("_name"), "rule_ord"), ["pattern"], "rule_ord").drop("rule_ord")
-    return hits.drop("rule_name").join(F.broadcast(names), "pattern", "left").withColumn("rule_name", F.coalesce("_name", F.lit(CUSTOM))).drop("_name")
+    return hits.drop("rule_name").join(names, "pattern", "left").withColumn("rule_name", F.coalesce("_name", F.lit(CUSTOM))).drop("_name")
 
 
 def pick_channels(pages: DataFrame, image_blocks: DataFrame) -> DataFrame:

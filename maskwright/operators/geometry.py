@@ -80,20 +80,19 @@ def merge_adjacent(hits: DataFrame, gap: float = 30, y_tol: float = 8) -> DataFr
     """Boxes of one line whose horizontal gap is small, joined: doc_id, page, rect. Hits: doc_id, page, y_center, rect.
 
     Lines: in order of y a box joins the first line whose first y is near, so what counts is that anchor and not the neighbour;
-    with boxes in order only the latest anchor can be near, so a running fold over the page's distinct y finds them. Inside a
-    line, gaps and islands over x.
+    with boxes in order only the latest anchor can be near, so a running fold over the page's boxes finds them. Inside a
+    line, gaps and islands over x, in the same exchange by page. Hits are read once.
     """
     page = ["doc_id", "page"]
-    ys = hits.filter("y_center is not null and rect is not null").groupBy(*page).agg(F.array_sort(F.collect_set("y_center")).alias("_ys"))
-    kind = "array<struct<y:double,a:double>>"
+    kind = "array<struct<a:double,rect:struct<x:double,y:double,w:double,h:double>>>"
     start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, y: Column) -> Column:
-        a = F.when(acc["a"].isNull() | (y - acc["a"] > y_tol), y).otherwise(acc["a"])
-        return F.struct(a.alias("a"), F.concat(acc["out"], F.array(F.struct(y.alias("y"), a.alias("a")))).alias("out"))
+    def step(acc: Column, h: Column) -> Column:
+        a = F.when(acc["a"].isNull() | (h["y"] - acc["a"] > y_tol), h["y"]).otherwise(acc["a"])
+        return F.struct(a.alias("a"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), h["rect"].alias("rect"))).cast(kind)).alias("out"))
 
-    anchors = ys.select(*page, F.explode(F.aggregate("_ys", start, step, lambda acc: acc["out"])).alias("k")).select(*page, F.col("k.y").alias("y_center"), F.col("k.a").alias("_line"))
-    own = hits.join(anchors, [*page, "y_center"])
+    rows = hits.filter("y_center is not null and rect is not null").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("y_center").cast("double").alias("y"), "rect"))).alias("_hits"))
+    own = rows.select(*page, F.explode(F.aggregate("_hits", start, step, lambda acc: acc["out"])).alias("k")).select(*page, F.col("k.a").alias("_line"), F.col("k.rect").alias("rect"))
     order = Window.partitionBy(*page, "_line").orderBy("rect.x", "rect.y", "rect.w", "rect.h")
     reach = F.max(F.col("rect.x") + F.col("rect.w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = own.withColumn("_reach", reach).withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | (F.col("rect.x") - F.col("_reach") > gap), 1).otherwise(0)).over(order))

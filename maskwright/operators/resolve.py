@@ -40,17 +40,23 @@ def planned(blocks: DataFrame, hits: DataFrame) -> DataFrame:
     return blocks.join(resolve_overlaps(hits), ["doc_id", "location"], "left").withColumn("plan", F.coalesce("plan", F.array().cast(PLAN)))
 
 
-def match_replace_rules(blocks: DataFrame, rules: list[dict]) -> DataFrame:
-    """Hits of replace rules (dicts of rule_index, enabled, mode, find, replace): exact ones match as written, regexes with their own case."""
+def replace_hits_in(text: Column, rules: list[dict]) -> Column | None:
+    """Hits of replace rules in a text as one array; null (None) without rules that are enabled and look for something."""
     arrays = []
     for r in rules:
         if r.get("enabled", True) and r["find"]:
-            found = find_all(F.col("text"), literal(F.lit(r["find"])) if r["mode"] == "exact" else F.lit(r["find"]))
+            found = find_all(text, literal(F.lit(r["find"])) if r["mode"] == "exact" else F.lit(r["find"]))
             one = lambda x, r=r: hit(x, "rule", F.lit(r["find"]), F.lit(r["rule_index"]), F.lit(r["find"]), "replace").withField("replacement", F.lit(r["replace"])).withField("mode", F.lit(r["mode"]))
             arrays.append(F.transform(found, _one_argument(one)))
-    if not arrays:
+    return F.concat(*arrays) if arrays else None
+
+
+def match_replace_rules(blocks: DataFrame, rules: list[dict]) -> DataFrame:
+    """Hits of replace rules (dicts of rule_index, enabled, mode, find, replace): exact ones match as written, regexes with their own case."""
+    hits = replace_hits_in(F.col("text"), rules)
+    if hits is None:
         return match_replace_rules(blocks.filter("false"), [{"find": "x", "mode": "exact", "rule_index": 0, "replace": ""}])
-    return blocks.select("doc_id", "location", F.explode(F.concat(*arrays)).alias("x")).select("doc_id", "location", "x.*")
+    return blocks.select("doc_id", "location", F.explode(hits).alias("x")).select("doc_id", "location", "x.*")
 
 
 def _one_argument(f):
@@ -110,7 +116,15 @@ def project_to_runs(plans: DataFrame, runs: DataFrame, default: str = "*") -> Da
     return runs.join(cuts, ["doc_id", "location", "run_no"], "left").withColumn("redacted", splice(F.col("text"), F.coalesce("cuts", none), F.lit(default))).drop("cuts")
 
 
-def batch_replace(blocks: DataFrame, rules: list[dict], default: str = "*") -> DataFrame:
-    """Replace rules over all documents: blocks with plan and redacted."""
-    return render_redacted(planned(blocks, match_replace_rules(blocks, rules)), default)
+def plan_in(hits: Column, rank: int, exact_first: bool = False) -> Column:
+    """The plan of one text's hits of one channel, without leaving the row; ``rank`` is the channel's."""
+    mode = (lambda x: F.when(x["mode"] == "regex", 1).otherwise(0)) if exact_first else (lambda x: F.lit(0))
+    row = lambda x: F.struct(F.lit(rank).alias("rank"), mode(x).alias("m"), x["rule_ord"].alias("rule"), x["start"].alias("start"), (x["start"] - x["end"]).alias("size"), x["end"].alias("end"), x["source"].alias("source"), x["rule_name"].alias("rule_name"), x["replacement"].alias("replacement"), x["channel"].alias("channel"), x["rule_ord"].alias("rule_ord"))
+    return greedy(F.array_sort(F.transform(hits, row)))
 
+
+def batch_replace(blocks: DataFrame, rules: list[dict], default: str = "*") -> DataFrame:
+    """Replace rules over all documents: blocks with plan and redacted. No text is moved: hits, plan and text stay in the row."""
+    hits = replace_hits_in(F.col("text"), rules)
+    plan = F.array().cast(PLAN) if hits is None else F.coalesce(plan_in(hits, 0, exact_first=True), F.array().cast(PLAN))
+    return render_redacted(blocks.withColumn("plan", plan), default)

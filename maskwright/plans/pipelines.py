@@ -41,7 +41,9 @@ def word_hits(blocks: DataFrame, s: Settings) -> DataFrame:
 
 
 def word_scan(blocks: DataFrame, s: Settings, edits: DataFrame | None = None) -> DataFrame:
-    """Blocks with plan and redacted text; ``edits`` are manual and replace-rule hits."""
+    """Blocks with plan and redacted text; ``edits`` are manual and replace-rule hits. Where rules are all there is, nothing leaves the row."""
+    if s.rules and edits is None and s.allow is s.block is s.decisions is s.names is None:
+        return redact_rows(blocks, s.rules, default=s.default)
     hits = word_hits(blocks, s)
     hits = hits if edits is None else hits.unionByName(edits, allowMissingColumns=True)
     return resolve.render_redacted(resolve.planned(blocks, hits), s.default)
@@ -59,8 +61,8 @@ def redact_rows(blocks: DataFrame, rules: list[Rule], terms: list[str] = (), def
 
         cut = lambda x: F.transform(kept_runs(x["text"], allow), lambda k: x.withField("end", x["start"] + k["end"]).withField("start", x["start"] + k["start"]).withField("text", k["text"]))
         hits = F.flatten(F.transform(hits, cut))
-    ordered = F.array_sort(F.transform(hits, lambda x: F.struct(F.lit(2).alias("rank"), F.lit(0).alias("m"), x["rule_ord"].alias("rule"), x["start"].alias("start"), (x["start"] - x["end"]).alias("size"), x["end"].alias("end"), x["source"].alias("source"), x["rule_name"].alias("rule_name"), x["replacement"].alias("replacement"), x["channel"].alias("channel"), x["rule_ord"].alias("rule_ord"))))
-    return resolve.render_redacted(blocks.withColumn("plan", resolve.greedy(ordered)), default)
+    plan = F.coalesce(resolve.plan_in(hits, 2), F.array().cast(resolve.PLAN))
+    return resolve.render_redacted(blocks.withColumn("plan", plan), default)
 
 
 def page_scan(lines: DataFrame, rules: list[Rule], adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:

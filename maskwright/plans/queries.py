@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,16 @@ def a8_import_replace_rules(spark, sf_dir):
     return config.import_replace_rules(o.select("o_orderkey", text.alias("config")), "config", ("o_orderkey",))
 
 
+@query("SELECT o_orderkey, 0 AS rule_index, o_orderstatus = 'F' AS enabled, 'exact' AS mode, o_orderpriority AS find, o_orderstatus AS replace FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 1, true, 'regex', o_orderstatus || '+', '#' FROM orders WHERE o_orderkey % 3 = 0")
+def a8_export_replace_rules(spark, sf_dir):
+    """Two rules of each order (in falling order of their numbers) written as one JSON text and read again."""
+    o = t(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    first = F.struct(F.lit(4).alias("rule_index"), (F.col("o_orderstatus") == "F").alias("enabled"), F.lit("exact").alias("mode"), F.col("o_orderpriority").alias("find"), F.col("o_orderstatus").alias("replace"))
+    second = F.struct(F.lit(9).alias("rule_index"), F.lit(True).alias("enabled"), F.lit("regex").alias("mode"), F.concat("o_orderstatus", F.lit("+")).alias("find"), F.lit("#").alias("replace"))
+    rows = o.select("o_orderkey", F.explode(F.array(second, first)).alias("r")).select("o_orderkey", "r.*")
+    return config.import_replace_rules(config.export_replace_rules(rows, ("o_orderkey",)), "config", ("o_orderkey",))
+
+
 # ---- decisions -----------------------------------------------------------------------------------------------------
 
 
@@ -275,6 +286,23 @@ def b7_edit_terms(spark, sf_dir):
     return rules.remove_terms(rules.add_terms(terms, more), gone).select("layer", "ord", "term")
 
 
+@query(f"WITH {TERMS} SELECT layer, CAST(ord AS INTEGER) AS ord, term FROM tm WHERE layer = 'session' UNION ALL SELECT 'permanent', CAST(n_nationkey AS INTEGER), n_name FROM nation")
+def b7_update_permanent(spark, sf_dir):
+    new = t(spark, sf_dir, "nation").select(F.lit("allow").alias("list"), F.concat(F.lit("  "), "n_name", F.lit(" ")).alias("term"), F.col("n_nationkey").cast("int").alias("ord"))
+    return rules.update_permanent(rules.sanitize_terms(_terms(spark, sf_dir)), new).select("layer", "ord", "term")
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS rule_ord, c_name AS rule_name FROM customer WHERE c_custkey < 400 AND c_custkey % 7 IN (0, 6)")
+def b2_active_rules(spark, sf_dir):
+    """Rules made of customers: disabled, blank, the seal's, not compiling, matching the empty text, and two kinds that stay."""
+    c = t(spark, sf_dir, "customer").filter("c_custkey < 400")
+    kind = F.col("c_custkey") % 7
+    pattern = F.when(kind == 1, "  ").when(kind == 2, rules.SEAL).when(kind == 3, F.concat("c_name", F.lit("("))).when(kind == 4, "(?:x|y)*").otherwise(F.concat(F.lit("\\Q"), "c_name", F.lit("\\E")))
+    table = c.select(F.col("c_custkey").cast("int").alias("rule_ord"), F.col("c_name").alias("rule_name"), pattern.alias("pattern"), F.when(kind == 6, None).otherwise(kind != 5).alias("enabled"), F.lit("").alias("description"))
+    active = rules.active_rules(table)
+    return spark.createDataFrame([(r.rule_ord, r.rule_name) for r in active], "rule_ord int, rule_name string")
+
+
 def _external(spark, sf_dir) -> DataFrame:
     e = t(spark, sf_dir, "events")
     source = F.when(F.col("event_type") == "view", "seal").when(F.col("event_type") == "click", "manual").when(F.col("event_type") == "error", "camera").otherwise("ocr")
@@ -286,6 +314,11 @@ def b6_validate_hits(spark, sf_dir):
     return rules.validate_hits(_external(spark, sf_dir))[0].select("doc_id", "end", "source")
 
 
+@query("SELECT event_id AS doc_id, CAST(trunc(value) AS INTEGER) AS \"end\", CASE event_type WHEN 'view' THEN 'seal' WHEN 'click' THEN 'manual' WHEN 'error' THEN 'camera' ELSE 'ocr' END AS source FROM events WHERE NOT (event_type <> 'error' AND trunc(value) >= 10)")
+def b6_rejected_hits(spark, sf_dir):
+    return rules.validate_hits(_external(spark, sf_dir))[1].select("doc_id", "end", "source")
+
+
 @query("SELECT 'rules.' || p_name AS path, CASE WHEN p_size % 6 = 0 THEN 'pattern is empty' ELSE 'order is out of range' END AS message FROM part WHERE (p_size % 6 = 0) <> (p_partkey % 10 = 0) UNION ALL SELECT 'rules.' || p_name, unnest(['pattern is empty', 'order is out of range']) FROM part WHERE p_size % 6 = 0 AND p_partkey % 10 = 0")
 def b8_validate_rules(spark, sf_dir):
     p = t(spark, sf_dir, "part")
@@ -435,6 +468,34 @@ def c18_attach_rule_name(spark, sf_dir):
     return detect.attach_rule_name(hits, rows).select("l_orderkey", "l_linenumber", "rule_name")
 
 
+# Texts for the Chinese rules are made from the keys and dates of orders. Every fifth key has a digit more beside each number, which
+# the rules' look-around refuses; of the sentence of each rule the place of the match is known from how it is made.
+CHINESE = """o AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders),
+p AS (SELECT k, CASE WHEN k % 5 = 0 THEN '9' ELSE '' END AS x, '110101' || CAST(1950 + k % 60 AS VARCHAR) || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0') || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || CASE WHEN k % 2 = 0 THEN 'X' ELSE CAST(k % 10 AS VARCHAR) END AS id,
+  '13' || lpad(CAST(k % 1000000000 AS VARCHAR), 9, '0') AS mobile, CAST(year(d) AS VARCHAR) || '年' || CAST(month(d) AS VARCHAR) || '月' || CAST(day(d) AS VARCHAR) || '日' AS day,
+  '010-' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') AS phone, '北京市朝阳区建国路' || CAST(k AS VARCHAR) || '号' AS address, '法定代表人：王小明' AS person FROM o),
+q AS (SELECT k, x, unnest(['身份证号', '手机号码', '日期时间', '固定电话', '地址（含门牌号）', '法定代表人']) AS rule_name, unnest([id, mobile, day, phone, address, person]) AS m, unnest([1, 1, 0, 1, 0, 0]) AS digits FROM p)"""
+
+
+@query(f"WITH {CHINESE} SELECT k AS doc_id, rule_name, 3 AS start, CAST(3 + length(m) AS INTEGER) AS \"end\", m AS text FROM q WHERE digits = 0 OR x = ''")
+def c2_c9_rules_on_orders(spark, sf_dir):
+    """Each of the rules for national ids, mobiles, dates, landlines, addresses and representatives on a sentence of its own for every order."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    number = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    extra = F.when(k % 5 == 0, "9").otherwise("")
+    made = {
+        "身份证号": F.concat(F.lit("编号 "), extra, F.lit("110101"), (1950 + k % 60).cast("string"), number(1 + k % 12, 2), number(1 + k % 28, 2), number(k % 1000, 3), F.when(k % 2 == 0, "X").otherwise((k % 10).cast("string"))),
+        "手机号码": F.concat(F.lit("电话 "), F.lit("13"), number(k % 1000000000, 9), extra),
+        "日期时间": F.concat(F.lit("日期 "), F.year(d).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月"), F.dayofmonth(d).cast("string"), F.lit("日")),
+        "固定电话": F.concat(F.lit("座机 "), F.lit("010-"), number(k % 100000000, 8), extra),
+        "地址（含门牌号）": F.concat(F.lit("住 \n"), F.lit("北京市朝阳区建国路"), k.cast("string"), F.lit("号")),
+        "法定代表人": F.concat(F.lit("由 \n"), F.lit("法定代表人：王小明")),
+    }
+    o = t(spark, sf_dir, "orders")
+    parts = [detect.find_spans(o.select(k.alias("doc_id"), F.lit("").alias("location"), text.alias("text")), [R[name]]) for name, text in made.items()]
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "rule_name", "start", "end", "text")
+
+
 @query(f"""WITH {BLOCKS}, p AS (SELECT doc_id, block_no AS page, trim(text) <> '' AS txt, contains(text, ',') AS img FROM b)
 SELECT doc_id, page, 'text' AS channel FROM p WHERE txt UNION ALL SELECT doc_id, page, 'image' FROM p WHERE img UNION ALL SELECT doc_id, page, 'page' FROM p WHERE NOT txt AND NOT img""")
 def c19_pick_channels(spark, sf_dir):

@@ -32,10 +32,10 @@ def overlay_rules(defaults: DataFrame, user: DataFrame, key: str = "rule_name")
     return both.select(key, *(F.coalesce(F.col(f"u.{c}"), F.col(f"d.{c}")).alias(c) for c in fields))
 
 
-def export_replace_rules(rules: DataFrame) -> DataFrame:
-    """A versioned JSON text (column config) of ordered replace rules. Rules are settings, few enough for one row."""
+def export_replace_rules(rules: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """A versioned JSON text (column config) of ordered replace rules, one for each rule set that ``payload`` tells apart. The rules of a set are settings, few enough for one row."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "enabled", "mode", "find", "replace"))), lambda r: F.struct(*(r[c].alias(c) for c in ("enabled", "mode", "find", "replace"))))
-    return rules.agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), rows.alias("rules"))).alias("config"))
+    return rules.groupBy(*payload).agg(F.to_json(F.struct(F.lit(VERSION).alias("version"), rows.alias("rules"))).alias("config"))
 
 
 def import_replace_rules(df: DataFrame, json_col: str = "config", payload: tuple[str, ...] = ()) -> DataFrame:

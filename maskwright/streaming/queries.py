@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,11 +14,13 @@ from maskwright.plans import queries as batch
 from maskwright.sources.corpus import blocks_from_text
 from maskwright.streaming import jobs
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """The session's spark.checkpoint.dir; where it is unset, a session on one machine gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"{tempfile.gettempdir()}/spark-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
