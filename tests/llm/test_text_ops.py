@@ -329,11 +329,50 @@ def test_language_id(spark):
 
 
 def test_kernel_is_the_spectrum_kernel():
-    a, b = "abc abd", "abd xyz"
-    own = lambda t: {w[i : i + n] for w in (f"{x} " for x in t.split()) for n in (2, 3, 4) for i in range(len(w) - n + 1)}
-    x = language_id.bits([a, b])
-    assert x[0].sum() <= len(language_id.grams(a)) and 0 < language_id.kernel(x, x)[0, 1] < 1
-    assert np.allclose(np.diag(language_id.kernel(x, x)), 1) and own(a) & own(b)
+    """Against sets of n-grams of the letters and word ends, made one by one."""
+    texts = ["abc abd", "abd xyz", "Über 12 uns, ABC", "a", "xyz abd abc"]
+    plain_ = [re.sub(r"[^a-zäöüß]+", " ", t.lower()) for t in texts]
+    sets = [{t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)} for t in plain_]
+    got = language_id.kernel(language_id.bits(texts), language_id.bits(texts))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.isclose(got[i, j], len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b))))
+
+
+def test_ridge_regression_on_all_rows_is_the_plain_one():
+    """With every row a landmark, Nyström features give the kernel itself: scores are those of plain kernel ridge regression."""
+    rng = np.random.default_rng(5)
+    lang = list(LETTERS) * 8
+    x = language_id.bits([speak(rng, LETTERS[k], 5) for k in lang])
+    order = [i for k in LETTERS for i, y in enumerate(lang) if y == k]
+    x, lang = x[order], [lang[i] for i in order]
+    model = language_id.fit(np.packbits(x.astype(bool), axis=1), lang, landmarks=len(lang), ridge=1e-2)
+    got = x @ model.matrix[:-1] / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + model.matrix[-1]
+    k = language_id.kernel(x, x).astype(float)
+    values, vectors = np.linalg.eigh(k)
+    phi = np.hstack([vectors * np.sqrt(np.maximum(values, 0)), np.ones((len(x), 1))])
+    y = np.where(np.array(lang)[:, None] == np.array(model.languages)[None], 1.0, -1.0)
+    share = 1 / 8
+    want = phi @ np.linalg.solve(share * phi.T @ phi + 1e-2 * np.eye(phi.shape[1]), share * phi.T @ y)
+    assert np.allclose(got, want, atol=1e-3)
+
+
+@pytest.mark.parametrize("text, und", [("½ ² ³", True), ("12 ٣", True), ("_-!", True), ("½ a", False), ("漢", False), ("ª", False)])
+def test_letters_are_what_isalpha_says(text, und):
+    assert language_id.has_letter(text) != und and any(map(str.isalpha, text)) != und
+
+
+def test_scores_are_naive_averages():
+    """Word by word and window by window: the mean of a word's n-gram values, the mean of four words, the highest of a text."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.3)
+    texts = ["one", "a b c d e f g", "same same same other word here now", " ".join(speak(rng, "abcdef", 50).split()), "Was für ein Wörtchen, nicht?!"]
+    known: dict[str, float] = {}
+    for text, got in zip(texts, model.scores(texts, known)):
+        found = [w for w, before in zip(text.split(), [None, *text.split()]) if w != before]
+        value = [float(np.mean(model.buckets[toxicity.subwords([w])[0]])) for w in found]
+        means = [sum(value[i : i + 4]) / 4 for i in range(max(1, len(value) - 3))]
+        assert np.isclose(got, 1 / (1 + math.exp(-(max(means) - 0.3))), atol=1e-5)
 
 
 def test_toxicity(spark):
