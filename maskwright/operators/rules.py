@@ -94,11 +94,23 @@ def layer_rank() -> Column:
     return F.when(F.col("layer") == "permanent", 0).otherwise(1)
 
 
+#: Places of a list that are numbered in one task.
+PLACES = 10_000
 
-def effective_terms(terms: DataFrame) -> DataFrame:
-    """Terms of both layers, permanent ones first, each once at its first place: list, term, ord."""
+
+def effective_terms(terms: DataFrame, places: int = PLACES) -> DataFrame:
+    """Terms of both layers, permanent ones first, each once at its first place: list, term, ord (from 1).
+
+    A list is numbered in stretches of ``places`` places of a layer; only the stretches' sizes are summed up over a whole list.
+    """
     first = sanitize_terms(terms).groupBy("list", "term").agg(F.min(F.struct(layer_rank().alias("rank"), "ord")).alias("k"))
-    return first.select("list", "term", F.row_number().over(Window.partitionBy("list").orderBy("k.rank", "k.ord", "term")).alias("ord"))
+    stretched = first.select("list", "term", "k.rank", "k.ord", F.floor(F.col("k.ord") / places).alias("stretch"))
+    sizes = stretched.groupBy("list", "rank", "stretch").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("list").orderBy("rank", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("list").alias("_l"), F.col("rank").alias("_r"), F.col("stretch").alias("_s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("list", "rank", "stretch").orderBy("ord", "term"))
+    same = F.col("list").eqNullSafe(F.col("_l")) & (F.col("rank") == F.col("_r")) & F.col("stretch").eqNullSafe(F.col("_s"))
+    return stretched.withColumn("own", own).join(before, same).select("list", "term", (F.col("before") + F.col("own")).cast("int").alias("ord"))
 
 
 def add_terms(terms: DataFrame, more: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def blocks_from_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A block for each line: doc_id, location (paragraph_<n>), block_no, kind, text. No shuffle; a long document becomes many short rows."""
+    """A block for each line: doc_id, location (paragraph_<n>), block_no, kind, text. No shuffle; a long document becomes many short rows.
+
+    An empty text is one empty line. A null text has no lines, so its document has no block; join it back by id where it is needed.
+    """
     lines = F.posexplode(F.split(F.col(text_col), "\n")).alias("block_no", "text")
     return df.select(F.col(id_col).alias("doc_id"), lines).select("doc_id", F.concat(F.lit("paragraph_"), "block_no").alias("location"), "block_no", F.lit("paragraph").alias("kind"), "text")
 

@@ -38,6 +38,10 @@ def test_term_lists(spark):
     rows = [("allow", "session", 0, "b"), ("allow", "permanent", 1, " a "), ("allow", "permanent", 0, "c"), ("allow", "session", 1, "a"), ("allow", "session", 2, " "), ("allow", "session", 3, None)]
     t = spark.createDataFrame(rows, "list string, layer string, ord int, term string")
     assert [r["term"] for r in rules.effective_terms(t).orderBy("ord").collect()] == ["c", "a", "b"]
+    numbered = {tuple(r) for r in rules.effective_terms(t, places=1).collect()}
+    assert numbered == {("allow", "c", 1), ("allow", "a", 2), ("allow", "b", 3)} == {tuple(r) for r in rules.effective_terms(t).collect()}
+    loose = spark.createDataFrame([("block", "session", None, "x"), (None, "session", 7, "y"), ("block", "session", 20_000, "z"), ("block", "permanent", 30_000, "w")], "list string, layer string, ord int, term string")
+    assert {tuple(r) for r in rules.effective_terms(loose).collect()} == {("block", "w", 1), ("block", "x", 2), ("block", "z", 3), (None, "y", 1)}
     clean = rules.sanitize_terms(t)
     more = rules.add_terms(clean, spark.createDataFrame([("allow", "z", 9), ("allow", "b", 10), ("allow", "z", 11)], "list string, term string, ord int"))
     assert sorted((r["layer"], r["term"], r["ord"]) for r in more.collect() if r["layer"] == "session") == [("session", "a", 1), ("session", "b", 0), ("session", "z", 9)]
