@@ -769,11 +769,12 @@ def f2_match_replace_rules(spark, sf_dir):
 SEGMENTS = KEPT + """, w AS (SELECT pl.*, t.text AS bt, row_number() OVER w AS k, coalesce(lag("end") OVER w, 0) AS before FROM pl JOIN b t ON t.doc_id = pl.doc_id AND t.location = pl.location WINDOW w AS (PARTITION BY pl.doc_id, pl.location ORDER BY start)),
 sg AS (SELECT doc_id, location, 2 * k - 1 AS o, 'text' AS kind, substr(bt, CAST(before + 1 AS BIGINT), CAST(start - before AS BIGINT)) AS original, substr(bt, CAST(before + 1 AS BIGINT), CAST(start - before AS BIGINT)) AS shown FROM w WHERE start > before
  UNION ALL SELECT doc_id, location, 2 * k, 'replacement', text, '*' FROM w
- UNION ALL SELECT doc_id, location, 1000000, 'text', substr(bt, max("end") + 1), substr(bt, max("end") + 1) FROM w GROUP BY doc_id, location, bt HAVING length(bt) > max("end"))"""
+ UNION ALL SELECT doc_id, location, 1000000, 'text', substr(bt, max("end") + 1), substr(bt, max("end") + 1) FROM w GROUP BY doc_id, location, bt HAVING length(bt) > max("end")
+ UNION ALL SELECT doc_id, location, 1, 'text', text, text FROM b WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.doc_id = b.doc_id AND pl.location = b.location))"""
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    return pipelines.word_scan(blocks(spark, sf_dir), _settings()).filter(F.size("plan") > 0)
+    return pipelines.word_scan(blocks(spark, sf_dir), _settings())
 
 
 @query(SEGMENTS + " SELECT doc_id, location, CAST(row_number() OVER (PARTITION BY doc_id, location ORDER BY o) - 1 AS INTEGER) AS seg_no, kind, shown AS text FROM sg")
@@ -817,7 +818,7 @@ def f8_undo_manual(spark, sf_dir):
     return resolve.undo_manual(resolve.manual_global(s, blocks(spark, sf_dir)), undone).select("doc_id", "location", "start", "text")
 
 
-@query(RENDERED + """, hb AS (SELECT DISTINCT doc_id, location FROM pl) SELECT rd.doc_id, rd.location, redacted FROM rd JOIN hb ON hb.doc_id = rd.doc_id AND hb.location = rd.location""")
+@query(RENDERED + " SELECT doc_id, location, redacted FROM rd")
 def f9_project_to_runs(spark, sf_dir):
     """Blocks cut into runs of 25 characters, redacted run by run and put together again."""
     p = _planned(spark, sf_dir)
