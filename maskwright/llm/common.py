@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,16 +61,28 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, side="right")))
             yield b.slice(i, j - i)
             i = j
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker outlives its task, and what it keeps counts against the executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def map_texts(df: DataFrame, run, schema, column: str = "text") -> DataFrame:
     """``mapInArrow`` over texts in bounded memory: Spark is asked for batches of at most BATCH_BYTES (a session setting, lowered
-    where it is higher), which reach ``run`` in slices."""
+    where it is higher), which reach ``run`` in slices; what the task has freed is given back at its end."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if _bytes(df.sparkSession.conf.get(key)) > BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(lambda batches: run(sliced(batches, column)), schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches, column))
+        give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def _bytes(setting: str) -> int:

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from maskwright.llm.components import components, joined
 
 N, PERCENT, HEAVY, BLOCK, MAX_BROADCAST = 4, 85, 32, 2048, 500_000
 #: Bits of the frequency table's places, least and most bits of parts, bytes of texts for a part, shingles that a task counts at once.
-CELL_BITS, LEAST_BITS, MOST_BITS, PART_BYTES, AT_ONCE = 24, 10, 22, 32 << 20, 1 << 21
+CELL_BITS, LEAST_BITS, MOST_BITS, PART_BYTES, AT_ONCE = 24, 10, 22, 32 << 20, 1 << 19
 LONG_WORD = 4096
 
 _SPACE = np.zeros(256, bool)
@@ -184,7 +185,9 @@ ROWS = "kind int, doc_id long, text_hash binary, n int, sig binary, shared int,
 
 
 def _keys(cells: np.ndarray, small: int, n: int, percent: int):
-    def of(s: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    packed = zlib.compress(cells.tobytes(), 1)  # workers keep a task's function until their next one
+
+    def of(s: np.ndarray, cells: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
         """Number of shingles that others may share, and the keys with what is left from each on."""
         cls = cells[(s >> np.uint64(40)).astype(np.int64)]
         order = np.lexsort((s, cls))
@@ -204,12 +207,13 @@ def _keys(cells: np.ndarray, small: int, n: int, percent: int):
         return size - unique, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.frombuffer(zlib.decompress(packed), np.uint8)
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             for doc, hash_, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 s = shingles(text, n)
                 sig = _signature(text, s)
-                shared, keys = of(s) if len(s) else (0, [])
+                shared, keys = of(s, cells) if len(s) else (0, [])
                 rows = [(0, doc, hash_, len(s), sig, shared, None, None)] + [(1, None, None, len(s), sig, shared, key, rest) for key, rest in keys]
                 for c, values in zip(cols, zip(*rows)):
                     c += values

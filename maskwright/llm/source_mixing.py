@@ -143,7 +143,8 @@ def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
                 on = np.flatnonzero(got)
                 yield pd.DataFrame({"shard": np.full(len(on), shard), "sid": sid[on], "n": got[on]})
 
-    of_groups = spark.range(shards, numPartitions=max(1, min(shards // 16, 1024))).mapInPandas(draw_groups, "shard long, grp long, n long")
+    # Written between the draws: a task that runs two Python functions needs two workers, and an executor keeps them.
+    of_groups = materialize(spark.range(shards, numPartitions=max(1, min(shards // 16, 1024))).mapInPandas(draw_groups, "shard long, grp long, n long"), "drawn_groups")
     drawn = materialize(of_groups.join(groups.select("grp", "own"), "grp").mapInPandas(draw_sources, "shard long, sid long, n long"), "drawn")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = drawn.withColumn("first", before)
