@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import best_fit_packing, chat_format, html_extract, kd_search, language_id, ngram_join, quality_rules, secret_scan, source_mixing, toxicity
+from maskwright.llm import best_fit_packing, chat_format, conversation_trie, html_extract, kd_search, language_id, ngram_join, quality_rules, ranked_search, secret_scan, simhash_dedup, source_mixing, toxicity
 from maskwright.llm.common import table
 
 
@@ -52,7 +52,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op9_ngram_join, op10_best_fit_packing)
+    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_rules, op4_kd_search, op5_source_mixing, op6_chat_format, op7_html_extract, op8_language_id, op9_ngram_join, op10_best_fit_packing, op11_ranked_search, op12_conversation_trie, op13_simhash_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.SQL, "op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.SQL, "op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op4_kd_search": kd_search.SQL, "op6_chat_format": chat_format.SQL, "op11_ranked_search": ranked_search.SQL, "op12_conversation_trie": conversation_trie.SQL}
