@@ -20,11 +20,33 @@ def let(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), lambda x: of(x)), F.lit(0))
 
 
+def running(values: Column, combine) -> Column:
+    """Running combination (``combine`` of two columns: sum, greatest, least) of an array by doubling steps: n * log2(n) work, and no array is copied for each element."""
+    n = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, combine(x, F.get(acc, i - d))).otherwise(x)))
+
+
 def running_sum(values: Column) -> Column:
-    """Running sums of an array by doubling steps: n * log2(n) work, and no array is copied for each element."""
-    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int") - 1)
-    far = lambda k: F.pow(F.lit(2.0), k).cast("int")
-    return F.aggregate(passes, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= far(k), x + F.get(acc, i - far(k))).otherwise(x)))
+    return running(values, lambda a, b: a + b)
+
+
+#: Code points of a stretch of a text that is cut often.
+STRETCH = 1024
+
+
+def stretches(text: Column) -> Column:
+    """A text as an array of stretches of STRETCH code points, cut in one pass; a null or empty text has none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), F.array().cast("array<string>"))
+
+
+def piece_of(parts: Column, start: Column, end: Column) -> Column:
+    """A piece of a text from its stretches: the work goes by the piece, not by its place in the text."""
+    own = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    first, last = F.floor(start / STRETCH).cast("int"), F.floor(F.greatest(end - 1, start) / STRETCH).cast("int")
+    at, to = start - first * STRETCH, end - last * STRETCH
+    across = F.concat(F.substring(own(first), at + 1, F.lit(STRETCH)), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(own(last), F.lit(1), to))
+    return F.when(end <= start, F.lit("")).when(first == last, F.substring(own(first), at + 1, end - start)).otherwise(across)
 
 
 def find_all(text: Column, pattern: Column) -> Column:
@@ -52,14 +74,22 @@ def piece(text: Column, start: Column, end: Column) -> Column:
 
 def _starts(text: Column, term: Column) -> Column:
     """Where the term occurs, overlaps included: the text is cut before each occurrence, and the pieces' lengths add up."""
-    pieces = F.split(text, F.concat(F.lit("(?="), literal(term), F.lit(")")), -1)
-    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("out"))
+    ends = let(F.split(text, F.concat(F.lit("(?="), literal(term), F.lit(")")), -1), lambda x: running_sum(F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda p: F.length(p))))
+    return F.concat(F.when(F.startswith(text, term), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), ends)
+
 
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p)
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+def _gaps(text: Column, parts: Column, covered: Column) -> Column:
+    """What spans (s, e; by start, overlaps allowed) leave of a text. The farthest end so far is a running maximum."""
+    one = lambda s, e: F.struct(s.alias("start"), e.alias("end"), piece_of(parts, s, e).alias("text"))
+    ends = running(F.transform(covered, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
 
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["out"])
+    def between(ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        inner = F.transform(covered, lambda x, i: F.when(x["s"] > before(i), one(before(i), x["s"])))
+        last = before(F.size(ends))
+        return F.filter(F.concat(inner, F.array(F.when(F.length(text) > last, one(last, F.length(text))))), lambda x: x.isNotNull())
+
+    return let(ends, between)
 
 
 def kept_runs(text: Column, terms: Column) -> Column:
@@ -69,27 +99,36 @@ def kept_runs(text: Column, terms: Column) -> Column:
     """
     real = F.filter(terms, lambda t: t.isNotNull() & (F.trim(t) != ""))
     hits = lambda t: F.when(F.contains(text, t), F.transform(_starts(text, t), lambda i: F.struct(i.alias("s"), (i + F.length(t)).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-    covered = F.array_sort(F.flatten(F.transform(real, hits)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    one = lambda s, e: F.array(F.struct(s.alias("start"), e.alias("end"), piece(text, s, e).alias("text")))
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] > acc["at"], F.concat(acc["out"], one(acc["at"], x["s"]))).otherwise(acc["out"]).alias("out"))
-    end = lambda acc: F.when(F.length(text) > acc["at"], F.concat(acc["out"], one(acc["at"], F.length(text)))).otherwise(acc["out"])
+    covered = lambda own: F.array_sort(F.flatten(F.transform(own, hits)))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"))).cast(SPAN)
-    return F.when(F.size(real) == 0, whole).otherwise(F.aggregate(covered, start, step, end))
+    cut = lambda own: let(F.struct(stretches(text).alias("parts"), covered(own).alias("covered")), lambda x: _gaps(text, x["parts"], x["covered"]))
+    return let(real, lambda own: F.when(F.size(own) == 0, whole).otherwise(cut(own).cast(SPAN)))
 
 
 def splice(text: Column, plan: Column, default: Column) -> Column:
     """The text with the plan's spans (start, end, replacement; in order, disjoint) replaced; a null replacement is the default."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], piece(text, acc["at"], x["start"]), F.coalesce(x["replacement"], default)).alias("out"))
-    return F.aggregate(plan, start, step, lambda acc: F.concat(acc["out"], piece(text, acc["at"], F.length(text))))
+
+    def joined(x: Column) -> Column:
+        plan, parts = x["plan"], x["parts"]
+        before = lambda i: F.coalesce(F.get(plan, i - 1)["end"], F.lit(0))
+        cut = F.transform(plan, lambda h, i: F.concat(piece_of(parts, before(i), h["start"]), F.coalesce(h["replacement"], default)))
+        return F.concat(F.array_join(cut, ""), piece_of(parts, before(F.size(plan)), F.length(text)))
+
+    whole = let(F.struct(plan.alias("plan"), stretches(text).alias("parts")), joined)
+    return F.when(F.size(plan) == 0, text).when(text.isNotNull(), whole)
 
 
 def segments(text: Column, plan: Column, default: Column, replaced: bool = True) -> Column:
     """The text cut at the plan's spans: kind (text, replacement), text, source. Empty text segments are left out."""
-    kind = "array<struct<kind:string,text:string,source:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    plain = lambda s, e: F.when(e > s, F.array(F.struct(F.lit("text").alias("kind"), piece(text, s, e).alias("text"), F.lit(None).cast("string").alias("source")))).otherwise(F.array().cast(kind))
-    shown = (lambda x: F.coalesce(x["replacement"], default)) if replaced else (lambda x: piece(text, x["start"], x["end"]))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], plain(acc["at"], x["start"]), F.array(F.struct(F.lit("replacement").alias("kind"), shown(x).alias("text"), x["source"].alias("source")))).alias("out"))
-    return F.aggregate(plan, start, step, lambda acc: F.concat(acc["out"], plain(acc["at"], F.length(text))))
+    row = lambda kind, text, source: F.struct(F.lit(kind).alias("kind"), text.alias("text"), source.cast("string").alias("source"))
+
+    def cut(x: Column) -> Column:
+        plan, parts = x["plan"], x["parts"]
+        before = lambda i: F.coalesce(F.get(plan, i - 1)["end"], F.lit(0))
+        plain = lambda s, e: F.when(e > s, row("text", piece_of(parts, s, e), F.lit(None)))
+        shown = (lambda h: F.coalesce(h["replacement"], default)) if replaced else (lambda h: piece_of(parts, h["start"], h["end"]))
+        both = F.transform(plan, lambda h, i: F.array(plain(before(i), h["start"]), row("replacement", shown(h), h["source"])))
+        last = F.array(plain(before(F.size(plan)), F.length(text)))
+        return F.filter(F.concat(F.flatten(both), last), lambda s: s.isNotNull())
+
+    return F.when(text.isNotNull(), let(F.struct(plan.alias("plan"), stretches(text).alias("parts")), cut))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from maskwright.functions.spans import FLAGS, find_all, literal
 from maskwright.operators.rules import GUARDS, Rule, first_seen
@@ -13,8 +17,8 @@ from maskwright.operators.rules import GUARDS, Rule, first_seen
 # Names of custom rules, block-list hits and name hits.
 CUSTOM, BLOCK_PREFIX, NAME_RULE = "自定义", "黑名单:", "姓名启发式"
 HIT_COLS = ["doc_id", "location", "start", "end", "text", "source", "channel", "rule_name", "rule_ord", "pattern", "replacement"]
-#: Up to so many terms are held by every task; more are found by a join on their first characters.
-MAX_TERMS, MAX_LENGTH, KEY_LENGTH = 1000, 10_000, 6
+#: Up to so many terms, of at most so many characters, are looked for one by one; more by automata of about so many bytes of terms each.
+MAX_TERMS, MAX_LENGTH, TERM_BYTES = 32, 10_000, 1 << 20
 
 
 def hit(x: Column, source: str, rule_name: Column, rule_ord: Column, pattern: Column, channel: str = "automatic") -> Column:
@@ -61,24 +65,81 @@ def find_exact(blocks: DataFrame, needle: str, source: str, case: bool = False,
     return _rows(on, F.transform(found, lambda x: hit(x, source, F.col(needle) if rule_name is None else rule_name, F.lit(None), F.col(needle), channel)))
 
 
-def with_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Blocks with each term they contain. The terms are counted; many, or very long ones, meet the blocks by an equi-join on their first
-    KEY_LENGTH characters, or on all of a shorter term, so that short terms do not shorten the others' keys."""
-    n, longest = terms.agg(F.count("*"), F.max(F.length("term"))).first()
-    if n <= MAX_TERMS and longest and longest <= MAX_LENGTH:
-        return blocks.join(F.broadcast(terms), F.contains(blocks["text"], terms["term"]))
-    size = F.least(F.length("term"), F.lit(KEY_LENGTH))
-    keyed_terms = terms.withColumn("_k", F.substring(F.col("term"), F.lit(1), size))
-    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())  # KEY_LENGTH numbers at most
-    grams = lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring(F.col("text"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    keyed = blocks.withColumn("_k", F.explode(F.array_distinct(F.concat(*map(grams, sizes or [1])))))
-    return keyed.join(keyed_terms, "_k").filter(F.contains("text", "term")).drop("_k")
+def term_shards(terms: DataFrame) -> Iterator[list[str]]:
+    """Distinct terms in lists of about TERM_BYTES; a longer term is alone. A list at a time comes to the driver."""
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    n = -(-size // TERM_BYTES)
+    for k in range(n):
+        yield [r["term"] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()]
+
+
+def _automaton(terms: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        out.add_word(t, (k, t))
+    out.make_automaton()
+    return out
+
+
+def _found_in(terms: list[str], payload: list[str]):
+    def found(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
+        out, free = [], {}
+        for last, (k, t) in automaton.iter(text):
+            start = last + 1 - len(t)
+            if start >= free.get(k, 0):  # occurrences of one term do not overlap
+                free[k] = last + 1
+                out.append({"start": start, "term": t})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(terms)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("term", pa.string())]))
+        for b in batches:
+            texts, rows, hits = b.column("_text"), [], []
+            for k in range(len(b)):
+                if own := found(texts[k].as_py() or "", automaton):
+                    rows.append(k)
+                    hits.append(own)
+            kept = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in payload), pa.array(hits, kind)], [*payload, "found"])
+
+    return run
+
+
+def find_terms(df: DataFrame, terms: DataFrame, payload: list[str], text_col: str = "text") -> DataFrame:
+    """Rows that hold a term, with all places of all terms: payload, found (start, term; one term's places do not overlap).
+
+    Terms (column ``term``, distinct, not empty) make an Aho-Corasick automaton, so a text is read once however many there are. Lists
+    over TERM_BYTES make several, each with its own pass and rows. Only the payload and what was found leave the scan.
+    """
+    read = df.select(*payload, F.col(text_col).alias("_text"))
+    schema = df.select(*payload).schema.add("found", DataType.fromDDL("array<struct<start:int,term:string>>"))
+    out = [read.mapInArrow(_found_in(shard, payload), schema) for shard in term_shards(terms)]
+    return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], schema)
+
+
+def _few(terms: DataFrame) -> bool:
+    n, longest = terms.limit(MAX_TERMS + 1).agg(F.count("*"), F.max(F.length("term"))).first()
+    return n <= MAX_TERMS and (longest or 0) <= MAX_LENGTH
+
+
+def with_terms(df: DataFrame, terms: DataFrame, payload: list[str]) -> DataFrame:
+    """Rows with each term that their text holds: payload, term. A few terms are broadcast; more are found by an automaton."""
+    if _few(terms):
+        return df.join(F.broadcast(terms), F.contains(df["text"], terms["term"])).select(*payload, "term")
+    found = find_terms(df, terms, payload)
+    return found.select(*payload, F.explode(F.array_distinct(F.transform("found", lambda x: x["term"]))).alias("term"))
 
 
 def scan_block_list(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """Case-sensitive occurrences of block-listed terms (column ``term``), as hits of source blacklist."""
-    pairs = with_terms(blocks, terms.select("term").filter("term <> ''").distinct())
-    return find_exact(pairs, "term", "blacklist", case=True, rule_name=F.concat(F.lit(BLOCK_PREFIX), "term")).withColumn("pattern", F.lit(None).cast("string"))
+    own = terms.select("term").filter("term <> ''").distinct()
+    if _few(own):
+        pairs = with_terms(blocks, own, ["doc_id", "location", "text"])
+        return find_exact(pairs, "term", "blacklist", case=True, rule_name=F.concat(F.lit(BLOCK_PREFIX), "term")).withColumn("pattern", F.lit(None).cast("string"))
+    place = lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["term"])).alias("end"), x["term"].alias("text"))
+    one = lambda x: hit(place(x), "blacklist", F.concat(F.lit(BLOCK_PREFIX), x["term"]), F.lit(None), F.lit(None).cast("string"))
+    return _rows(find_terms(blocks, own, ["doc_id", "location"]), F.transform("found", one))
 
 
 def unique_then_expand(blocks: DataFrame, rules: list[Rule], source: str = "rule") -> DataFrame:

@@ -150,7 +150,7 @@ def apply_allow_list_boxes(hits: DataFrame, tokens: DataFrame, terms: Column) ->
 
 def block_list_boxes(tokens: DataFrame, terms: DataFrame, scale: float = 1.0) -> DataFrame:
     """Whole boxes of tokens that hold a block-listed term, touching ones joined."""
-    pairs = with_terms(tokens.select("doc_id", "page", "tok_no", "text", "rect"), terms.select("term").filter("term <> ''").distinct())
+    pairs = with_terms(tokens, terms.select("term").filter("term <> ''").distinct(), ["doc_id", "page", "tok_no", "rect"])
     order = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("tok_no", "term"))
     r = F.col("rect")
     hits = pairs.select("doc_id", "page", order.alias("ord"), rect(r["x"] / scale, r["y"] / scale, r["w"] / scale, r["h"] / scale).alias("rect"), F.col("term").alias("text"), F.lit("blacklist").alias("source"), F.concat(F.lit(BLOCK_PREFIX), "term").alias("rule_name"))

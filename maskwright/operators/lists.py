@@ -16,12 +16,12 @@ def split_by_allow_list(text: Column, terms: Column) -> Column:
 
 def with_own_terms(hits: DataFrame, terms: DataFrame) -> tuple[DataFrame, Column]:
     """Hits and, as a column, the terms to hold them against: an array literal for a list of at most MAX_TERMS, else those that the hit's
-    text contains, found by a join over distinct texts."""
+    text contains, found in the distinct texts."""
     own = terms.select("term").filter(F.trim("term") != "").distinct()
     words = [r["term"] for r in own.limit(MAX_TERMS + 1).collect()]
     if len(words) <= MAX_TERMS:
         return hits, F.array(*map(F.lit, sorted(words)))
-    held = with_terms(hits.select("text").distinct(), own).groupBy(F.col("text").alias("_text")).agg(F.array_sort(F.collect_list("term")).alias("_terms"))
+    held = with_terms(hits.select("text").distinct(), own, ["text"]).groupBy(F.col("text").alias("_text")).agg(F.array_sort(F.collect_list("term")).alias("_terms"))
     return hits.join(held, F.col("text") == F.col("_text"), "left").drop("_text"), F.coalesce("_terms", F.array().cast("array<string>"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import find_all, literal, segments, splice
+from maskwright.functions.spans import find_all, let, literal, running, segments, splice
 from maskwright.operators.detect import HIT_COLS, hit
 
 def channel_rank() -> Column:
@@ -14,17 +14,78 @@ def channel_rank() -> Column:
 PLAN = "array<struct<start:int,end:int,replacement:string,source:string,channel:string,rule_name:string,rule_ord:int>>"
 
 
+#: Hits that are held against each other one by one; and those that are gathered before they are appended to the plan.
+FEW, CHUNK = 16, 128
+_FIELDS = ("start", "end", "replacement", "source", "channel", "rule_name", "rule_ord")
+
+
+def _own(x: Column) -> Column:
+    return F.struct(*(x[c].alias(c) for c in _FIELDS))
+
+
+def _one_by_one(candidates: Column) -> Column:
+    apart = lambda acc, x: ~F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"]))
+    return F.array_sort(F.aggregate(candidates, F.array().cast(PLAN), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(_own(x)))).otherwise(acc)))
+
+
+def _sweep(places: Column) -> Column:
+    """Of places in order of start (start, new, item, free: where the next span that is taken begins) the items that are taken, or stay
+    taken. One pass, which gathers numbers of places, by chunks, as Spark copies what a fold holds at each step."""
+
+    def step(acc: Column, i: Column) -> Column:
+        x = F.get(places, i)
+        on = (x["new"] == 0) | ((x["start"] >= acc["at"]) & (x["item"]["end"] <= x["free"]))
+        return F.when(on, F.struct(x["item"]["end"].alias("at"), F.concat(acc["out"], F.array(i)).alias("out"))).otherwise(acc)
+
+    def chunk(acc: Column, k: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("out"))
+        numbers = F.sequence(k * CHUNK, F.least((k + 1) * CHUNK, F.size(places)) - 1)
+        return F.aggregate(numbers, start, step, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    taken = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / CHUNK).cast("int")), start, chunk, lambda acc: F.flatten(acc["out"]))
+    return F.transform(taken, lambda i: F.get(places, i)["item"])
+
+
+def _by_level(candidates: Column) -> Column:
+    """Levels (channel, mode, rule) in order of preference. A level's hits come by start, as do the spans taken so far, so both are merged and
+    swept once: a hit is taken if it starts behind all before it and ends before the next taken span."""
+    level = lambda x: F.struct(x["rank"], x["m"], x["rule"])
+    at = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (level(F.get(v, i)) != level(F.get(v, i - 1))))
+
+    def merged(taken: Column, own: Column) -> Column:
+        place = lambda x, new: F.struct(x["start"].alias("start"), F.lit(new).alias("new"), (x["start"] - x["end"]).alias("size"), _own(x).alias("item"))
+        held = F.transform(taken, lambda x: F.struct(place(x, 0).alias("p"), F.lit(0).alias("i")))
+        new = F.transform(own, lambda x, i: F.struct(place(x, 1).alias("p"), i.alias("i")))
+        key = lambda x: F.struct(x["p"]["start"].alias("start"), x["p"]["new"].alias("new"), x["i"].alias("i"), x["p"]["item"].alias("item"))
+        both = F.transform(F.concat(held, new), key)
+        return F.when(F.size(taken) == 0, both).otherwise(F.array_sort(both))
+
+    def freed(places: Column) -> Column:
+        begins = F.transform(F.reverse(places), lambda x: F.when(x["new"] == 0, x["start"]).otherwise(F.lit(2**31 - 1)))
+        return let(F.reverse(running(begins, lambda a, b: F.least(a, b))), lambda b: F.transform(places, lambda x, i: x.withField("free", F.get(b, i))))
+
+    def whole(v: Column) -> Column:
+        def over(starts: Column) -> Column:
+            def step(taken: Column, k: Column) -> Column:
+                first = F.get(starts, k)
+                own = F.slice(v, first + 1, F.coalesce(F.get(starts, k + 1), F.size(v)) - first)
+                return let(merged(taken, own), lambda p: let(freed(p), _sweep))
+
+            return F.aggregate(F.sequence(F.lit(0), F.size(starts) - 1), F.array().cast(PLAN), step)
+
+        return let(at(v), over)
+
+    return let(candidates, whole)
+
+
 def greedy(candidates: Column) -> Column:
-    """Of candidates in order of preference those that are disjoint from all taken before, by start."""
-    taken = F.aggregate(
-        candidates,
-        F.array().cast(PLAN),
-        lambda acc, x: F.when(
-            (x["end"] > x["start"]) & ~F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])),
-            F.concat(acc, F.array(F.struct(*(x[c].alias(c) for c in ("start", "end", "replacement", "source", "channel", "rule_name", "rule_ord"))))),
-        ).otherwise(acc),
-    )
-    return F.array_sort(taken)
+    """Of candidates in order of preference those that are disjoint from all taken before, by start.
+
+    Some few are held against each other; more are swept level by level, in n * log2(n) steps for each level that a block has.
+    """
+    real = F.filter(candidates, lambda x: x["end"] > x["start"])
+    return let(real, lambda v: F.when(F.size(v) <= FEW, _one_by_one(v)).otherwise(_by_level(v)))
 
 
 def resolve_overlaps(hits: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from maskwright.operators import detect, geometry, lists, names, overrides, repo
 from maskwright.plans import pipelines
 from maskwright.sources import config, corpus
 
-EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 R = {r.rule_name: r for r in rules.DEFAULT_RULES}
+EMAIL = R["电子邮箱"].pattern
 PII = [R["银行卡号"], R["电子邮箱"]]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -397,6 +397,17 @@ def c12_scan_block_list(spark, sf_dir):
     return detect.scan_block_list(blocks(spark, sf_dir), terms).select("doc_id", "location", "start", "rule_name")
 
 
+@query("WITH " + BLOCKS + """, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS term FROM benchmark),
+p AS (SELECT doc_id, location, term, string_split(text, term) AS gs FROM b JOIN t ON contains(text, term)),
+k AS (SELECT doc_id, location, term, gs, unnest(range(1, len(gs))) AS i FROM p)
+SELECT doc_id, location, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + (i - 1) * length(term) AS INTEGER) AS start, '黑名单:' || term AS rule_name FROM k""")
+def c12_many_terms(spark, sf_dir):
+    """The words of all benchmark passages as a block list: about a thousand terms or more."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))
+    terms = t(spark, sf_dir, "benchmark").select(F.explode(words).alias("term"))
+    return detect.scan_block_list(blocks(spark, sf_dir), terms).select("doc_id", "location", "start", "rule_name")
+
+
 @query("WITH " + sql_spans("e", "documents", "[0-9]+", CARD_KEEP, "doc_id") + """, u AS (SELECT DISTINCT doc_id, m FROM e), p AS (SELECT u.doc_id, m, string_split(text, m) AS gs FROM u JOIN documents d ON d.doc_id = u.doc_id), k AS (SELECT doc_id, m, gs, unnest(range(1, len(gs))) AS i FROM p)
 SELECT doc_id, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + (i - 1) * length(m) AS INTEGER) AS start, m AS rule_name FROM k""")
 def c13_unique_then_expand(spark, sf_dir):
