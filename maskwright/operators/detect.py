@@ -70,7 +70,8 @@ def term_shards(terms: DataFrame) -> Iterator[list[str]]:
     size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
     n = -(-size // TERM_BYTES)
     for k in range(n):
-        yield [r["term"] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()]
+        if own := [r["term"] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()]:
+            yield own
 
 
 def _automaton(terms: list[str]) -> ahocorasick.Automaton:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans
 from maskwright.operators import detect, geometry, lists, names, overrides, report, resolve, rules
 from maskwright.plans import pipelines
-from maskwright.sources import config, corpus
+from maskwright.sources import config, corpus, sink
+from maskwright.sources.shared import own_dir
 
 R = {r.rule_name: r for r in rules.DEFAULT_RULES}
 EMAIL = R["电子邮箱"].pattern
@@ -91,6 +92,36 @@ def a3_read_corpus(spark, sf_dir):
     return df.agg(F.count_distinct("item_id").alias("items"), F.sum(F.length("text")).alias("chars"), F.bool_and(F.contains("path", F.lit("benchmark.parquet"))).alias("has_path"), F.bool_and(F.col("size") > 0).alias("has_size"))
 
 
+_BROKEN = "(doc_id // 100) % 7 = 3"
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """The documents as text files of about a hundred each (number k); some of them get a line that is not UTF-8."""
+    home, k = own_dir(spark, "files"), F.floor(F.col("doc_id") / 100).cast("long")
+    d = t(spark, sf_dir, "documents").select(k.alias("k"), "text")
+    broken = d.select("k").distinct().filter("k % 7 = 3").withColumn("text", F.unhex(F.lit("FF")).cast("string"))
+    d.unionByName(broken).repartition("k").write.partitionBy("k").text(home)
+    return corpus.read_files(spark, [home], glob="*.txt").withColumn("k", F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long"))
+
+
+@query(f"SELECT doc_id // 100 AS k, CASE WHEN {_BROKEN} THEN 'failed' ELSE 'success' END AS status, CASE WHEN {_BROKEN} THEN 'not UTF-8' END AS error, CASE WHEN NOT {_BROKEN} THEN CAST(sum(coalesce(length(text), 0) + 1) AS BIGINT) END AS chars FROM documents GROUP BY 1, 2, 3, {_BROKEN}")
+def a3_read_failures(spark, sf_dir):
+    return _files(spark, sf_dir).select("k", "status", "error", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE k % 7 <> 3) AS BIGINT) AS success, CAST(count(*) FILTER (WHERE k % 7 = 3) AS BIGINT) AS failed FROM (SELECT DISTINCT doc_id // 100 AS k FROM documents)")
+def a3_failure_summary(spark, sf_dir):
+    return report.batch_summary(_files(spark, sf_dir).withColumnRenamed("k", "doc_id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM events")
+def a3_parse_records(spark, sf_dir):
+    """Events as JSON texts, each fifth of them cut off."""
+    whole = F.to_json(F.struct(F.col("event_type").alias("kind"), "value"))
+    e = t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("text"))
+    return corpus.parse_records(e, "kind string, value double").select("event_id", "kind", "status")
+
+
 _PATHS = "CASE WHEN page_id % 3 = 0 THEN '/data/' || regexp_replace(url, '^https?://', '') WHEN page_id % 3 = 1 THEN '/srv/' || url ELSE '/tmp/' || regexp_replace(url, '^https?://', '') || '.PDF' END"
 
 
@@ -756,6 +787,17 @@ def f3_render_redacted(spark, sf_dir):
     return pipelines.redact_rows(blocks(spark, sf_dir), PII).select("doc_id", "location", "redacted")
 
 
+@query(ORACLE_SQL["f3_render_redacted"])
+def a9_write_redacted(spark, sf_dir):
+    """Two batches, one of them delivered twice, and a try that was broken off before it was committed: the sink gives each row once."""
+    home, rows = own_dir(spark, "sink"), f3_render_redacted(spark, sf_dir)
+    half = F.pmod(F.xxhash64("doc_id", "location"), F.lit(2))
+    for k in (0, 1, 0):
+        sink.write_once(rows.filter(half == k), home, "run", k)
+    rows.filter(half == 1).write.parquet(f"{home}/data/run_id=run/batch_id=2/try=broken")
+    return sink.read_committed(spark, home, rows.schema)
+
+
 RULES = [
     {"rule_index": 0, "enabled": True, "mode": "regex", "find": "th[a-z]", "replace": "<R>"},
     {"rule_index": 1, "enabled": True, "mode": "exact", "find": "the", "replace": "<E>"},

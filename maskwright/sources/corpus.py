@@ -30,6 +30,36 @@ def read_corpus(spark: SparkSession, paths: list[str], fmt: str = "text") -> Dat
     return df.select(*(F.col(c).alias("text" if fmt == "text" else c) for c in df.columns), *meta)
 
 
+#: A larger file is a failure; its bytes are not read.
+MAX_FILE = 512 << 20
+
+
+def read_files(spark: SparkSession, paths: list[str], max_bytes: int = MAX_FILE, glob: str = "*") -> DataFrame:
+    """One row for each file, readable or not: path, size, modified, text, status (success, failed), error.
+
+    A file fails by itself: one over ``max_bytes``, and one that is not UTF-8, have no text but an error; the others pass. Files are
+    read as bytes, so no decoder can stop the job; sizes are filtered before bytes are read. Spark's reader skips empty files, so they have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
+    meta = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    text = F.col("content").cast("string")
+    error = F.when(~F.is_valid_utf8(F.col("raw")), "not UTF-8")
+    small = files.filter(F.col("length") <= max_bytes).select(*meta, text.alias("raw")).withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("raw"))).drop("raw")
+    large = files.filter(F.col("length") > max_bytes).select(*meta, F.lit("too large").alias("error"), F.lit(None).cast("string").alias("text"))
+    status = F.when(F.col("error").isNull(), "success").otherwise("failed")
+    return small.unionByName(large).select("path", "size", "modified", "text", status.alias("status"), "error")
+
+
+def parse_records(df: DataFrame, schema: str, json_col: str = "text") -> DataFrame:
+    """JSON records as columns, with status and error; a broken record is one failed row that keeps its text in ``corrupt``."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+    r = F.from_json(F.col(json_col), f"{schema}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    out = df.withColumn("_r", r).withColumn("corrupt", F.when(F.col(json_col).isNull() | F.col("_r").isNull(), F.coalesce(F.col(json_col), F.lit(""))).otherwise(F.col("_r.corrupt")))
+    bad = F.col("corrupt").isNotNull()
+    own = [F.when(~bad, F.col(f"_r.{c}")).alias(c) for c in fields]
+    return out.select(*(c for c in df.columns if c not in (*fields, json_col)), *own, "corrupt", F.when(bad, "failed").otherwise("success").alias("status"), F.when(bad, "not a record").alias("error"))
+
+
 # What a path must not hold, and its greatest length.
 META_CHARS = (";", "|", "&", "$", "`", ">", "<", "\n", "\r")
 ESCAPES = ("%00", "%0a", "%0d")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +9,12 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import overrides
 from maskwright.plans import queries as batch
+from maskwright.sources import sink
 from maskwright.sources.corpus import blocks_from_text
+from maskwright.sources.shared import own_dir
 from maskwright.streaming import jobs
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, a session on one machine gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or f"{tempfile.gettempdir()}/spark-{spark.sparkContext.applicationId}").rstrip("/")
-
-
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream: its file, or the files of its folder."""
     path = f"{sf_dir}/{name}.parquet"
@@ -38,7 +30,7 @@ def path_is_file(spark: SparkSession, path: str) -> bool:
 
 def run(df: DataFrame, mode: str) -> DataFrame:
     """Run a streaming frame to its end, each micro-batch written to a folder of its own, and read all of them with the batch's number."""
-    spark, home = df.sparkSession, f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, home = df.sparkSession, own_dir(df.sparkSession, "stream")
     schema = df.schema
     job = df.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
     job.foreachBatch(lambda rows, k: rows.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{home}/out/part_{k}")).start().awaitTermination()
@@ -50,6 +42,15 @@ def s1_stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(jobs.stream_redact(blocks, batch.PII).select("doc_id", "location", "redacted"), "append").drop("batch")
 
 
+def s1_replayed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream is run twice under one run id, the second time from the start, as after a lost checkpoint: the sink holds each row once."""
+    home = own_dir(spark, "stream")
+    rows = jobs.stream_redact(blocks_from_text(stream_of(spark, sf_dir, "documents")), batch.PII).select("doc_id", "location", "redacted")
+    for k in range(2):
+        jobs.stream_to_sink(rows, f"{home}/sink", "run", f"{home}/checkpoint-{k}").awaitTermination()
+    return sink.read_committed(spark, f"{home}/sink", rows.schema)
+
+
 def s2_stream_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = batch.decision_log(stream_of(spark, sf_dir, "events"))
     out = run(jobs.stream_overrides(log), "update")
@@ -58,7 +59,7 @@ def s2_stream_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = own_dir(spark, "stream")
     blocks = blocks_from_text(stream_of(spark, sf_dir, "documents"))
     hits = overrides.with_hit_id(batch.detect.find_spans(blocks, batch.PII), "doc_id").select("doc_id", "location", "start", "source", "hit_id")
     write = lambda rows, k: rows.drop("hit_id").write.mode("overwrite").parquet(f"{out}/part_{k}")
@@ -78,9 +79,10 @@ def s5_stream_dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(jobs.stream_dedupe_hits(hits, late="365 days").select("hit_id"), "append").drop("batch")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (s1_stream_redact, s2_stream_overrides, s3_stream_filter, s4_stream_counts, s5_stream_dedupe_hits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (s1_stream_redact, s1_replayed_sink, s2_stream_overrides, s3_stream_filter, s4_stream_counts, s5_stream_dedupe_hits)}
 ORACLE_SQL: dict[str, str] = {
     "s1_stream_redact": batch.ORACLE_SQL["f3_render_redacted"],
+    "s1_replayed_sink": batch.ORACLE_SQL["f3_render_redacted"],
     "s2_stream_overrides": batch.ORACLE_SQL["d7_fold_overrides"],
     "s3_stream_filter": batch.ORACLE_SQL["d6_filter_overridden"],
     "s4_stream_counts": "SELECT date_trunc('day', ts) AS window_start, event_type AS rule_name, CAST(count(*) AS BIGINT) AS hits FROM events GROUP BY 1, 2",
