@@ -475,3 +475,15 @@ def test_pages_take_time_in_proportion(page):
     began = time.process_time()
     html_extract.extract(page)
     assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("letter", [" ", "\t", "\n", "　", "a", "1", "!", "文", "\x1c", " \n"])
+@pytest.mark.parametrize("tail", ["", "x", " <|endoftext|>", "<|endoftext|> y"])
+def test_ids_of_long_runs_are_those_of_the_tokenizer(letter, tail):
+    text = "begin" + letter * 1500 + tail
+    assert byte_bpe.encode(text, BPE).tolist() == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("letter", [" ", "\t", "\n"])
+def test_runs_of_a_million_spaces_are_encoded(letter):
+    assert len(byte_bpe.encode(letter * 1_200_000 + "x" + letter * 1_200_000, BPE)) > 0
