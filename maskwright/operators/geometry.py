@@ -127,12 +127,27 @@ def collapse_touching(hits: DataFrame, pad: float = 2) -> DataFrame:
     return g.select("doc_id", "page", F.col("g.ord").alias("ord"), box.alias("rect"), "g.text", "g.source", "g.rule_name")
 
 
+#: Side of the cells that boxes of a page are dealt to.
+CELL = 64
+
+
+def _cell(v: Column) -> Column:
+    return F.floor(v / CELL).cast("long")
+
+
 def resolve_text(hits: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Boxes with ``resolved``: the first token whose box holds the middle of the hit's, or the empty text. Hits need ``ord`` for their identity on a page."""
-    t = tokens.select("doc_id", "page", F.col("tok_no"), F.col("text").alias("_t"), F.col("rect").alias("_r"))
+    """Boxes with ``resolved``: the first token whose box holds the middle of the hit's, or the empty text. Hits need ``ord`` for their identity on a page.
+
+    A token goes into each cell of the page's grid that its box meets, a hit's middle lies in one, and they meet by cell: a page
+    costs its tokens and hits, not their product.
+    """
+    t = tokens.select("doc_id", "page", F.col("tok_no"), F.col("text").alias("_t"), F.col("rect").alias("_r")).filter("_r.w >= 0 and _r.h >= 0")
+    across = lambda at, size: F.explode(F.sequence(_cell(F.col(at)), _cell(F.col(at) + F.col(size))))
+    dealt = t.withColumn("_gx", across("_r.x", "_r.w")).withColumn("_gy", across("_r.y", "_r.h"))
     cx, cy = F.col("rect.x") + F.col("rect.w") / 2, F.col("rect.y") + F.col("rect.h") / 2
     inside = cx.between(F.col("_r.x"), F.col("_r.x") + F.col("_r.w")) & cy.between(F.col("_r.y"), F.col("_r.y") + F.col("_r.h"))
-    found = hits.join(t, ["doc_id", "page"]).filter(inside).groupBy("doc_id", "page", "ord").agg(F.min_by("_t", "tok_no").alias("resolved"))
+    placed = hits.select("doc_id", "page", "ord", "rect", _cell(cx).alias("_gx"), _cell(cy).alias("_gy"))
+    found = placed.join(dealt, ["doc_id", "page", "_gx", "_gy"]).filter(inside).groupBy("doc_id", "page", "ord").agg(F.min_by("_t", "tok_no").alias("resolved"))
     return hits.join(found, ["doc_id", "page", "ord"], "left").withColumn("resolved", F.coalesce("resolved", F.lit("")))
 
 

@@ -2,11 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from maskwright.operators.detect import NAME_RULE, find_exact
 
+#: Tokens of a batch between a tagger and Spark.
+ROWS = 10_000
+
+
+def tag_tokens(blocks: DataFrame, start: Callable[[], Callable[[str], Iterable[tuple[str, str]]]]) -> DataFrame:
+    """Tagged tokens by a tagger of the user's: doc_id, location, tok_no, word, flag. Blocks: doc_id, location, text.
+
+    ``start`` loads the model and returns a function from a text to its words with their flags. It is called in the task that needs it, once
+    and not before the first text; texts come and rows go by batches of at most ``ROWS`` tokens, so a long text's tokens are not held together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag, rows = None, []
+        for b in batches:
+            for doc, location, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if text is None:
+                    continue
+                tag = tag or start()
+                for k, (word, flag) in enumerate(tag(text)):
+                    rows.append((doc, location, k, word, flag))
+                    if len(rows) == ROWS:
+                        yield _batch(rows, schema)
+                        rows = []
+        if rows:
+            yield _batch(rows, schema)
+
+    read = blocks.select("doc_id", "location", "text")
+    out = read.select("doc_id", "location").schema.add("tok_no", "integer").add("word", "string").add("flag", "string")
+    schema = to_arrow_schema(out)
+    return read.mapInArrow(run, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
 
 def name_candidates(tokens: DataFrame, surnames: DataFrame, exclude: DataFrame) -> DataFrame:
     """Tokens with a flag of names, two to four characters, a surname's first character and not excluded: doc_id, location, word, ord.

@@ -54,6 +54,16 @@ def fold_overrides(events: DataFrame) -> DataFrame:
     return last.select("hit_id", "w.action", F.when(F.col("p").isNotNull(), F.lit("permanent")).otherwise(F.col("w.scope")).alias("scope"), F.when(permanent, F.col("written")).otherwise(F.col("p")).alias("promoted_at"))
 
 
+def fold_delta(snapshot: DataFrame, events: DataFrame, after: int) -> DataFrame:
+    """Current decisions from those at event ``after`` (what ``fold_overrides`` gave for the log up to it) and the log behind it.
+
+    A decision of the snapshot stands for the write that made it, so the fold over both is that of the whole log; only events with a
+    greater ``seq`` are read (a filter that Parquet takes).
+    """
+    held = snapshot.select("hit_id", F.lit(after).cast("long").alias("seq"), F.col("action").alias("op"), "scope", F.col("promoted_at").alias("ts"))
+    return fold_overrides(held.unionByName(events.filter(F.col("seq") > after).select("hit_id", F.col("seq").cast("long").alias("seq"), "op", "scope", "ts")))
+
+
 def filter_overridden(hits: DataFrame, overrides: DataFrame, enabled: bool = True) -> DataFrame:
     """Hits without those whose decision is ignore. Manual hits and hits without an id stay."""
     if not enabled:

@@ -163,13 +163,21 @@ def undo_manual(manual: DataFrame, undone: DataFrame) -> DataFrame:
     return manual.join(spans, ["doc_id", "location", "start", "end"], "left_anti").join(texts, ["doc_id", "text"], "left_anti").select(manual.columns)
 
 
+#: Code points of the stretches of a block by which runs and spans meet.
+MEET = 256
+
+
 def project_to_runs(plans: DataFrame, runs: DataFrame, default: str = "*") -> DataFrame:
     """Styled runs with ``redacted``: a replacement goes into the first run that its span meets; its text in later runs is deleted.
 
-    Plans: doc_id, location, plan. Runs: doc_id, location, run_no, start, end, text, style.
+    Plans: doc_id, location, plan. Runs: doc_id, location, run_no, start, end, text, style. Runs and spans go into each stretch of the block
+    that they reach into and meet there, a pair in its first common stretch only: a block costs its runs and spans, not their product.
     """
-    spans = plans.select("doc_id", "location", F.explode("plan").alias("h"))
-    met = runs.join(spans, ["doc_id", "location"]).filter((F.col("start") < F.col("h.end")) & (F.col("h.start") < F.col("end")))
+    reach = lambda s, e: F.explode(F.sequence(F.floor(s / MEET), F.floor(F.greatest(e - 1, s) / MEET)))
+    spans = plans.select("doc_id", "location", F.explode("plan").alias("h")).withColumn("_at", reach(F.col("h.start"), F.col("h.end")))
+    dealt = runs.select("doc_id", "location", "run_no", "start", "end").withColumn("_at", reach(F.col("start"), F.col("end")))
+    once = F.col("_at") == F.floor(F.greatest("start", "h.start") / MEET)
+    met = dealt.join(spans, ["doc_id", "location", "_at"]).filter((F.col("start") < F.col("h.end")) & (F.col("h.start") < F.col("end")) & once)
     first = F.col("run_no") == F.min("run_no").over(Window.partitionBy("doc_id", "location", "h.start"))
     own = F.struct((F.greatest("h.start", "start") - F.col("start")).alias("start"), (F.least("h.end", "end") - F.col("start")).alias("end"), F.when(first, F.coalesce("h.replacement", F.lit(default))).otherwise("").alias("replacement"))
     cuts = met.withColumn("own", own).groupBy("doc_id", "location", "run_no").agg(F.array_sort(F.collect_list("own")).alias("cuts"))

@@ -212,6 +212,15 @@ def d7_fold_overrides(spark, sf_dir):
     return overrides.fold_overrides(_log(spark, sf_dir))
 
 
+@query(f"WITH {FOLD} SELECT * FROM ov")
+def d7_snapshot_delta(spark, sf_dir):
+    """The decisions of the first half of the log are kept as a table; the rest is folded onto them."""
+    log, home = _log(spark, sf_dir), own_dir(spark, "snapshot")
+    cut = log.agg(F.floor(F.median("seq")).cast("long")).first()[0]
+    overrides.fold_overrides(log.filter(F.col("seq") <= cut)).write.parquet(home)
+    return overrides.fold_delta(spark.read.parquet(home), log, cut)
+
+
 @query(f"WITH {FOLD} SELECT hit_id, action, scope FROM ov WHERE scope = 'permanent'")
 def a10_dump_overrides(spark, sf_dir):
     return overrides.dump_overrides(overrides.fold_overrides(_log(spark, sf_dir))).select("hit_id", "action", "scope")
@@ -466,6 +475,19 @@ def c14_name_candidates(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", "word", "ord")
 
 
+def _start_tagger():
+    """A tagger for the tests' prose: words between spaces, a capital letter marks a name."""
+    return lambda text: ((w, "nrx" if w[:1].isascii() and w[:1].isupper() else "n") for w in text.split(" "))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, word, ord FROM nm")
+def c14_tagged_names(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("location"), "text")
+    first = lambda df, c: df.select(F.substring(c, 1, 1).alias("ch"))
+    surnames = first(t(spark, sf_dir, "nation"), "n_name").union(first(t(spark, sf_dir, "region"), "r_name"))
+    return names.name_candidates(names.tag_tokens(d, _start_tagger), surnames, spark.createDataFrame([("Es",), ("The",), ("And",)], "word string")).select("doc_id", "word", "ord")
+
+
 @query(f"""WITH {TOKENS}, p AS (SELECT nm.doc_id, word, string_split(lower(text), lower(word)) AS gs FROM nm JOIN documents d ON d.doc_id = nm.doc_id WHERE word <> 'Are')
 SELECT doc_id, word AS rule_name, CAST(len(gs) - 1 AS BIGINT) AS hits FROM p""")
 def c15_inject_names(spark, sf_dir):
@@ -908,6 +930,14 @@ def g3_rule_summary(spark, sf_dir):
     return report.rule_summary(rows, _counts(spark, sf_dir)).select("rule_index", "docs")
 
 
+@query(COUNTS + """, nr AS (SELECT rule_index, doc_id, "count", (row_number() OVER (PARTITION BY rule_index ORDER BY doc_id) - 1) // 5 AS chunk FROM cn),
+ch AS (SELECT rule_index, chunk, count(*) AS n_docs, string_agg(doc_id || ':' || "count", ', ' ORDER BY doc_id) AS docs FROM nr GROUP BY ALL)
+SELECT r.rule_index, coalesce(chunk, 0) AS chunk, coalesce(n_docs, 0) AS n_docs, coalesce(docs, 'no hit this run') AS docs FROM (SELECT unnest([3, 4, 99]) AS rule_index) r LEFT JOIN ch ON ch.rule_index = r.rule_index""")
+def g3_rule_chunks(spark, sf_dir):
+    rows = spark.createDataFrame([(3, "e-mail"), (4, "card"), (99, "nothing")], "rule_index int, find string")
+    return report.rule_chunks(rows, _counts(spark, sf_dir), 5).select("rule_index", "chunk", "n_docs", "docs")
+
+
 def _results(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("doc_id").cast("int").alias("ord"), F.when(F.col("n_chars") % 7 == 0, "failed").otherwise("success").alias("status"))
