@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskwright.operators import overrides
 from maskwright.plans import queries as batch
 from maskwright.sources import sink
 from maskwright.sources.corpus import blocks_from_text
 from maskwright.sources.shared import own_dir
-from maskwright.streaming import jobs
+from maskwright.streaming import jobs, versions
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,22 @@ def s3_stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out).select("doc_id", "location", "start")
 
 
+def s3_versioned_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in two batches, with a change between them: one allowed term ends and another begins, as do reviewers' decisions. The result
+    is that of the second version for the hits of both batches."""
+    home = own_dir(spark, "stream")
+    hits = overrides.with_hit_id(batch.detect.find_spans(batch.blocks(spark, sf_dir), batch.PII), "doc_id").select("doc_id", "hit_id", "start", "end", "text", "source")
+    for k in range(2):
+        hits.filter(F.pmod(F.xxhash64("hit_id"), F.lit(2)) == k).coalesce(1).write.parquet(f"{home}/in/part_{k}")
+    decided = lambda n, since, until: hits.filter(F.col("doc_id") % n == 0).select(F.lit("ignore").alias("kind"), F.col("hit_id").alias("value"), F.lit(since).alias("valid_from"), F.lit(until).alias("valid_to"))
+    terms = spark.createDataFrame([("allow", "44", 0, 1), ("allow", "mail", 1, None), ("allow", "17", 0, None)], "kind string, value string, valid_from int, valid_to int")
+    entries = terms.unionByName(decided(3, 1, None)).unionByName(decided(5, 0, 1))
+    source = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{home}/in")
+    versions.stream_versioned(source.drop("doc_id"), lambda k: (entries, min(k, 1)), home, "run", f"{home}/checkpoint", trim_only=False).awaitTermination()
+    found = versions.latest(sink.read_committed(spark, f"{home}/result", StructType.fromDDL(versions.RESULT)))
+    return found.select(F.split("hit_id", "[|]")[0].cast("long").alias("doc_id"), F.split("hit_id", "[|]")[1].alias("location"), "start", "text")
+
+
 def s4_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = stream_of(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("rule_name"))
     out = run(jobs.stream_counts(hits, width="1 day", late="2 days"), "update")
@@ -79,12 +96,13 @@ def s5_stream_dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(jobs.stream_dedupe_hits(hits, late="365 days").select("hit_id"), "append").drop("batch")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (s1_stream_redact, s1_replayed_sink, s2_stream_overrides, s3_stream_filter, s4_stream_counts, s5_stream_dedupe_hits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (s1_stream_redact, s1_replayed_sink, s2_stream_overrides, s3_stream_filter, s3_versioned_lists, s4_stream_counts, s5_stream_dedupe_hits)}
 ORACLE_SQL: dict[str, str] = {
     "s1_stream_redact": batch.ORACLE_SQL["f3_render_redacted"],
     "s1_replayed_sink": batch.ORACLE_SQL["f3_render_redacted"],
     "s2_stream_overrides": batch.ORACLE_SQL["d7_fold_overrides"],
     "s3_stream_filter": batch.ORACLE_SQL["d6_filter_overridden"],
+    "s3_versioned_lists": batch.HITS + " SELECT doc_id, location, start, text FROM h WHERE NOT contains(text, 'mail') AND NOT contains(text, '17') AND doc_id % 3 <> 0",
     "s4_stream_counts": "SELECT date_trunc('day', ts) AS window_start, event_type AS rule_name, CAST(count(*) AS BIGINT) AS hits FROM events GROUP BY 1, 2",
     "s5_stream_dedupe_hits": "SELECT DISTINCT user_id || '|' || event_type AS hit_id FROM events",
 }

@@ -6,13 +6,14 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskwright.functions import spans
-from maskwright.operators import detect, geometry, lists, resolve
+from maskwright.operators import detect, geometry, lists, names, overrides, report, resolve
 from maskwright.operators.rules import DEFAULT_RULES
 from maskwright.plans import pipelines
 from maskwright.sources import corpus, sink
-from maskwright.streaming import jobs
+from maskwright.streaming import jobs, versions
 
 HIT = "doc_id long, location string, start int, end int, source string, channel string, rule_name string, rule_ord int, replacement string, mode string"
 
@@ -145,3 +146,87 @@ def test_a_session_ends_and_a_permanent_decision_stays(spark, tmp_path):
         time.sleep(3)
     last = {r["hit_id"]: (r["action"], r["scope"], r["promoted_at"], r["deleted"]) for r in seen}
     assert last == {"s": (None, None, None, True), "p": ("ignore", "permanent", t0, False), "q": ("confirm", "permanent", t0, False)}
+
+
+def test_a_change_of_lists_reaches_earlier_hits(spark, tmp_path):
+    schema = "hit_id string, start int, end int, text string, source string"
+    parts = [[("a|p|0|4|rule", 0, 4, "ab44", "rule"), ("b|p|5|9|rule", 5, 9, "mail", "rule"), ("c|p|0|3|rule", 0, 3, "xyz", "rule")], [("d|p|0|6|rule", 0, 6, "mail44", "rule"), ("e|p|1|3|manual", 1, 3, "44", "manual")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/part_{k}")
+    entries = spark.createDataFrame([("allow", "44", 0, 1), ("allow", "mail", 1, None), ("ignore", "c|p|0|3|rule", 1, None)], "kind string, value string, valid_from int, valid_to int")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+    home = f"file://{tmp_path}/out"
+    for again in range(2):  # the second run delivers both batches anew
+        versions.stream_versioned(source, lambda k: (entries, min(k, 1)), home, "run", f"file://{tmp_path}/c{again}").awaitTermination()
+    rows = sink.read_committed(spark, f"{home}/result", StructType.fromDDL(versions.RESULT))
+    got = sorted((r["hit_id"][0], r["version"], [tuple(x) for x in r["runs"]]) for r in rows.collect())
+    first = [("a", 0, [(0, 2, "ab")]), ("b", 0, [(5, 9, "mail")]), ("c", 0, [(0, 3, "xyz")])]
+    second = [("a", 1, [(0, 4, "ab44")]), ("b", 1, []), ("c", 1, []), ("d", 1, [(4, 6, "44")]), ("e", 1, [(1, 3, "44")])]
+    if got[0][1] == 0 and len([x for x in got if x[1] == 0]) == 3:
+        assert got == sorted(first + second)
+    else:  # the files came in the other order
+        assert {x[0]: x[2] for x in got if x[1] == 1} == {x[0]: x[2] for x in second}
+    assert sorted((r["hit_id"][0], r["start"], r["end"]) for r in versions.latest(rows).collect()) == [("a", 0, 4), ("d", 4, 6), ("e", 1, 3)]
+
+
+def test_decisions_from_any_cut_are_those_of_the_whole_log(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abcdefgh"), k, rng.choice(["ignore", "confirm", "promote", "revert"]), rng.choice(["session", "permanent"]), dt.datetime(2024, 1, 1) + dt.timedelta(k)) for k in range(120)]
+    log = spark.createDataFrame(rows, "hit_id string, seq long, op string, scope string, ts timestamp")
+    whole = sorted(map(repr, overrides.fold_overrides(log).collect()))
+    for cut in (-1, 17, 60, 119):
+        assert sorted(map(repr, overrides.fold_delta(overrides.fold_overrides(log.filter(f"seq <= {cut}")), log, cut).collect())) == whole
+
+
+def test_a_tagger_starts_once_in_a_task_that_has_texts(spark, monkeypatch):
+    monkeypatch.setattr(names, "ROWS", 2)
+    b = spark.createDataFrame([(1, "p", "A b C"), (1, "q", None), (2, "p", "")], "doc_id long, location string, text string").coalesce(1)
+
+    def start():
+        seen = []
+
+        def tag(text):
+            seen.append(text)
+            return [(w, f"n{len(seen)}") for w in text.split(" ") if w]
+
+        return tag
+
+    got = names.tag_tokens(b, start).collect()
+    assert [tuple(r) for r in got] == [(1, "p", 0, "A", "n1"), (1, "p", 1, "b", "n1"), (1, "p", 2, "C", "n1")]
+    assert names.tag_tokens(b.filter("false"), start).collect() == []
+
+
+def test_tokens_and_runs_meet_by_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    box = lambda m: (rng.uniform(-50, 400), rng.uniform(-50, 400), rng.uniform(0, m), rng.uniform(0, m))
+    RECT = "rect struct<x:double,y:double,w:double,h:double>"
+    toks, hs = [(1, p, k, f"t{k}", box(90)) for p in range(2) for k in range(150)], [(1, p, k, box(30)) for p in range(2) for k in range(150)]
+    got = geometry.resolve_text(spark.createDataFrame(hs, f"doc_id long, page int, ord int, {RECT}"), spark.createDataFrame(toks, f"doc_id long, page int, tok_no int, text string, {RECT}")).collect()
+
+    def first(page, r):
+        x, y = r[0] + r[2] / 2, r[1] + r[3] / 2
+        return next((t[3] for t in toks if t[1] == page and t[4][0] <= x <= t[4][0] + t[4][2] and t[4][1] <= y <= t[4][1] + t[4][3]), "")
+
+    assert {(r["page"], r["ord"]): r["resolved"] for r in got} == {(p, k): first(p, r) for _, p, k, r in hs}
+    text = "".join(rng.choice("abc") for _ in range(900))
+    cuts = sorted(rng.sample(range(1, 900), 60))
+    runs = [(1, "p", k, s, e, text[s:e], "plain") for k, (s, e) in enumerate(zip([0, *cuts], [*cuts, 900]))]
+    ends = sorted(rng.sample(range(900), 40))
+    plan = [(s, e, rng.choice([None, "#"])) for s, e in zip(ends[::2], ends[1::2])]
+    plans = spark.createDataFrame([(1, "p", plan)], "doc_id long, location string, plan array<struct<start:int,end:int,replacement:string>>")
+    monkeypatch.setattr(resolve, "MEET", 7)
+    out = resolve.project_to_runs(plans, spark.createDataFrame(runs, "doc_id long, location string, run_no int, start int, end int, text string, style string")).orderBy("run_no").collect()
+    want, at = "", 0
+    for s, e, new in plan:
+        want, at = want + text[at:s] + ("*" if new is None else new), e
+    assert "".join(r["redacted"] for r in out) == want + text[at:]
+
+
+def test_rule_lists_in_chunks(spark):
+    counts = spark.createDataFrame([(k % 997, 0, 1) for k in range(1200)] + [(5, 1, 2)], "doc_id long, rule_index int, count long")
+    rules = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "rule_index int, find string")
+    got = report.rule_chunks(rules, counts, 100).collect()
+    own = {r["chunk"]: r for r in got if r["rule_index"] == 0}
+    docs = ", ".join(own[k]["docs"] for k in sorted(own))
+    assert docs == ", ".join(f"{d}:{2 if d < 203 else 1}" for d in range(997)) and max(r["n_docs"] for r in got) == 100 and len(own) == 10
+    assert sorted((r["rule_index"], r["docs"], r["n_docs"]) for r in got if r["rule_index"] > 0) == [(1, "5:2", 1), (2, report.NO_HIT, 0)]
