@@ -5,10 +5,12 @@ scripts, styles, forms, menus and other furniture are left out by element name o
 paragraph passes points (one, its commas, its length) to its ancestors, halved and then divided by their distance, and
 discounted by the share of its characters that are link text. The container with the most points, discounted in the same way,
 is taken; inside an article or main, or where only headings and prose stand beside it, the outer element is. It is kept whole, lists
-of links included, with those siblings that score near it or are prose themselves and the headings before them. Lists of links
-are left out only where the whole page is the container. Words of class and id never remove what holds most of a page's points, unless
-an article or main stands beside it, nor (where they may mean content too) long prose inside an article. Loose text beside
-the container is taken as a paragraph. The tree is built in time in proportion to the page.
+of links included, with those siblings that score near it or are prose themselves and the headings before them. A page without
+any prose is its own container; lists of links are left out only there. Words of class and id never remove what holds most of a page's
+points (inside an article or main: four fifths of them), unless an article or main stands beside it, nor, where they may mean content
+too, long prose inside an article that has no words of notices, letters or replies. Of articles only those are left out that a whole word
+of their class marks as a comment or a teaser, if there is other text. A header inside an article or main stays if it holds a heading.
+Loose text beside the container is taken as a paragraph. The tree is built in time in proportion to the page.
 
 Defined results: null and empty pages give the empty text; unclosed, crossed and cut-off markup is read as far as it goes;
 pages may repeat and ids may be null; other columns are not read.
@@ -29,15 +31,21 @@ from maskwright.llm.common import map_texts, text_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|comments?|comment-?list|disqus|repl(?:y|ies)|respond|share\w*|sharing|social\w*|related|recommend\w*|pagination|pager|toolbar|legal|copyright|complementary|navigation|contentinfo|search)(?:$|[-_\s])", re.I)
+_FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|widget\w*|cookies?\w*|consent|gdpr|notices?|alert\w*|dialog|popup|modal|newsletter|subscri\w*|signup|comments?|comment-?list|disqus|repl(?:y|ies)|respond|share\w*|sharing|social\w*|related|recommend\w*|teasers?|latest|trending|popular|pagination|pager|toolbar|legal|copyright|complementary|navigation|contentinfo|search)(?:$|[-_\s])", re.I)
 #: Of these words, those that articles use for prose of their own as well (a share price, legal news, a header of a section).
-_WEAK = re.compile(r"(?:^|[-_\s])(?:header|masthead|foot|legal|share\w*|sharing|alert|notices?|search|toolbar|banner|widget\w*|promo\w*)(?:$|[-_\s])", re.I)
+_WEAK = re.compile(r"(?:^|[-_\s])(?:header|masthead|foot|legal|share\w*|sharing|search|toolbar|widget\w*|latest|trending|popular)(?:$|[-_\s])", re.I)
+#: Words of notices, letters, adverts and reader comments: such a block is no prose of the article, whatever its length.
+_NOTICE = re.compile(r"\b(?:cookies?|gdpr|consent|newsletters?|subscri\w+|unsubscribe|sign(?:ed)? (?:up|in)|log(?:ged)? in|advertis\w+|sponsored|reply|replies|leave a comment|all rights reserved|privacy policy|terms of (?:use|service))\b", re.I)
+#: Whole class words that make an article a reader's comment or a teaser; other words say nothing of an article.
+_CARD = re.compile(r"(?:^|\s)(?:(?:reader-|user-)?comments?(?:-(?:item|body|box|card|content|entry|thread|wrapper|list))?|repl(?:y|ies)|respond|teasers?|(?:related|recommended|promo|sponsored|advert|ad)(?:-(?:article|card|item|post|story|teaser))?)(?:$|\s)", re.I)
 _LISTS = {"ul", "ol", "dl", "table"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes"}
-_DROPPED = {"nav", "header", "footer", "aside", "form", "svg", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "map", "math", "fieldset", "label", "input"}
+_DROPPED = {"nav", "header", "footer", "aside", "form", "svg", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "map", "fieldset", "annotation", "annotation-xml"}
+#: Of these, those that stand inside a line of text: what is around them stays one block.
+_INLINE = {"svg", "button", "select", "object", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {"p", "div", "article", "section", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "hr", "address", "center", "details", "summary", "hgroup"} | _DROPPED
-_CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "button", "select", "input", "svg", "html", "body", "head", "object", "canvas", "audio", "video", "map", "math"}
+_CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head"} - _INLINE
 #: A start tag ends an open element of the set; the search stops at the scope's elements.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -46,10 +54,10 @@ _SENTENCE = re.compile(r"[.!?](?:\s|$)|[。！？]")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "block", "dropped", "weak", "points", "chars", "links", "scored", "held", "first", "last", "bodies")
+    __slots__ = ("tag", "parts", "parent", "block", "dropped", "weak", "points", "chars", "links", "card", "notice", "scored", "held", "first", "last", "bodies")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.weak = tag, parent, dropped, False
+        self.tag, self.parent, self.dropped, self.weak, self.card, self.notice = tag, parent, dropped, False, False, False
         self.block = None if parent is None else parent if parent.tag in _BLOCK else parent.block  # the block around it
         self.parts: list = []
         self.points, self.scored, self.chars, self.links, self.held = 0.0, False, 0, 0, 0.0
@@ -114,7 +122,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             open_.top.parts.append(" ")
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            open_.top.parts.append(" " if tag not in _BLOCK else Node(tag, open_.top, True))
+            if tag != "wbr":
+                open_.top.parts.append(" " if tag not in _BLOCK else Node(tag, open_.top, True))
             continue
         if tag in ("html", "body"):
             open_.pop_to(open_.depth(("head",)) or len(open_.stack))
@@ -122,11 +131,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         closing, scope = _IMPLIED.get(tag, (("p",), ("td", "th", "button", "table")) if tag in _CLOSES_P else ((), ()))
         if (depth := open_.depth(closing)) > open_.depth(scope):
             open_.pop_to(depth)
-        words = "" if tag in ("html", "body", "article", "main") or tag in _DROPPED else _named(m[3])
-        node = Node(tag, open_.top, tag in _DROPPED or bool(_FURNITURE.search(words)))
+        words = "" if tag == "main" or tag in _DROPPED else _named(m[3])
+        node = Node(tag, open_.top, tag in _DROPPED or bool((_CARD if tag == "article" else _FURNITURE).search(words)))
         if node.dropped and tag not in _DROPPED:
-            node.weak = not _FURNITURE.search(_WEAK.sub("  ", words))
+            node.card = tag == "article"
+            node.weak = not node.card and not _FURNITURE.search(_WEAK.sub("  ", words))
             named.append(node)
+        if tag in _HEADINGS and (depth := open_.depth(("header",))) > open_.depth(("article", "main")) > 0:
+            open_.stack[depth].dropped = False
         open_.top.parts.append(node)
         open_.push(node)
     return root, named
@@ -144,7 +156,7 @@ def _measure(node: Node, in_link: bool, below: list[Node]) -> None:
                 n.parent.links += n.links
             continue
         n.first = len(below)
-        n.bodies = (n.parent.bodies if n.parent else 0) + (n.tag in ("article", "main"))
+        n.bodies = (n.parent.bodies if n.parent else 0) + (n.tag in ("article", "main") and not n.card)
         below.append(n)
         stack.append((n, link, True))
         link = link or n.tag == "a"
@@ -181,22 +193,29 @@ def _points(n: Node) -> float:
 
 
 def _restore(root: Node, named: list[Node]) -> None:
-    """Take back the dropping by class: of nodes with over half of the page's points, unless an article or main stands apart from
-    them; and, inside an article or main, of long prose with few links whose class words are no sure sign of furniture."""
+    """Take back the dropping by class: of nodes with over half of the page's points (four fifths inside an article or main), unless
+    an article or main stands apart from them; inside an article or main, of long prose with few links whose class words are no
+    sure sign of furniture; and of articles marked as comments or teasers, if these are all that the page has."""
     for n in named:
         n.dropped = False
     nodes: list[Node] = []
     _measure(root, False, nodes)
     for n in reversed(nodes):
         n.held += _points(n)
+        n.notice = n.notice or any(isinstance(p, str) and _NOTICE.search(p) for p in n.parts)
         if n.parent:
             n.parent.held += n.held
-    bodies = [n.first for n in nodes if n.tag in ("article", "main") and n.held]
+            n.parent.notice = n.parent.notice or n.notice
+    marked = [n for n in named if n.card]
+    other = root.held - sum(n.held for n in marked if not any(m.first < n.first < m.last for m in marked)) if marked else 0.0
+    bodies = [n.first for n in nodes if n.tag in ("article", "main") and n.held and not n.card]
     for n in named:
-        around = n.bodies - (n.tag in ("article", "main"))
+        if n.card:
+            n.dropped = other > 0
+            continue
         inside = bisect_left(bodies, n.last) - bisect_left(bodies, n.first)
-        apart = len(bodies) > around + inside
-        n.dropped = not (n.held > root.held / 2 and not apart or n.weak and around and n.chars >= 200 and _density(n) < 0.1)
+        apart = len(bodies) > n.bodies + inside
+        n.dropped = not (n.held > root.held * (0.8 if n.bodies else 0.5) and not apart or n.weak and n.bodies and n.chars >= 200 and _density(n) < 0.1 and not n.notice)
     for n in nodes:
         n.chars = n.links = 0
 
@@ -230,7 +249,7 @@ def _blocks(n: Node, out: list[str], links: bool = True) -> None:
         elif isinstance(p, str):
             text.append(p)
         elif p.dropped:
-            if p.tag in _BLOCK:
+            if p.tag in _BLOCK and p.tag not in _INLINE:
                 flush()
         elif p.tag in _BLOCK:
             flush()
@@ -289,7 +308,10 @@ def extract(page: str) -> str:
     _measure(root, False, nodes)
     _score(nodes)
     final = {id(n): n.points * (1 - _density(n)) for n in nodes if n.scored and n.tag in _BLOCK}
-    best = max((n for n in nodes if id(n) in final), key=lambda n: final[id(n)], default=root)
+    body = next((n for n in nodes if n.tag in ("article", "main") and n.chars), root)
+    best = max((n for n in nodes if id(n) in final), key=lambda n: final[id(n)], default=body)
+    if body is root and not any(n.tag in _BLOCK and n.chars > 80 and len(_own_text(n).strip()) > 80 for n in nodes):
+        best = root
     least = 0.2 * final.get(id(best), 0.0)
     while best.parent and best.tag in ("p", "li", "tr", "td", "tbody", "h1", "h2", "h3", "blockquote", "pre"):
         best = best.parent

@@ -470,7 +470,47 @@ def test_loose_text_lists_and_quotations_stay():
         assert html_extract.extract(f"<article>{prose}<div class={name}>{prose}</div><div class='comments {name}'>{prose}</div></article>").split("\n") == LONG * 2
 
 
-@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 5, "<div>" * 50_000 + "</p></li>" * 50_000, "<b>" * 50_000 + "<p>text, long enough to score well" * 2000, "<p>" * 100_000, "<a " * 100_000 + '"', "<div class=nav><article>" * 30_000 + "text"])
+@pytest.mark.parametrize("name", ["notice", "promo", "alert", "banner", "ad-box", "comments", "cookie-notice", "teaser"])
+def test_furniture_inside_an_article_goes_at_any_length(name):
+    prose = "".join(f"<p>{x}</p>" for x in LONG)
+    box = f"<div class='{name}'><p>{LONG[0]}</p><p>{LONG[1]} {LONG[2]}</p></div>"
+    assert html_extract.extract(f"<article><h1>Head</h1>{prose}{box}<p>{SHORT}</p></article>").split("\n") == ["Head", *LONG, SHORT]
+
+
+@pytest.mark.parametrize("words", ["We use cookies on this site.", "Subscribe to our newsletter.", "Log in to reply."])
+def test_weak_words_with_words_of_notices_are_furniture(words):
+    prose = "".join(f"<p>{x}</p>" for x in LONG)
+    assert html_extract.extract(f"<article>{prose}<div class=widget><p>{words} {LONG[0]} {LONG[1]}</p></div></article>").split("\n") == LONG
+
+
+def test_articles_of_comments_and_teasers_go():
+    prose = "".join(f"<p>{x}</p>" for x in LONG)
+    for name in ("comment", "comment-body", "card teaser", "related-post", "reply"):
+        assert html_extract.extract(f"<main><article>{prose}</article><article class='{name}'>{prose}<p>{SHORT}</p></article></main>").split("\n") == LONG
+        assert html_extract.extract(f"<article>{prose}<article class='{name}'>{prose * 3}</article></article>").split("\n") == LONG
+        assert html_extract.extract(f"<main><article class='{name}'>{prose}</article></main>").split("\n") == LONG
+    for name in ("post comments-open", "post category-legal has-sidebar"):
+        assert html_extract.extract(f"<main><article class='{name}'>{prose}</article><div class=latest><h3>Other</h3><p>A teaser, of some length, with a <a href=1>link</a>.</p></div></main>").split("\n") == LONG
+
+
+def test_headers_of_articles_hold_titles():
+    prose = "".join(f"<p>{x}</p>" for x in LONG)
+    for body in ("article", "main"):
+        assert html_extract.extract(f"<header><h1>Site</h1></header><{body}><header><h1>The Title</h1><p>By someone</p></header>{prose}</{body}>").split("\n") == ["The Title", "By someone", *LONG]
+        assert html_extract.extract(f"<{body}><header><a href=1>Tools</a></header>{prose}</{body}>").split("\n") == LONG
+
+
+def test_pages_without_prose_are_whole():
+    assert html_extract.extract("<body><div>Short note without a paragraph.</div><div>Second.</div>") == "Short note without a paragraph.\nSecond."
+    assert html_extract.extract("<nav>Menu</nav><article><p>Short.</p></article><div>Other.</div>") == "Short."
+
+
+def test_inline_elements_do_not_cut_a_block():
+    line = "The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <label>here</label><button><p>Press</button>, <svg><text>drawn</text></svg>and super<wbr>long words stay, in all honesty, as one block of text."
+    assert html_extract.extract(f"<article><p>{line}</p><p>{SHORT}</p></article>") == f"The value x=2 holds here, and superlong words stay, in all honesty, as one block of text.\n{SHORT}"
+
+
+@pytest.mark.parametrize("page", ["<article>" + "<div class=share>" * 20_000 + "text, long enough to score " * 20, "<div>" * 100_000 + "x" + "</div>" * 5, "<div>" * 50_000 + "</p></li>" * 50_000, "<b>" * 50_000 + "<p>text, long enough to score well" * 2000, "<p>" * 100_000, "<a " * 100_000 + '"', "<div class=nav><article>" * 30_000 + "text"])
 def test_pages_take_time_in_proportion(page):
     began = time.process_time()
     html_extract.extract(page)
