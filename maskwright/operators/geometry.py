@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.spans import kept_runs, piece, text_width
 from maskwright.operators.detect import BLOCK_PREFIX, with_terms
+from maskwright.operators.lists import with_own_terms
 from maskwright.operators.rules import first_seen
 
 MIN_WIDTH = 5.0
@@ -151,14 +152,20 @@ def resolve_text(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     return hits.join(found, ["doc_id", "page", "ord"], "left").withColumn("resolved", F.coalesce("resolved", F.lit("")))
 
 
-def apply_allow_list_boxes(hits: DataFrame, tokens: DataFrame, terms: Column) -> DataFrame:
-    """Boxes after the allow list. With a text they are cut like text hits, each run taking its part of the box; without one the text is looked up, and the whole box goes if a term is in it."""
-    held = lambda t: F.exists(terms, lambda x: F.contains(t, x))
-    blank = hits.filter("text = '' and source <> 'manual'")
-    kept = resolve_text(blank, tokens).filter(~held(F.col("resolved"))).drop("resolved")
-    text = hits.filter("text <> '' or source = 'manual'")
-    same = text.filter((F.col("source") == "manual") | ~held(F.col("text")))
-    cut = text.filter((F.col("source") != "manual") & held(F.col("text"))).withColumn("_run", F.explode(kept_runs(F.col("text"), terms)))
+def apply_allow_list_boxes(hits: DataFrame, tokens: DataFrame, terms: Column | DataFrame) -> DataFrame:
+    """Boxes after the allow list (an array, or a table of any number of terms). With a text they are cut like text hits, each run taking
+    its part of the box; without one the text is looked up, and the whole box goes if a term is in it. Manual boxes stay; with
+    an empty table nothing changes."""
+    if isinstance(terms, DataFrame) and terms.filter(F.trim("term") != "").isEmpty():
+        return hits
+    own = lambda df: with_own_terms(df, terms) if isinstance(terms, DataFrame) else (df, terms)
+    held = lambda t: F.exists(t, lambda x: F.contains("text", x))
+    looked_up = resolve_text(hits.filter("text = '' and source <> 'manual'"), tokens)
+    blank, words = own(looked_up.withColumn("text", F.col("resolved")).drop("resolved"))
+    kept = blank.filter(~held(words)).withColumn("text", F.lit("")).drop("_terms")
+    text, words = own(hits.filter("text <> '' or source = 'manual'"))
+    same = text.filter((F.col("source") == "manual") | ~held(words)).drop("_terms")
+    cut = text.filter((F.col("source") != "manual") & held(words)).withColumn("_run", F.explode(kept_runs(F.col("text"), words))).drop("_terms")
     cut = cut.withColumns({"rect": kept_span_rect(F.col("rect"), F.col("text"), F.col("_run.start"), F.col("_run.end")), "text": F.col("_run.text")}).filter("rect is not null").drop("_run")
     return same.unionByName(cut).unionByName(kept)
 
@@ -172,6 +179,7 @@ def block_list_boxes(tokens: DataFrame, terms: DataFrame, scale: float = 1.0) ->
     return collapse_touching(hits)
 
 
-def dedupe_rects(hits: DataFrame) -> DataFrame:
-    """Each box of a page once."""
-    return hits.dropDuplicates(["doc_id", "page", "rect"])
+def dedupe_rects(hits: DataFrame, ordered: bool = False) -> DataFrame:
+    """Each box of a page once; ``ordered``: by document, page, x, y, w, h, which is a sort of all rows and so only for what is read in order."""
+    out = hits.dropDuplicates(["doc_id", "page", "rect"])
+    return out.orderBy("doc_id", "page", "rect.x", "rect.y", "rect.w", "rect.h") if ordered else out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import kept_runs
@@ -12,6 +12,10 @@ from maskwright.operators import detect, geometry, lists, names, overrides, reso
 from maskwright.operators.rules import Rule
 
 
+# Fixed value: name of what is found in the image channel, whose boxes have no text of their own.
+IMAGE_RULE = "OCR图像通道"
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a scan goes by; tables may be left out."""
@@ -65,10 +69,47 @@ def redact_rows(blocks: DataFrame, rules: list[Rule], terms: list[str] = (), def
     return resolve.render_redacted(blocks.withColumn("plan", plan), default)
 
 
-def page_scan(lines: DataFrame, rules: list[Rule], adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:
-    """Boxes to cover on pages of recognised lines: spans to boxes, near boxes of a line joined, each box once."""
+def page_boxes(lines: DataFrame, rules: list[Rule], adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:
+    """Boxes of what the rules find in recognised lines, near boxes of a line joined: doc_id, page, rect."""
     spans = lines.withColumn("x", F.explode(detect.hits_in(F.col("text"), rules, "ocr")))
     boxed = spans.withColumn("rect", geometry.span_rect(F.col("box"), F.col("text"), F.col("x.start"), F.col("x.end"), adjust=adjust)).filter("rect is not null")
     ys = F.transform("box", lambda p: p["y"])
     placed = boxed.withColumn("y_center", (F.array_min(ys) + F.array_max(ys)) / 2)
-    return geometry.dedupe_rects(geometry.merge_adjacent(placed.select("doc_id", "page", "y_center", "rect"), gap, y_tol))
+    return geometry.merge_adjacent(placed.select("doc_id", "page", "y_center", "rect"), gap, y_tol)
+
+
+def page_scan(lines: DataFrame, rules: list[Rule], adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:
+    """Boxes to cover on pages of recognised lines: spans to boxes, near boxes of a line joined, each box once."""
+    return geometry.dedupe_rects(page_boxes(lines, rules, adjust, gap, y_tol))
+
+
+def page_hits(lines: DataFrame, s: Settings, tokens: DataFrame | None = None, external: DataFrame | None = None, adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:
+    """Boxes of a page scan with their source and rule, after lists and decisions: doc_id, page, ord, rect, text, source, rule_name.
+
+    What the rules find in lines has no text of its own: the allow list looks it up in ``tokens`` (needed with a list) and
+    drops the whole box. Block-listed tokens come with their term as text, and the allow list wins on an equal term. ``external``
+    boxes (seals, manual ones) join behind the lists. Decisions know a box by its document, page (location ``page_<n>``) and edges.
+    """
+    by_place = Window.partitionBy("doc_id", "page").orderBy("rect.x", "rect.y", "rect.w", "rect.h")
+    hits = page_boxes(lines, s.rules, adjust, gap, y_tol).select("doc_id", "page", F.row_number().over(by_place).alias("ord"), "rect", F.lit("").alias("text"), F.lit("ocr").alias("source"), F.lit(IMAGE_RULE).alias("rule_name"))
+    if s.block is not None:
+        hits = hits.unionByName(geometry.block_list_boxes(tokens, s.block))
+    if s.allow is not None:
+        hits = geometry.apply_allow_list_boxes(hits, tokens, s.allow)
+    if external is not None:
+        own = set(external.columns)
+        hits = hits.unionByName(external.select(*(c for c in hits.columns if c in own)), allowMissingColumns=True)
+    if s.decisions is not None:
+        hits = overrides.filter_overridden(with_page_id(hits), s.decisions).drop("hit_id")
+    return hits
+
+
+def with_page_id(hits: DataFrame) -> DataFrame:
+    """Boxes of a page scan with hit_id."""
+    keyed = hits.withColumns({"doc_hash": F.col("doc_id").cast("string"), "location": F.concat(F.lit("page_"), F.col("page").cast("string"))})
+    return overrides.with_hit_id(keyed).drop("doc_hash", "location")
+
+
+def page_scan_with_lists(lines: DataFrame, s: Settings, tokens: DataFrame | None = None, external: DataFrame | None = None, **kw) -> DataFrame:
+    """Each box of ``page_hits`` once, with the sources that found it: doc_id, page, rect, sources."""
+    return page_hits(lines, s, tokens, external, **kw).groupBy("doc_id", "page", "rect").agg(F.array_sort(F.collect_set("source")).alias("sources"))

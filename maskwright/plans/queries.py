@@ -267,6 +267,11 @@ def d10_restore_overrides(spark, sf_dir):
     return overrides.restore_overrides(_stored(spark, sf_dir))[0].select("ord", "hit_id", "action", "scope")
 
 
+@query(f"WITH {STORED} SELECT ord, hit_id, action, scope FROM st WHERE NOT coalesce(good, false)")
+def d10_rejected_overrides(spark, sf_dir):
+    return overrides.restore_overrides(_stored(spark, sf_dir))[1].select("ord", "hit_id", "action", "scope")
+
+
 @query(f"""WITH {STORED}, cur AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND trunc(value - 1) < 19 GROUP BY hit_id),
 nw AS (SELECT hit_id, max_by(action, ord) AS action, max_by(scope, ord) AS scope FROM st WHERE good AND trunc(value - 1) >= 19 GROUP BY hit_id)
 SELECT * FROM nw UNION ALL SELECT * FROM cur WHERE hit_id NOT IN (SELECT hit_id FROM nw)""")
@@ -775,18 +780,71 @@ def e11_dedupe_rects(spark, sf_dir):
     return geometry.dedupe_rects(c).select("doc_id", "rect.x", "rect.y", "rect.w")
 
 
-@query()
+# Hits of both rules as boxes of lines that are 20 apart; boxes of a line whose gap is at most 30 become one.
+PAGE_BOXES = HITS + """, hb AS (SELECT h.doc_id, block_no, start * 5.5 + 1 AS x, greatest(5.0, ("end" - start) * 5.5 - 2) AS w FROM h JOIN b ON b.doc_id = h.doc_id AND b.location = h.location),
+hg AS (SELECT *, max(x + w) OVER (PARTITION BY doc_id, block_no ORDER BY x, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hb),
+hi AS (SELECT *, sum(CASE WHEN reach IS NULL OR x - reach > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_no ORDER BY x, w ROWS UNBOUNDED PRECEDING) AS k FROM hg),
+pb AS (SELECT doc_id, block_no, CAST(min(x) AS DOUBLE) AS x, CAST(block_no * 20.0 AS DOUBLE) AS y, CAST(max(x + w) - min(x) AS DOUBLE) AS w FROM hi GROUP BY doc_id, block_no, k)"""
+
+
+@query(PAGE_BOXES + " SELECT doc_id, 0 AS page, round(x, 4) AS x, y, round(w, 4) AS w, CAST(12 AS DOUBLE) AS h FROM pb")
 def page_scan(spark, sf_dir):
     return _flat(pipelines.page_scan(_lines(spark, sf_dir), PII), "doc_id", "page")
 
 
+def _table(spark, *terms: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in terms], "term string")
+
+
+def _line_tokens(spark, sf_dir) -> DataFrame:
+    """The words of each line as tokens, with boxes by their places."""
+    words = _lines(spark, sf_dir).select("doc_id", "page", "line_no", F.split("text", " ").alias("w"))
+    ends = spans.running_sum(F.transform("w", lambda w: F.length(w) + 1))
+    own = words.withColumn("e", ends).select("doc_id", "page", "line_no", F.posexplode(F.arrays_zip("w", "e")).alias("i", "k")).filter("k.w <> ''")
+    box = geometry.rect((F.col("k.e") - 1 - F.length("k.w")) * 5.5, F.col("line_no") * 20.0, F.length("k.w") * 5.5, F.lit(12))
+    return own.select("doc_id", "page", (F.col("line_no").cast("long") * 1000000 + F.col("i")).alias("tok_no"), F.col("k.w").alias("text"), box.alias("rect"))
+
+
+_ALLOWED, _BLOCKED = ("mail", "password"), ("token", "password", "secret")
+
+
+def _page_lists(spark, sf_dir, decisions: DataFrame | None = None) -> pipelines.Settings:
+    return pipelines.Settings(PII, allow=_table(spark, *_ALLOWED), block=_table(spark, *_BLOCKED), decisions=decisions)
+
+
+def _quality_decisions(hits: DataFrame, spark, sf_dir) -> DataFrame:
+    """A decision for each hit (doc_id, hit_id) of a labelled document: confirmed where the document is good, else ignored."""
+    good = t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return hits.select("doc_id", "hit_id").join(good, "doc_id").select("hit_id", F.when(F.col("quality") == 1, "confirm").otherwise("ignore").alias("action")).distinct()
+
+
+# A box of a rule goes if the first word that holds its middle holds an allowed term; a word's box is listed under its first blocked
+# term (by code points), in which only ``password`` is allowed, and with it all of the box's text.
+PAGE_LISTS = PAGE_BOXES + QUALITY + """, tw AS (SELECT doc_id, block_no, i, ws[i] AS text, CAST((list_sum(list_transform(ws[1:i], lambda x: length(x))) - length(ws[i]) + i - 1) * 5.5 AS DOUBLE) AS x, CAST(length(ws[i]) * 5.5 AS DOUBLE) AS w
+  FROM (SELECT doc_id, block_no, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, block_no, string_split(text, ' ') AS ws FROM b WHERE contains(text, 'token') OR contains(text, 'secret') OR contains(text, 'password') OR EXISTS (SELECT 1 FROM pb WHERE pb.doc_id = b.doc_id AND pb.block_no = b.block_no))) WHERE ws[i] <> ''),
+ro AS (SELECT pb.doc_id, pb.block_no, pb.x, pb.w, min_by(tw.text, tw.i) AS word FROM pb LEFT JOIN tw ON tw.doc_id = pb.doc_id AND tw.block_no = pb.block_no AND pb.x + pb.w / 2 BETWEEN tw.x AND tw.x + tw.w GROUP BY ALL),
+al AS (SELECT doc_id, block_no, x, w, 'ocr' AS source FROM ro WHERE word IS NULL OR NOT contains(word, 'mail') AND NOT contains(word, 'password')
+  UNION ALL SELECT doc_id, block_no, x, w, 'blacklist' FROM tw WHERE (contains(text, 'token') OR contains(text, 'secret')) AND NOT contains(text, 'password'))"""
+
+
+@query(PAGE_LISTS + """ SELECT al.doc_id, 0 AS page, round(x, 4) AS x, CAST(block_no * 20.0 AS DOUBLE) AS y, round(w, 4) AS w, CAST(12 AS DOUBLE) AS h, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+FROM al LEFT JOIN lq ON lq.doc_id = al.doc_id WHERE quality IS NULL OR quality = 1 GROUP BY al.doc_id, block_no, x, w""")
+def page_scan_with_lists(spark, sf_dir):
+    """A page scan with allow list, block list and decisions; the decisions are those on the scan's own boxes in documents with a label."""
+    lines, tokens = _lines(spark, sf_dir), _line_tokens(spark, sf_dir)
+    boxes = pipelines.with_page_id(pipelines.page_hits(lines, _page_lists(spark, sf_dir), tokens))
+    out = pipelines.page_scan_with_lists(lines, _page_lists(spark, sf_dir, _quality_decisions(boxes, spark, sf_dir)), tokens)
+    return _flat(out.withColumn("sources", F.array_join("sources", ",")), "doc_id", "page", "sources")
+
+
 # ---- conflicts and rendering ---------------------------------------------------------------------------------------
 
 # In these two rules' hits nothing overlaps in one block unless a card stands inside an address, so the plan is the hits
 # without those that a better one overlaps; rule order is e-mail, card.
 KEPT = HITS + """, pl AS (SELECT * FROM h a WHERE rule_ord = 3 OR NOT EXISTS (SELECT 1 FROM h b WHERE b.rule_ord = 3 AND b.doc_id = a.doc_id AND b.location = a.location AND b.start < a."end" AND a.start < b."end"))"""
-RENDERED = KEPT + """, cut AS (SELECT doc_id, location, start, "end", row_number() OVER w AS k, coalesce(lag("end") OVER w, 0) AS before, count(*) OVER (PARTITION BY doc_id, location) AS n FROM pl WINDOW w AS (PARTITION BY doc_id, location ORDER BY start)),
+CUT = """, cut AS (SELECT doc_id, location, start, "end", row_number() OVER w AS k, coalesce(lag("end") OVER w, 0) AS before, count(*) OVER (PARTITION BY doc_id, location) AS n FROM pl WINDOW w AS (PARTITION BY doc_id, location ORDER BY start)),
 rd AS (SELECT b.doc_id, b.location, coalesce((SELECT string_agg(substr(b.text, CAST(before + 1 AS BIGINT), CAST(start - before AS BIGINT)) || '*', '' ORDER BY k) || substr(b.text, CAST(max("end") + 1 AS BIGINT)) FROM cut WHERE cut.doc_id = b.doc_id AND cut.location = b.location), b.text) AS redacted FROM b)"""
+RENDERED = KEPT + CUT
 
 
 def _settings() -> pipelines.Settings:
@@ -804,6 +862,23 @@ def word_scan(spark, sf_dir):
     return pipelines.word_scan(blocks(spark, sf_dir), _settings()).select("doc_id", "location", "redacted")
 
 
+# Rule hits are cut where allowed terms stand; blocked terms rank behind every rule; ignored are all hits of documents labelled bad.
+SCAN_LISTS = HITS + QUALITY + """, hr AS (SELECT doc_id, location, start, rule_ord, unnest(range(1, len(gs) + 1)) AS i, gs, ms FROM (SELECT *, string_split_regex(text, 'mail|password') AS gs, regexp_extract_all(text, 'mail|password') AS ms FROM h)),
+tm AS (SELECT unnest(['token', 'secret']) AS term), tp AS (SELECT doc_id, location, term, string_split(text, term) AS gs FROM b JOIN tm ON contains(text, term)), tk AS (SELECT doc_id, location, term, gs, unnest(range(1, len(gs))) AS i FROM tp),
+al AS (SELECT doc_id, location, CAST(start + list_sum(list_transform(gs[1:i], lambda x: length(x))) - length(gs[i]) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, length(gs[i]) AS n, rule_ord FROM hr WHERE gs[i] <> ''
+  UNION ALL SELECT doc_id, location, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + (i - 1) * length(term) AS INTEGER), length(term), 1000 FROM tk),
+kp AS (SELECT al.doc_id, location, start, CAST(start + n AS INTEGER) AS "end", rule_ord FROM al LEFT JOIN lq ON lq.doc_id = al.doc_id WHERE quality IS NULL OR quality = 1),
+pl AS (SELECT * FROM kp a WHERE NOT EXISTS (SELECT 1 FROM kp b WHERE b.doc_id = a.doc_id AND b.location = a.location AND b.start < a."end" AND a.start < b."end" AND b.rule_ord < a.rule_ord))""" + CUT
+
+
+@query(SCAN_LISTS + " SELECT doc_id, location, redacted FROM rd")
+def word_scan_with_lists(spark, sf_dir):
+    """A text scan with allow list, block list and decisions; the decisions are those on the scan's own hits in documents with a label."""
+    b = blocks(spark, sf_dir)
+    hits = overrides.with_hit_id(pipelines.word_hits(b, _page_lists(spark, sf_dir)), "doc_id")
+    return pipelines.word_scan(b, _page_lists(spark, sf_dir, _quality_decisions(hits, spark, sf_dir))).select("doc_id", "location", "redacted")
+
+
 @query(RENDERED + " SELECT doc_id, location, redacted FROM rd")
 def f3_render_redacted(spark, sf_dir):
     return pipelines.redact_rows(blocks(spark, sf_dir), PII).select("doc_id", "location", "redacted")

@@ -149,3 +149,49 @@ def test_layout_and_tokens(spark):
     black = G.block_list_boxes(tok, spark.createDataFrame([("o",)], "term string"), 2.0).collect()
     assert [(tuple(r["rect"]), r["text"], r["source"]) for r in black] == [((0.0, 0.0, 25.0, 5.0), "o", "blacklist")]
     assert G.dedupe_rects(h.union(h)).count() == 3
+
+
+def _page_parts(spark):
+    point = lambda x, y: (float(x), float(y))
+    box = lambda y, n: [point(0, y), point(n * 5.5, y), point(n * 5.5, y + 12), point(0, y + 12)]
+    texts = ["mail a@b.org here", "card 4111111111111111", "my token is secret", ""]
+    lines = spark.createDataFrame([(d, 0, k, t, box(k * 20, len(t))) for d in (1, 2) for k, t in enumerate(texts)], "doc_id long, page int, line_no int, text string, box array<struct<x:double,y:double>>")
+    tokens = []
+    for d in (1, 2):
+        for k, t in enumerate(texts):
+            at = 0
+            for i, w in enumerate(t.split(" ")):
+                tokens.append((d, 0, k * 100 + i, w, (at * 5.5, k * 20.0, len(w) * 5.5, 12.0)))
+                at += len(w) + 1
+    return lines, spark.createDataFrame(tokens, "doc_id long, page int, tok_no long, text string, rect struct<x:double,y:double,w:double,h:double>")
+
+
+def test_page_scan_with_lists_and_decisions(spark):
+    lines, tokens = _page_parts(spark)
+    pii = [r for r in DEFAULT_RULES if r.rule_name in ("银行卡号", "电子邮箱")]
+    table = lambda *xs: spark.createDataFrame([(x,) for x in xs], "term string")
+    key = lambda df: sorted((r["doc_id"], r["rect"]["y"], tuple(r["sources"])) for r in df.collect())
+    plain = pipelines.Settings(pii)
+    found = key(pipelines.page_scan_with_lists(lines, plain))
+    assert found == [(d, y, ("ocr",)) for d in (1, 2) for y in (0.0, 20.0)]
+    # An allowed term drops the whole box whose word it stands in, and wins over the same blocked term.
+    lists = pipelines.Settings(pii, allow=table("@b", "secret"), block=table("token", "secret"))
+    listed = [(d, y, (source,)) for d in (1, 2) for y, source in ((20.0, "ocr"), (40.0, "blacklist"))]
+    many = pipelines.Settings(pii, allow=table("@b", "secret", *(f"absent {k}" for k in range(60))), block=table("token", "secret", *(f"absent {k}" for k in range(60))))
+    assert key(pipelines.page_scan_with_lists(lines, many, tokens)) == listed
+    none = pipelines.Settings(pii, allow=table("", " "), block=table())
+    assert key(pipelines.page_scan_with_lists(lines, none, tokens)) == found
+    # Decisions drop a box by its place; seals join behind the lists, a manual box can't be ignored.
+    hits = pipelines.with_page_id(pipelines.page_hits(lines, lists, tokens))
+    ignored = hits.filter("doc_id = 1").select("hit_id", F.lit("ignore").alias("action"))
+    seals = spark.createDataFrame([(1, 0, (1.0, 1.0, 9.0, 9.0), "", "seal", "x"), (1, 0, (1.0, 1.0, 9.0, 9.0), "", "manual", "y")], "doc_id long, page int, rect struct<x:double,y:double,w:double,h:double>, text string, source string, other string")
+    decided = pipelines.Settings(pii, allow=lists.allow, block=lists.block, decisions=ignored)
+    assert key(pipelines.page_scan_with_lists(lines, decided, tokens, seals)) == [(1, 1.0, ("manual", "seal")), (2, 20.0, ("ocr",)), (2, 40.0, ("blacklist",))]
+    gone = ignored.unionByName(pipelines.with_page_id(seals).select("hit_id", F.lit("ignore").alias("action")))
+    assert key(pipelines.page_scan_with_lists(lines.filter("false"), pipelines.Settings(pii, decisions=gone), tokens, seals)) == [(1, 1.0, ("manual",))]
+
+
+def test_boxes_once_and_in_order(spark):
+    r = lambda x: (float(x), 0.0, 5.0, 5.0)
+    df = spark.createDataFrame([(2, 0, r(1)), (1, 0, r(9)), (1, 0, r(3)), (1, 0, r(9))], "doc_id long, page int, rect struct<x:double,y:double,w:double,h:double>")
+    assert [(x["doc_id"], x["rect"]["x"]) for x in G.dedupe_rects(df, ordered=True).collect()] == [(1, 3.0), (1, 9.0), (2, 1.0)]
