@@ -390,32 +390,6 @@ def c1_find_spans_pages(spark, sf_dir):
     return detect.find_spans(pages, PII).select("doc_id", "start", "text")
 
 
-def _digit_rule(name: str, keep: str) -> str:
-    return f"WITH {BLOCKS}, " + sql_spans("c", "b", "[0-9]+", keep) + f" SELECT doc_id, location, '{name}' AS rule_name, start, m AS text FROM c"
-
-
-def _one_rule(name: str):
-    def run(spark, sf_dir):
-        return detect.find_spans(blocks(spark, sf_dir), [R[name]]).select("doc_id", "location", "rule_name", "start", "text")
-
-    return run
-
-
-for _name, _key, _sql in (
-    ("身份证号", "c2_national_id", _digit_rule("身份证号", "(length(m.) = 15 OR length(m.) = 18 AND regexp_full_match(m., '[1-9][0-9]{5}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{4}'))")),
-    ("手机号码", "c3_mobile", _digit_rule("手机号码", "length(m.) = 11 AND regexp_full_match(m., '1[3-9][0-9]{9}')")),
-    ("日期时间", "c4_date", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[0-9]{4}[年\-.][0-9]{1,2}[月\-.][0-9]{1,2}日?") + " SELECT doc_id, location, '日期时间' AS rule_name, start, m AS text FROM c"),
-    ("电子邮箱", "c5_email", f"WITH {BLOCKS}, " + sql_spans("c", "b", EMAIL) + " SELECT doc_id, location, '电子邮箱' AS rule_name, start, m AS text FROM c"),
-    ("银行卡号", "c6_card", _digit_rule("银行卡号", CARD_KEEP)),
-    ("地址（含门牌号）", "c7_address", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[一-龥]{2,15}(?:省|市|自治区|特别行政区)[一-龥0-9\s,]{4,40}[0-9]+号") + " SELECT doc_id, location, '地址（含门牌号）' AS rule_name, start, m AS text FROM c"),
-    ("固定电话", "c8_landline", None),
-    ("法定代表人", "c9_representative", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"法定代表人\s*[:：]?\s*[一-龥]{2,4}(?:·[一-龥]{2,4})?") + " SELECT doc_id, location, '法定代表人' AS rule_name, start, m AS text FROM c"),
-):
-    QUERIES[_key] = _one_rule(_name)
-    if _sql:
-        ORACLE_SQL[_key] = _sql
-
-
 @query("WITH b AS (SELECT conv_id AS doc_id, 'turn_' || turn AS location, text FROM conversations), " + sql_spans("c", "b", "(?i)ther") + " SELECT doc_id, location, start, m AS text FROM c")
 def c10_find_keywords(spark, sf_dir):
     return detect.find_keywords(turns(spark, sf_dir), ["ther"]).select("doc_id", "location", "start", "text")
@@ -546,9 +520,8 @@ p AS (SELECT k, CASE WHEN k % 5 = 0 THEN '9' ELSE '' END AS x, '110101' || CAST(
 q AS (SELECT k, x, unnest(['身份证号', '手机号码', '日期时间', '固定电话', '地址（含门牌号）', '法定代表人']) AS rule_name, unnest([id, mobile, day, phone, address, person]) AS m, unnest([1, 1, 0, 1, 0, 0]) AS digits FROM p)"""
 
 
-@query(f"WITH {CHINESE} SELECT k AS doc_id, rule_name, 3 AS start, CAST(3 + length(m) AS INTEGER) AS \"end\", m AS text FROM q WHERE digits = 0 OR x = ''")
-def c2_c9_rules_on_orders(spark, sf_dir):
-    """Each of the rules for national ids, mobiles, dates, landlines, addresses and representatives on a sentence of its own for every order."""
+def _order_sentences(spark, sf_dir) -> dict[str, DataFrame]:
+    """For every order and rule a sentence: doc_id, location, text."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     number = lambda c, n: F.lpad(c.cast("string"), n, "0")
     extra = F.when(k % 5 == 0, "9").otherwise("")
@@ -561,10 +534,45 @@ def c2_c9_rules_on_orders(spark, sf_dir):
         "法定代表人": F.concat(F.lit("由 \n"), F.lit("法定代表人：王小明")),
     }
     o = t(spark, sf_dir, "orders")
-    parts = [detect.find_spans(o.select(k.alias("doc_id"), F.lit("").alias("location"), text.alias("text")), [R[name]]) for name, text in made.items()]
+    return {name: o.select(k.alias("doc_id"), F.lit("order").alias("location"), text.alias("text")) for name, text in made.items()}
+
+
+@query(f"WITH {CHINESE} SELECT k AS doc_id, rule_name, 3 AS start, CAST(3 + length(m) AS INTEGER) AS \"end\", m AS text FROM q WHERE digits = 0 OR x = ''")
+def c2_c9_rules_on_orders(spark, sf_dir):
+    """Each of the rules for national ids, mobiles, dates, landlines, addresses and representatives on a sentence of its own for every order."""
+    parts = [detect.find_spans(b, [R[name]]) for name, b in _order_sentences(spark, sf_dir).items()]
     return reduce(DataFrame.unionByName, parts).select("doc_id", "rule_name", "start", "end", "text")
 
 
+# Each rule over all lines of all documents, and over the sentences for it that orders make.
+def _digit_rule(name: str, keep: str) -> str:
+    return f"WITH {BLOCKS}, " + sql_spans("c", "b", "[0-9]+", keep) + f" SELECT doc_id, location, '{name}' AS rule_name, start, m AS text FROM c"
+
+
+def _one_rule(name: str):
+    def run(spark, sf_dir):
+        b = blocks(spark, sf_dir).select("doc_id", "location", "text")
+        own = _order_sentences(spark, sf_dir).get(name)
+        return detect.find_spans(b if own is None else b.unionByName(own), [R[name]]).select("doc_id", "location", "rule_name", "start", "text")
+
+    return run
+
+
+for _name, _key, _sql in (
+    ("身份证号", "c2_national_id", _digit_rule("身份证号", "(length(m.) = 15 OR length(m.) = 18 AND regexp_full_match(m., '[1-9][0-9]{5}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{4}'))")),
+    ("手机号码", "c3_mobile", _digit_rule("手机号码", "length(m.) = 11 AND regexp_full_match(m., '1[3-9][0-9]{9}')")),
+    ("日期时间", "c4_date", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[0-9]{4}[年\-.][0-9]{1,2}[月\-.][0-9]{1,2}日?") + " SELECT doc_id, location, '日期时间' AS rule_name, start, m AS text FROM c"),
+    ("电子邮箱", "c5_email", f"WITH {BLOCKS}, " + sql_spans("c", "b", EMAIL) + " SELECT doc_id, location, '电子邮箱' AS rule_name, start, m AS text FROM c"),
+    ("银行卡号", "c6_card", _digit_rule("银行卡号", CARD_KEEP)),
+    ("地址（含门牌号）", "c7_address", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[一-龥]{2,15}(?:省|市|自治区|特别行政区)[一-龥0-9\s,]{4,40}[0-9]+号") + " SELECT doc_id, location, '地址（含门牌号）' AS rule_name, start, m AS text FROM c"),
+    ("固定电话", "c8_landline", None),
+    ("法定代表人", "c9_representative", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"法定代表人\s*[:：]?\s*[一-龥]{2,4}(?:·[一-龥]{2,4})?") + " SELECT doc_id, location, '法定代表人' AS rule_name, start, m AS text FROM c"),
+):
+    QUERIES[_key] = _one_rule(_name)
+    if _sql:
+        ORACLE_SQL[_key] = _sql if _key in ("c5_email", "c6_card") else _sql.replace(" SELECT doc_id, location, '", f", {CHINESE} SELECT doc_id, location, '") + f" UNION ALL SELECT k, 'order', rule_name, 3, m FROM q WHERE rule_name = '{_name}' AND (digits = 0 OR x = '')"
+
+
 @query(f"""WITH {BLOCKS}, p AS (SELECT doc_id, block_no AS page, trim(text) <> '' AS txt, contains(text, ',') AS img FROM b)
 SELECT doc_id, page, 'text' AS channel FROM p WHERE txt UNION ALL SELECT doc_id, page, 'image' FROM p WHERE img UNION ALL SELECT doc_id, page, 'page' FROM p WHERE NOT txt AND NOT img""")
 def c19_pick_channels(spark, sf_dir):
