@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from maskwright.operators.lists import with_own_terms
 from maskwright.operators.rules import first_seen
 
 MIN_WIDTH = 5.0
+#: Boxes of a fold's result are gathered in stretches of so many, so that a step copies no more than one.
+STRETCH = 256
+#: A box that meets more cells is not dealt to them.
+MANY_CELLS = 256
 
 
 def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -86,14 +94,16 @@ def merge_adjacent(hits: DataFrame, gap: float = 30, y_tol: float = 8) -> DataFr
     """
     page = ["doc_id", "page"]
     kind = "array<struct<a:double,rect:struct<x:double,y:double,w:double,h:double>>>"
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
 
     def step(acc: Column, h: Column) -> Column:
         a = F.when(acc["a"].isNull() | (h["y"] - acc["a"] > y_tol), h["y"]).otherwise(acc["a"])
-        return F.struct(a.alias("a"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), h["rect"].alias("rect"))).cast(kind)).alias("out"))
+        full, own = F.size(acc["last"]) >= STRETCH, F.array(F.struct(a.alias("a"), h["rect"].alias("rect"))).cast(kind)
+        last, done = F.when(full, own).otherwise(F.concat(acc["last"], own)), F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
+        return F.struct(a.alias("a"), last.alias("last"), done.alias("done"))
 
     rows = hits.filter("y_center is not null and rect is not null").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("y_center").cast("double").alias("y"), "rect"))).alias("_hits"))
-    own = rows.select(*page, F.explode(F.aggregate("_hits", start, step, lambda acc: acc["out"])).alias("k")).select(*page, F.col("k.a").alias("_line"), F.col("k.rect").alias("rect"))
+    own = rows.select(*page, F.explode(F.aggregate("_hits", start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]))))).alias("k")).select(*page, F.col("k.a").alias("_line"), F.col("k.rect").alias("rect"))
     order = Window.partitionBy(*page, "_line").orderBy("rect.x", "rect.y", "rect.w", "rect.h")
     reach = F.max(F.col("rect.x") + F.col("rect.w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = own.withColumn("_reach", reach).withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | (F.col("rect.x") - F.col("_reach") > gap), 1).otherwise(0)).over(order))
@@ -105,27 +115,101 @@ def merge_adjacent(hits: DataFrame, gap: float = 30, y_tol: float = 8) -> DataFr
 def collapse_touching(hits: DataFrame, pad: float = 2) -> DataFrame:
     """Boxes that touch the first box of a group join it; a group keeps its first text and rule and the box around all.
 
-    Greedy and in order (``ord``), so a fold over the boxes of a page. Hits: doc_id, page, ord, rect, text, source, rule_name.
+    Greedy and in order (``ord``, equal ones by box and texts), so a page's boxes stream past its first boxes, which are looked up by
+    the cells they meet: a page costs its boxes and not boxes by groups, and only first boxes are held. A box with a coordinate that is null or not finite
+    stands alone. Hits: doc_id, page, ord, rect, text, source, rule_name.
     """
-    row = F.struct("ord", "rect", "text", "source", "rule_name")
-    groups = "array<struct<first:struct<x:double,y:double,w:double,h:double>,x0:double,y0:double,x1:double,y1:double,ord:int,text:string,source:string,rule_name:string>>"
-    apart = lambda a, b: (a["x"] + a["w"] + pad < b["x"]) | (b["x"] + b["w"] + pad < a["x"]) | (a["y"] + a["h"] + pad < b["y"]) | (b["y"] + b["h"] + pad < a["y"])
-
-    def grown(g: Column, r: Column, first: Column | None = None) -> Column:
-        x0, y0, x1, y1 = r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]
-        if first is None:
-            x0, y0, x1, y1 = F.least(g["x0"], x0), F.least(g["y0"], y0), F.greatest(g["x1"], x1), F.greatest(g["y1"], y1)
-        own = g if first is None else first
-        return F.struct((own["first"] if first is None else first["rect"]).alias("first"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), own["ord"].cast("int").alias("ord"), own["text"].alias("text"), own["source"].alias("source"), own["rule_name"].alias("rule_name"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.array_position(F.transform(acc, lambda g: ~apart(g["first"], x["rect"])), F.lit(True)).cast("int")
-        return F.when(near > 0, F.transform(acc, lambda g, k: F.when(k == near - 1, grown(g, x["rect"])).otherwise(g))).otherwise(F.concat(acc, F.array(grown(x, x["rect"], x))))
-
-    folded = hits.groupBy("doc_id", "page").agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(groups), step).alias("gs"))
-    g = folded.select("doc_id", "page", F.explode("gs").alias("g"))
-    box = rect(F.col("g.x0"), F.col("g.y0"), F.col("g.x1") - F.col("g.x0"), F.col("g.y1") - F.col("g.y0"))
-    return g.select("doc_id", "page", F.col("g.ord").alias("ord"), box.alias("rect"), "g.text", "g.source", "g.rule_name")
+    r = F.col("rect")
+    read = hits.select("doc_id", "page", F.col("ord").cast("int").alias("ord"), rect(r["x"], r["y"], r["w"], r["h"]).alias("rect"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "rule_name")))
+    by_page = read.repartition("doc_id", "page").sortWithinPartitions(*read.columns)
+    places = by_page.select(*read.columns, *(F.col(f"rect.{c}").alias(f"_{c}") for c in "xywh"))
+    kept, names = ["doc_id", "page", "ord", "text", "source", "rule_name"], read.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, groups, rows = None, _Groups(pad), []
+
+        def done() -> pa.RecordBatch:
+            own, around = pa.Table.from_batches(rows).combine_chunks(), groups.boxes()
+            columns = {c: own.column(c).combine_chunks() for c in kept}
+            columns["rect"] = pa.StructArray.from_arrays([pa.array([b[i] for b in around], pa.float64()) for i in range(4)], list("xywh"))
+            return pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+
+        for b in batches:
+            keys = list(zip(b.column("doc_id").to_pylist(), b.column("page").to_pylist()))
+            firsts = []
+            for k, box in enumerate(zip(*(b.column(f"_{c}").to_pylist() for c in "xywh"))):
+                if keys[k] != page:
+                    page = keys[k]
+                    groups.turn_page()
+                if groups.add(box):
+                    firsts.append(k)
+            if firsts:
+                rows.append(b.select(kept).take(pa.array(firsts)))
+            if groups.finished():
+                # all but the open page's groups go out; those stay until it ends
+                whole, n = pa.Table.from_batches(rows), groups.finished()
+                rest = whole.slice(n).to_batches()
+                rows[:] = whole.slice(0, n).to_batches()
+                open_ = groups.split()
+                yield done()
+                rows[:], groups = rest, open_
+        if rows:
+            yield done()
+
+    return places.mapInArrow(run, read.schema)
+
+
+class _Groups:
+    """Groups of touching boxes, page after page; only first boxes are held, by the cells of the open page that they meet."""
+
+    def __init__(self, pad: float):
+        self.pad, self.around, self.start, self.grid, self.wide = pad, [], 0, {}, []
+
+    def turn_page(self) -> None:
+        self.start, self.grid, self.wide = len(self.around), {}, []
+
+    def finished(self) -> int:
+        """Groups of pages that have ended."""
+        return self.start
+
+    def split(self) -> _Groups:
+        """Take the open page's groups out, as an object of their own."""
+        out, n = _Groups(self.pad), self.start
+        out.around, self.around = self.around[n:], self.around[:n]
+        out.grid = {c: [g - n for g in own] for c, own in self.grid.items()}
+        out.wide = [g - n for g in self.wide]
+        return out
+
+    def boxes(self) -> list[tuple]:
+        return [a[4] if a[5] is None else (a[5][0], a[5][1], a[5][2] - a[5][0], a[5][3] - a[5][1]) for a in self.around]
+
+    def add(self, box: tuple) -> bool:
+        """Whether the box is the first of a new group; else it joins the earliest whose first box it touches."""
+        x, y, w, h = box
+        if any(v is None or not math.isfinite(v) for v in box):
+            self.around.append((0, 0, 0, 0, box, None))
+            return True
+        x1, y1 = x + w + self.pad, y + h + self.pad
+        gx, gy = ((math.floor(min(p, q) / CELL), math.floor(max(p, q) / CELL)) for p, q in ((x, x1), (y, y1)))
+        large = (gx[1] - gx[0] + 1) * (gy[1] - gy[0] + 1) > MANY_CELLS  # such a box is compared with all first boxes, and each box with it
+        cells = [] if large else [(i, j) for i in range(gx[0], gx[1] + 1) for j in range(gy[0], gy[1] + 1)]
+        near = range(self.start, len(self.around)) if large else {g for c in cells for g in self.grid.get(c, ())}.union(self.wide)
+        touched = None
+        for g in near:
+            a = self.around[g]
+            if a[5] is not None and not (a[2] < x or x1 < a[0] or a[3] < y or y1 < a[1]) and (touched is None or g < touched):
+                touched = g
+        if touched is not None:
+            low = self.around[touched][5]
+            low[:] = min(low[0], x), min(low[1], y), max(low[2], x + w), max(low[3], y + h)
+            return False
+        g = len(self.around)
+        self.around.append((x, y, x1, y1, box, [x, y, x + w, y + h]))
+        for c in cells:
+            self.grid.setdefault(c, []).append(g)
+        if large:
+            self.wide.append(g)
+        return True
 
 
 #: Side of the cells that boxes of a page are dealt to.

@@ -230,3 +230,53 @@ def test_rule_lists_in_chunks(spark):
     docs = ", ".join(own[k]["docs"] for k in sorted(own))
     assert docs == ", ".join(f"{d}:{2 if d < 203 else 1}" for d in range(997)) and max(r["n_docs"] for r in got) == 100 and len(own) == 10
     assert sorted((r["rule_index"], r["docs"], r["n_docs"]) for r in got if r["rule_index"] > 0) == [(1, "5:2", 1), (2, report.NO_HIT, 0)]
+
+
+def touching(rows, pad=2):
+    """Groups by comparing each box with every first box."""
+    groups = []
+    for x, y, w, h in rows:
+        for g in groups:
+            a, b, c, d = g[0]
+            if not (a + c + pad < x or x + w + pad < a or b + d + pad < y or y + h + pad < b):
+                g.append((x, y, w, h))
+                break
+        else:
+            groups.append([(x, y, w, h)])
+    around = lambda g: (min(r[0] for r in g), min(r[1] for r in g), max(r[0] + r[2] for r in g), max(r[1] + r[3] for r in g))
+    return [(a, b, c - a, d - b) for a, b, c, d in map(around, groups)]
+
+
+BOXES = "doc_id long, page int, ord int, rect struct<x:double,y:double,w:double,h:double>, text string, source string, rule_name string"
+
+
+def test_touching_boxes_by_cells_are_the_greedy_rule(spark):
+    rng = random.Random(5)
+    pages = []
+    for page in range(6):
+        spread, size = [(60, 9), (900, 30), (900, 3), (5, 0), (4000, 400), (300, 40)][page]
+        rows = [tuple(float(v) for v in (rng.randint(-spread, spread), rng.randint(-spread, spread), rng.randint(-1, size), rng.randint(0, size))) for _ in range(150)]
+        rows += [(-5000.0, -5000.0, 9000.0, 5.0)] * 2 + rows[:9] + [(float(-spread), 0.0, 1e9, 0.5)]
+        rng.shuffle(rows)
+        pages.append(rows)
+    df = spark.createDataFrame([(1, p, k, r, None, "ocr", None) for p, rows in enumerate(pages) for k, r in enumerate(rows)], BOXES)
+    got = geometry.collapse_touching(df.repartition(7)).collect()
+    for p, rows in enumerate(pages):
+        assert [tuple(r["rect"]) for r in sorted((r for r in got if r["page"] == p), key=lambda r: r["ord"])] == touching(rows)
+
+
+def test_boxes_without_place_stand_alone(spark):
+    rows = [(None, 0, 0, (0.0, 0.0, 5.0, 5.0), "a", "s", "r"), (None, 0, 1, (None, 0.0, 5.0, 5.0), "b", "s", "r"), (None, 0, 2, (float("nan"), 0.0, 5.0, 5.0), None, "s", "r"), (None, 0, None, None, "d", None, "r"), (None, 0, 3, (0.0, 0.0, float("inf"), 5.0), "e", "s", "r"), (None, 0, 4, (1.0, 1.0, 1.0, 1.0), "f", "s", "r")]
+    df = spark.createDataFrame(rows, BOXES)
+    got = geometry.collapse_touching(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(str(r["text"]) for r in got.collect()) == ["None", "a", "b", "d", "e"] and geometry.collapse_touching(df.filter("false")).count() == 0
+
+
+def test_a_page_of_many_boxes(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), F.col("id").cast("int").alias("ord"), geometry.rect(F.col("id") % 400 * 10, F.floor(F.col("id") / 400) * 20, F.lit(9), F.lit(9)).alias("rect"), F.lit("t").alias("text"), F.lit("ocr").alias("source"), F.lit("r").alias("rule_name"))
+    began = time.time()
+    # in a row of 400 each third box is out of reach of the one before: a first box reaches one neighbour
+    assert geometry.collapse_touching(df).count() == n // 2
+    assert time.time() - began < 60
