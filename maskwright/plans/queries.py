@@ -58,6 +58,16 @@ def sql_spans(name: str, source: str, pattern: str, keep: str = "true", keys: st
 
 
 CARD_KEEP = "length(m.) BETWEEN 13 AND 19 AND m.[1] <> '0'"
+ID_KEEP = "(length(m.) = 15 OR length(m.) = 18 AND regexp_full_match(m., '[1-9][0-9]{5}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{4}'))"
+MOBILE_KEEP = "length(m.) = 11 AND regexp_full_match(m., '1[3-9][0-9]{9}')"
+DATE = r"[0-9]{4}[年\-.][0-9]{1,2}[月\-.][0-9]{1,2}日?"
+ADDRESS = r"[一-龥]{2,15}(?:省|市|自治区|特别行政区)[一-龥0-9\s,]{4,40}[0-9]+号"
+PERSON = r"法定代表人\s*[:：]?\s*[一-龥]{2,4}(?:·[一-龥]{2,4})?"
+# A landline starts where a run of digits does, and what follows it is matched as one character more; of those that overlap the first counts.
+LANDLINE = sql_spans("l", "b", r"\p{Nd}+") + r""",
+la AS (SELECT doc_id, location, start, regexp_extract(substr(t, start + 1, 15), '^(0\p{Nd}{2,3}[-\s\v\x{85}\p{Z}]?[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{7,8})(?:[^\p{Nd}]|$)', 1) AS m FROM l),
+lb AS (SELECT doc_id, location, list_reduce(list([struct_pack(s := start, e := start + length(m), m := m)] ORDER BY start), lambda a, x: CASE WHEN x[1].s >= a[-1].e THEN list_concat(a, x) ELSE a END) AS own FROM la WHERE m <> '' GROUP BY doc_id, location),
+ph AS (SELECT doc_id, location, u.s AS start, u.m AS m FROM (SELECT doc_id, location, unnest(own) AS u FROM lb))"""
 HITS = (
     "WITH "
     + BLOCKS
@@ -378,7 +388,14 @@ def pii_hits(spark, sf_dir):
     return detect.find_spans(blocks(spark, sf_dir), PII).select("doc_id", "location", "rule_name", "start", "end", "text")
 
 
-@query()
+def _default_rules_sql() -> str:
+    """Every default rule over all lines; runs of digits are cut once."""
+    ctes = [BLOCKS, sql_spans("n", "b", "[0-9]+"), sql_spans("e", "b", EMAIL), sql_spans("d", "b", DATE), sql_spans("ad", "b", ADDRESS), sql_spans("pe", "b", PERSON), LANDLINE]
+    rows = [("身份证号", "n", ID_KEEP), ("手机号码", "n", MOBILE_KEEP), ("银行卡号", "n", CARD_KEEP), ("电子邮箱", "e", "true"), ("日期时间", "d", "true"), ("地址（含门牌号）", "ad", "true"), ("法定代表人", "pe", "true"), ("固定电话", "ph", "true")]
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT doc_id, location, '{name}' AS rule_name, start, CAST(start + length(m) AS INTEGER) AS \"end\", m AS text FROM {cte} WHERE {keep.replace('m.', 'm')}" for name, cte, keep in rows)
+
+
+@query(_default_rules_sql())
 def c1_default_rules(spark, sf_dir):
     active = rules.active_rules(rules.default_rules(spark))
     return detect.find_spans(blocks(spark, sf_dir), active).select("doc_id", "location", "rule_name", "start", "end", "text")
@@ -549,6 +566,10 @@ def _digit_rule(name: str, keep: str) -> str:
     return f"WITH {BLOCKS}, " + sql_spans("c", "b", "[0-9]+", keep) + f" SELECT doc_id, location, '{name}' AS rule_name, start, m AS text FROM c"
 
 
+def _pattern_rule(name: str, pattern: str) -> str:
+    return f"WITH {BLOCKS}, " + sql_spans("c", "b", pattern) + f" SELECT doc_id, location, '{name}' AS rule_name, start, m AS text FROM c"
+
+
 def _one_rule(name: str):
     def run(spark, sf_dir):
         b = blocks(spark, sf_dir).select("doc_id", "location", "text")
@@ -559,14 +580,14 @@ def _one_rule(name: str):
 
 
 for _name, _key, _sql in (
-    ("身份证号", "c2_national_id", _digit_rule("身份证号", "(length(m.) = 15 OR length(m.) = 18 AND regexp_full_match(m., '[1-9][0-9]{5}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{4}'))")),
-    ("手机号码", "c3_mobile", _digit_rule("手机号码", "length(m.) = 11 AND regexp_full_match(m., '1[3-9][0-9]{9}')")),
-    ("日期时间", "c4_date", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[0-9]{4}[年\-.][0-9]{1,2}[月\-.][0-9]{1,2}日?") + " SELECT doc_id, location, '日期时间' AS rule_name, start, m AS text FROM c"),
-    ("电子邮箱", "c5_email", f"WITH {BLOCKS}, " + sql_spans("c", "b", EMAIL) + " SELECT doc_id, location, '电子邮箱' AS rule_name, start, m AS text FROM c"),
+    ("身份证号", "c2_national_id", _digit_rule("身份证号", ID_KEEP)),
+    ("手机号码", "c3_mobile", _digit_rule("手机号码", MOBILE_KEEP)),
+    ("日期时间", "c4_date", _pattern_rule("日期时间", DATE)),
+    ("电子邮箱", "c5_email", _pattern_rule("电子邮箱", EMAIL)),
     ("银行卡号", "c6_card", _digit_rule("银行卡号", CARD_KEEP)),
-    ("地址（含门牌号）", "c7_address", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"[一-龥]{2,15}(?:省|市|自治区|特别行政区)[一-龥0-9\s,]{4,40}[0-9]+号") + " SELECT doc_id, location, '地址（含门牌号）' AS rule_name, start, m AS text FROM c"),
-    ("固定电话", "c8_landline", None),
-    ("法定代表人", "c9_representative", f"WITH {BLOCKS}, " + sql_spans("c", "b", r"法定代表人\s*[:：]?\s*[一-龥]{2,4}(?:·[一-龥]{2,4})?") + " SELECT doc_id, location, '法定代表人' AS rule_name, start, m AS text FROM c"),
+    ("地址（含门牌号）", "c7_address", _pattern_rule("地址（含门牌号）", ADDRESS)),
+    ("固定电话", "c8_landline", f"WITH {BLOCKS}, {LANDLINE} SELECT doc_id, location, '固定电话' AS rule_name, start, m AS text FROM ph"),
+    ("法定代表人", "c9_representative", _pattern_rule("法定代表人", PERSON)),
 ):
     QUERIES[_key] = _one_rule(_name)
     if _sql:

@@ -1,5 +1,7 @@
+import datetime as dt
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans
 from maskwright.operators import detect, names
 from maskwright.operators.rules import DEFAULT_RULES, Rule, active_rules, default_rules, keywords_to_rules, normalize_replace_rules
+from maskwright.plans import queries
 
 TEXTS = [
     "身份证 110101199003074513 号",
@@ -139,3 +142,16 @@ def test_kept_runs(spark, text, terms, want):
 def test_text_width(spark):
     df = spark.createDataFrame([("ab12",), ("中文",), ("中a",), ("㐀豈",), ("",)], "t string")
     assert [round(r[0], 4) for r in df.select(spans.text_width(F.col("t"))).collect()] == [2.2, 2.0, 1.55, 2.0, 0.0]
+
+
+def test_landlines_sql_on_texts_where_matches_overlap(spark, tmp_path):
+    texts = ["012-01234567 x", "0123-0123-01234567", "010 12345678901", "010 1234567", "0101234567890 010-ab1234c5", "9010-12345678", "０10-12345678", "010　12345678中", "a\n\n010-1234567é-010-12345678", "", None, "0000-00000000-0000-0000000"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, dt.date(1995, 1, 2))], "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "orders"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("c8_landline", "c1_default_rules"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5
