@@ -14,7 +14,7 @@ scores and a running mean, done inside Arrow batches over whole texts, without a
 Defined results: null and empty texts and those of white space hold no insult and have score ``EMPTY_SCORE`` whatever the labels
 are (a rate of the sample would be near 0.5 once both labels are thinned); labels that are null or whose
 document is absent are not used; a document with several labels is toxic if one says so; without labels every score is 0;
-ids may repeat; other columns are not read.
+ids may repeat, and training then takes one text of an id, that of the least hash; other columns are not read.
 """
 
 from __future__ import annotations
@@ -192,8 +192,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     picked = own.filter(draw < share[F.col("y")])
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter(F.length("text") <= max_chars)
-    rows = read.join(F.broadcast(picked.limit(4 * max_docs)), "id").select("id", "text", "y").limit(4 * max_docs).collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
+    most = picked.withColumn("draw", draw).orderBy("draw", "id").limit(4 * max_docs)  # about half of these, so that the limit is no more than a bound
+    rows = read.join(F.broadcast(most), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -408,6 +408,18 @@ def test_empty_texts_are_clean_at_any_size(spark):
         assert got == [(0.0, 0)] * 3
 
 
+def test_training_reads_the_same_texts_in_every_layout(spark):
+    """Also where one id holds most rows: it gives one text."""
+    rows = [(7, f"text {k}") for k in range(900)] + [(i, f"own {i}") for i in range(60)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    read = lambda df: toxicity.sample(df, lab, "doc_id", "text", "toxic", 10, 100)
+    first = read(d.repartition(3))
+    assert first == read(d.repartition(7, "text")) == read(d.orderBy(d.text.desc())) and 0 < len(first) <= 40
+    every = toxicity.sample(d, lab, "doc_id", "text", "toxic", 1000, 100)
+    assert sum(t.startswith("text") for t, _ in every) <= 1 and len(every) == len({t for t, _ in every})
+
+
 def alphabets(n):
     """Letters of n made-up languages, six of 26 each."""
     rng = np.random.default_rng(7)
