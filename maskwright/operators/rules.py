@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,27 +51,22 @@ def keywords_to_rules(df: DataFrame, col: str, payload: list[str] | None = None)
     return words.withColumn("pattern", F.concat(F.lit("\\Q"), "rule_name", F.lit("\\E")))
 
 
-def _valid(spark, patterns: list[str]) -> set[str]:
-    """Patterns that compile and do not match the empty text. Only a syntax error makes a pattern invalid; any other failure is raised."""
-    java, good = spark._jvm.java.util.regex.Pattern, set()
-    for p in patterns:
-        try:
-            compiled = java.compile(FLAGS + p)
-        except IllegalArgumentException:  # what compile raises for a pattern's syntax
-            continue
-        if not compiled.matcher("").find():
-            good.add(p)
-    return good
+def active_rule_table(rules: DataFrame) -> DataFrame:
+    """The rules that are searched for: enabled, not blank, not the seal's, valid (Java syntax) and never empty matches.
 
+    Each pattern is compiled in its row's task, so a table may have any number of rules. Java calls all that stops it from compiling, too
+    deep a nesting included, an error of syntax.
+    """
+    on = rules.filter(F.coalesce("enabled", F.lit(True)) & (F.trim("pattern") != "") & (F.col("pattern") != SEAL))
+    flagged = F.concat(F.lit(FLAGS), F.col("pattern"))
+    tried = on.withColumn("_compiles", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), flagged).isNotNull())
+    return tried.filter(F.when(F.col("_compiles"), ~F.regexp_like(F.lit(""), flagged)).otherwise(F.lit(False))).drop("_compiles")
 
-def active_rules(rules: DataFrame) -> list[Rule]:
-    """The rules that are searched for, in order: enabled, not blank, not the seal's, valid (Java syntax) and never empty matches.
 
-    Rules are settings: they are few, and each one's pattern is tried once on the driver.
-    """
-    rows = rules.filter(F.coalesce("enabled", F.lit(True)) & (F.trim("pattern") != "") & (F.col("pattern") != SEAL)).orderBy("rule_ord").collect()
-    good = _valid(rules.sparkSession, sorted({r["pattern"] for r in rows}))
-    return [Rule(r["rule_ord"], r["rule_name"], r["pattern"], True, r["description"] or "") for r in rows if r["pattern"] in good]
+def active_rules(rules: DataFrame) -> list[Rule]:
+    """The rules of ``active_rule_table`` in order, as settings of a scan, which are few."""
+    rows = active_rule_table(rules).orderBy("rule_ord").collect()
+    return [Rule(r["rule_ord"], r["rule_name"], r["pattern"], True, r["description"] or "") for r in rows]
 
 
 def default_rules(spark) -> DataFrame:

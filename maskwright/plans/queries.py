@@ -354,8 +354,7 @@ def b2_active_rules(spark, sf_dir):
     kind = F.col("c_custkey") % 7
     pattern = F.when(kind == 1, "  ").when(kind == 2, rules.SEAL).when(kind == 3, F.concat("c_name", F.lit("("))).when(kind == 4, "(?:x|y)*").otherwise(F.concat(F.lit("\\Q"), "c_name", F.lit("\\E")))
     table = c.select(F.col("c_custkey").cast("int").alias("rule_ord"), F.col("c_name").alias("rule_name"), pattern.alias("pattern"), F.when(kind == 6, None).otherwise(kind != 5).alias("enabled"), F.lit("").alias("description"))
-    active = rules.active_rules(table)
-    return spark.createDataFrame([(r.rule_ord, r.rule_name) for r in active], "rule_ord int, rule_name string")
+    return rules.active_rule_table(table).select("rule_ord", "rule_name")
 
 
 def _external(spark, sf_dir) -> DataFrame:
