@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from maskwright.sources import config, corpus
-from maskwright.streaming import jobs
+from maskwright.streaming import jobs, queries as streams
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -103,3 +103,14 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_versioned_lists_read_documents_in_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(k, f"a{k} x{k}@mail.org\nb y{k}@host17.org 62170000{k:08d} z{k}@host.org") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(streams, "own_dir", lambda spark, name: f"{tmp_path}/own")
+    got = streams.s3_versioned_lists(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(k, x) for k in range(40) if k % 3 for x in (f"z{k}@host.org", f"62170000{k:08d}") if "17" not in x}
+    # no task read all documents, for the stream's input or for its lists
+    for folder in ("found", "in/part_0", "in/part_1"):
+        assert len(spark.read.parquet(f"{tmp_path}/own/{folder}").inputFiles()) > 1
