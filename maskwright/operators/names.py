@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from maskwright.operators.detect import NAME_RULE, find_exact
+from maskwright.sources.shared import stored
 
 #: Tokens of a batch between a tagger and Spark.
 ROWS = 10_000
@@ -65,7 +66,15 @@ def inject_names(blocks: DataFrame, names: DataFrame, patterns: list[str] = (),
 
 
 def name_source_text(pages: DataFrame, lines: DataFrame, least: int = 50) -> DataFrame:
-    """Text to look for names in: a page's own, or its recognised lines where it has image blocks and under ``least`` characters."""
-    joined = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_lines"))
-    short = (F.length(F.trim(F.coalesce("text", F.lit("")))) < least) & F.col("has_images")
-    return pages.join(joined, ["doc_id", "page"], "left").withColumn("text", F.when(short & F.col("_lines").isNotNull(), F.col("_lines")).otherwise(F.col("text"))).drop("_lines")
+    """Text to look for names in: a page's own, or its recognised lines where it has image blocks and under ``least`` characters.
+
+    The pages that ask for lines are stored first, so Spark knows their size: lines of others go before they are moved, by a broadcast if these
+    pages are few, and pages with a text of their own never move.
+    """
+    short = F.coalesce((F.length(F.trim(F.coalesce("text", F.lit("")))) < least) & F.col("has_images"), F.lit(False))
+    asking = stored(pages.filter(short), "pages")
+    own = lines.join(asking.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    joined = own.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("_lines"))
+    read = asking.join(joined, ["doc_id", "page"], "left").withColumn("text", F.coalesce("_lines", "text"))
+    columns = ["doc_id", "page", *(c for c in pages.columns if c not in ("doc_id", "page"))]
+    return pages.filter(~short).select(columns).unionByName(read.select(columns))

@@ -99,6 +99,17 @@ def test_unique_then_expand_hits_refused_occurrences(spark):
     assert [(r["start"], r["rule_name"], r["ord"]) for r in rows] == [(0, "13812345678", 0), (13, "13812345678", 0)]
 
 
+def test_lines_of_pages_with_a_text_are_not_moved(spark):
+    pages = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), F.when(F.col("id") % 100 == 0, F.lit("")).otherwise(F.lit("x" * 60)).alias("text"), F.when(F.col("id") != 100, True).alias("has_images"))
+    lines = pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("line_no")).withColumn("text", F.col("line_no").cast("string"))
+    out = names.name_source_text(pages, lines)
+    assert out.columns == pages.columns and out.count() == 1000
+    want = "\n".join(map(str, range(21)))
+    assert {r["doc_id"]: r["text"] for r in out.filter("doc_id % 100 = 0").collect()} == {k: "" if k == 100 else want for k in range(0, 1000, 100)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
 def test_names(spark):
     rows = [("王小明", "nr"), ("王小明", "nr"), ("李", "nr"), ("原告", "nr"), ("陈述", "nrt"), ("赵钱孙李周", "nr"), ("张三", "n"), ("司马光", "nrfg")]
     tok = spark.createDataFrame([(1, "p", i, w, f) for i, (w, f) in enumerate(rows)], "doc_id long, location string, tok_no int, word string, flag string")
