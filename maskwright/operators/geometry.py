@@ -13,6 +13,7 @@ from maskwright.functions.spans import kept_runs, piece, text_width
 from maskwright.operators.detect import BLOCK_PREFIX, with_terms
 from maskwright.operators.lists import with_own_terms
 from maskwright.operators.rules import first_seen
+from maskwright.sources.shared import stored
 
 MIN_WIDTH = 5.0
 #: Boxes of a fold's result are gathered in stretches of so many, so that a step copies no more than one.
@@ -224,9 +225,10 @@ def resolve_text(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     """Boxes with ``resolved``: the first token whose box holds the middle of the hit's, or the empty text. Hits need ``ord`` for their identity on a page.
 
     A token goes into each cell of the page's grid that its box meets, a hit's middle lies in one, and they meet by cell: a page
-    costs its tokens and hits, not their product.
+    costs its tokens and hits, not their product. Tokens of pages without a hit go first.
     """
-    t = tokens.select("doc_id", "page", F.col("tok_no"), F.col("text").alias("_t"), F.col("rect").alias("_r")).filter("_r.w >= 0 and _r.h >= 0")
+    here = tokens.join(hits.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    t = here.select("doc_id", "page", F.col("tok_no"), F.col("text").alias("_t"), F.col("rect").alias("_r")).filter("_r.w >= 0 and _r.h >= 0")
     across = lambda at, size: F.explode(F.sequence(_cell(F.col(at)), _cell(F.col(at) + F.col(size))))
     dealt = t.withColumn("_gx", across("_r.x", "_r.w")).withColumn("_gy", across("_r.y", "_r.h"))
     cx, cy = F.col("rect.x") + F.col("rect.w") / 2, F.col("rect.y") + F.col("rect.h") / 2
@@ -242,6 +244,7 @@ def apply_allow_list_boxes(hits: DataFrame, tokens: DataFrame, terms: Column | D
     an empty table nothing changes."""
     if isinstance(terms, DataFrame) and terms.filter(F.trim("term") != "").isEmpty():
         return hits
+    hits = stored(hits, "boxes")  # they are read three times, and Spark knows their size when they meet the tokens
     own = lambda df: with_own_terms(df, terms) if isinstance(terms, DataFrame) else (df, terms)
     held = lambda t: F.exists(t, lambda x: F.contains("text", x))
     looked_up = resolve_text(hits.filter("text = '' and source <> 'manual'"), tokens)

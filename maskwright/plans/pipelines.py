@@ -71,7 +71,8 @@ def redact_rows(blocks: DataFrame, rules: list[Rule], terms: list[str] = (), def
 
 def page_boxes(lines: DataFrame, rules: list[Rule], adjust: float = 0.0, gap: float = 30, y_tol: float = 8) -> DataFrame:
     """Boxes of what the rules find in recognised lines, near boxes of a line joined: doc_id, page, rect."""
-    spans = lines.withColumn("x", F.explode(detect.hits_in(F.col("text"), rules, "ocr")))
+    found = detect.hits_in(F.col("text"), rules, "ocr")
+    spans = lines.filter(F.size(found) > 0).withColumn("x", F.explode(found))  # lines without a hit go before their boxes are worked out
     boxed = spans.withColumn("rect", geometry.span_rect(F.col("box"), F.col("text"), F.col("x.start"), F.col("x.end"), adjust=adjust)).filter("rect is not null")
     ys = F.transform("box", lambda p: p["y"])
     placed = boxed.withColumn("y_center", (F.array_min(ys) + F.array_max(ys)) / 2)
@@ -99,9 +100,12 @@ def page_hits(lines: DataFrame, s: Settings, tokens: DataFrame | None = None, ex
     if external is not None:
         own = set(external.columns)
         hits = hits.unionByName(external.select(*(c for c in hits.columns if c in own)), allowMissingColumns=True)
-    if s.decisions is not None:
-        hits = overrides.filter_overridden(with_page_id(hits), s.decisions).drop("hit_id")
-    return hits
+    return hits if s.decisions is None else decided(hits, s.decisions)
+
+
+def decided(hits: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Boxes of a page scan without those that a decision ignores."""
+    return overrides.filter_overridden(with_page_id(hits), decisions).drop("hit_id")
 
 
 def with_page_id(hits: DataFrame) -> DataFrame:
@@ -112,4 +116,9 @@ def with_page_id(hits: DataFrame) -> DataFrame:
 
 def page_scan_with_lists(lines: DataFrame, s: Settings, tokens: DataFrame | None = None, external: DataFrame | None = None, **kw) -> DataFrame:
     """Each box of ``page_hits`` once, with the sources that found it: doc_id, page, rect, sources."""
-    return page_hits(lines, s, tokens, external, **kw).groupBy("doc_id", "page", "rect").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return by_box(page_hits(lines, s, tokens, external, **kw))
+
+
+def by_box(hits: DataFrame) -> DataFrame:
+    """Each box once: doc_id, page, rect, sources."""
+    return hits.groupBy("doc_id", "page", "rect").agg(F.array_sort(F.collect_set("source")).alias("sources"))

@@ -12,7 +12,7 @@ from maskwright.functions import spans
 from maskwright.operators import detect, geometry, lists, names, overrides, report, resolve, rules
 from maskwright.plans import pipelines
 from maskwright.sources import config, corpus, sink
-from maskwright.sources.shared import own_dir
+from maskwright.sources.shared import own_dir, stored
 
 R = {r.rule_name: r for r in rules.DEFAULT_RULES}
 EMAIL = R["电子邮箱"].pattern
@@ -860,8 +860,8 @@ FROM al LEFT JOIN lq ON lq.doc_id = al.doc_id WHERE quality IS NULL OR quality =
 def page_scan_with_lists(spark, sf_dir):
     """A page scan with allow list, block list and decisions; the decisions are those on the scan's own boxes in documents with a label."""
     lines, tokens = _lines(spark, sf_dir), _line_tokens(spark, sf_dir)
-    boxes = pipelines.with_page_id(pipelines.page_hits(lines, _page_lists(spark, sf_dir), tokens))
-    out = pipelines.page_scan_with_lists(lines, _page_lists(spark, sf_dir, _quality_decisions(boxes, spark, sf_dir)), tokens)
+    hits = stored(pipelines.page_hits(lines, _page_lists(spark, sf_dir), tokens), "boxes")  # one scan serves the decisions and the result
+    out = pipelines.by_box(pipelines.decided(hits, _quality_decisions(pipelines.with_page_id(hits), spark, sf_dir)))
     return _flat(out.withColumn("sources", F.array_join("sources", ",")), "doc_id", "page", "sources")
 
 

@@ -1,3 +1,4 @@
+import re
 import random
 
 from pyspark.sql import functions as F
@@ -166,6 +167,16 @@ def _page_parts(spark):
     return lines, spark.createDataFrame(tokens, "doc_id long, page int, tok_no long, text string, rect struct<x:double,y:double,w:double,h:double>")
 
 
+def test_tokens_of_pages_without_a_box_are_not_moved(spark):
+    box = lambda x: G.rect(x, F.lit(0), F.lit(20), F.lit(10))
+    tokens = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tok_no")).withColumns({"text": F.concat(F.lit("t"), "tok_no"), "rect": box(F.col("tok_no") * 20)})
+    hits = spark.range(0, 2000, 500).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), F.lit(1).alias("ord"), box(F.lit(60) + F.col("id") / 25).alias("rect"), F.lit("").alias("text"), F.lit("ocr").alias("source"), F.lit("r").alias("rule_name"))
+    out = G.apply_allow_list_boxes(hits, tokens, F.array(F.lit("t4")))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 1000, 1500]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin [^\n]*LeftSemi", plan)
+
+
 def test_page_scan_with_lists_and_decisions(spark):
     lines, tokens = _page_parts(spark)
     pii = [r for r in DEFAULT_RULES if r.rule_name in ("银行卡号", "电子邮箱")]
