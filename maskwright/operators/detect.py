@@ -77,32 +77,31 @@ def term_shards(terms: DataFrame) -> Iterator[list[str]]:
 def _automaton(terms: list[str]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for k, t in enumerate(terms):
-        out.add_word(t, (k, t))
+        out.add_word(t, (k, len(t)))
     out.make_automaton()
     return out
 
 
 def _found_in(terms: list[str], payload: list[str]):
-    def found(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
-        out, free = [], {}
-        for last, (k, t) in automaton.iter(text):
-            start = last + 1 - len(t)
-            if start >= free.get(k, 0):  # occurrences of one term do not overlap
-                free[k] = last + 1
-                out.append({"start": start, "term": t})
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(terms)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("term", pa.string())]))
+        automaton, names = _automaton(terms), pa.array(terms, pa.string())
         for b in batches:
-            texts, rows, hits = b.column("_text"), [], []
+            # the places of a batch as flat lists: starts, numbers of terms, and where a row's own begin
+            texts, rows, starts, which, ends = b.column("_text"), [], [], [], [0]
             for k in range(len(b)):
-                if own := found(texts[k].as_py() or "", automaton):
+                free = {}
+                for last, (t, size) in automaton.iter(texts[k].as_py() or ""):
+                    start = last + 1 - size
+                    if start >= free.get(t, 0):  # occurrences of one term do not overlap
+                        free[t] = last + 1
+                        starts.append(start)
+                        which.append(t)
+                if len(starts) > ends[-1]:
                     rows.append(k)
-                    hits.append(own)
+                    ends.append(len(starts))
             kept = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in payload), pa.array(hits, kind)], [*payload, "found"])
+            places = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), names.take(pa.array(which, pa.int32()))], ["start", "term"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in payload), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], [*payload, "found"])
 
     return run
 
@@ -138,9 +137,9 @@ def scan_block_list(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     if _few(own):
         pairs = with_terms(blocks, own, ["doc_id", "location", "text"])
         return find_exact(pairs, "term", "blacklist", case=True, rule_name=F.concat(F.lit(BLOCK_PREFIX), "term")).withColumn("pattern", F.lit(None).cast("string"))
-    place = lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["term"])).alias("end"), x["term"].alias("text"))
-    one = lambda x: hit(place(x), "blacklist", F.concat(F.lit(BLOCK_PREFIX), x["term"]), F.lit(None), F.lit(None).cast("string"))
-    return _rows(find_terms(blocks, own, ["doc_id", "location"]), F.transform("found", one))
+    place = F.struct(F.col("y.start").alias("start"), (F.col("y.start") + F.length("y.term")).alias("end"), F.col("y.term").alias("text"))
+    one = hit(place, "blacklist", F.concat(F.lit(BLOCK_PREFIX), "y.term"), F.lit(None), F.lit(None).cast("string"))
+    return find_terms(blocks, own, ["doc_id", "location"]).select("doc_id", "location", F.explode("found").alias("y")).select("doc_id", "location", one.alias("x")).select("doc_id", "location", "x.*")
 
 
 def unique_then_expand(blocks: DataFrame, rules: list[Rule], source: str = "rule") -> DataFrame:

@@ -1,5 +1,5 @@
-import re
 import random
+import re
 
 from pyspark.sql import functions as F
 

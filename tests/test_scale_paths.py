@@ -1,6 +1,7 @@
 """Paths that only long blocks, long lists and repeated deliveries take, held against the plain ones."""
 
 import datetime as dt
+import itertools
 import random
 import time
 
@@ -280,3 +281,21 @@ def test_a_page_of_many_boxes(spark):
     # in a row of 400 each third box is out of reach of the one before: a first box reaches one neighbour
     assert geometry.collapse_touching(df).count() == n // 2
     assert time.time() - began < 60
+
+
+def test_hits_of_many_terms_are_columns(spark):
+    terms = spark.createDataFrame([(f"w{k}w",) for k in range(40)], "term string")
+    b = spark.createDataFrame([(1, "p", "w1w1w w2w😀w1w"), (2, "p", None), (3, "p", "none"), (4, "p", "w39w")], "doc_id long, location string, text string")
+    out = detect.scan_block_list(b, terms)
+    want = [(1, 0, 3, "w1w"), (1, 6, 9, "w2w"), (1, 10, 13, "w1w"), (4, 0, 4, "w39w")]
+    assert sorted((r["doc_id"], r["start"], r["end"], r["text"]) for r in out.collect()) == want
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # no function is called for each hit
+
+
+def test_running_combinations_go_on_over_chunks(spark):
+    rows = [([(k * 7919) % 101 - 50 for k in range(n)],) for n in (0, 1, 127, 128, 129, 257, 1000)]
+    df = spark.createDataFrame([*rows, (None,)], "v array<int>")
+    for of, f in ((lambda a, b: a + b, lambda a, b: a + b), (F.greatest, max), (F.least, min)):
+        out = df.select("v", spans.running(F.col("v"), of).alias("r"))
+        assert all(r["r"] == (None if r["v"] is None else list(itertools.accumulate(r["v"], f))) for r in out.collect())
+        assert "LOG2" not in out._jdf.queryExecution().optimizedPlan().toString().upper()  # one pass, not one for each doubling
