@@ -20,11 +20,26 @@ def let(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), lambda x: of(x)), F.lit(0))
 
 
+#: Values that a running combination gathers before it appends them.
+CHUNK = 128
+
+
 def running(values: Column, combine) -> Column:
-    """Running combination (``combine`` of two columns: sum, greatest, least) of an array by doubling steps: n * log2(n) work, and no array is copied for each element."""
-    n = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int")
-    steps = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, combine(x, F.get(acc, i - d))).otherwise(x)))
+    """Running combination (``combine`` of two columns: sum, greatest, least) of an array without nulls: one pass by chunks, as Spark copies what a fold
+    holds at each step, so a value costs no more than a chunk."""
+    none = lambda v: F.slice(v, F.lit(1), F.lit(0))
+    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(combine(x, F.get(acc, F.size(acc) - 1)), x)))
+
+    def chunk(v: Column, acc: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(acc, k - 1), none(v))  # its last value goes on
+        own = F.aggregate(F.slice(v, k * CHUNK + 1, F.lit(CHUNK)), F.slice(before, F.greatest(F.size(before), F.lit(1)), F.lit(1)), step)
+        return F.concat(acc, F.array(F.when(k == 0, own).otherwise(F.slice(own, F.lit(2), F.lit(CHUNK)))))
+
+    def of(v: Column) -> Column:
+        long = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), F.slice(F.array(v), F.lit(1), F.lit(0)), lambda acc, k: chunk(v, acc, k))
+        return F.when(F.size(v) <= CHUNK, F.aggregate(v, none(v), step)).otherwise(F.flatten(long))
+
+    return let(values, of)
 
 
 def running_sum(values: Column) -> Column:

@@ -25,7 +25,7 @@ def _own(x: Column) -> Column:
 
 def _one_by_one(candidates: Column) -> Column:
     apart = lambda acc, x: ~F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"]))
-    return F.array_sort(F.aggregate(candidates, F.array().cast(PLAN), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(_own(x)))).otherwise(acc)))
+    return F.sort_array(F.aggregate(candidates, F.array().cast(PLAN), lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(_own(x)))).otherwise(acc)))
 
 
 def _sweep(places: Column) -> Column:
@@ -59,7 +59,7 @@ def _by_level(candidates: Column) -> Column:
         new = F.transform(own, lambda x, i: F.struct(place(x, 1).alias("p"), i.alias("i")))
         key = lambda x: F.struct(x["p"]["start"].alias("start"), x["p"]["new"].alias("new"), x["i"].alias("i"), x["p"]["item"].alias("item"))
         both = F.transform(F.concat(held, new), key)
-        return F.when(F.size(taken) == 0, both).otherwise(F.array_sort(both))
+        return F.when(F.size(taken) == 0, both).otherwise(F.sort_array(both))
 
     def freed(places: Column) -> Column:
         begins = F.transform(F.reverse(places), lambda x: F.when(x["new"] == 0, x["start"]).otherwise(F.lit(2**31 - 1)))
@@ -189,7 +189,7 @@ def plan_in(hits: Column, rank: int, exact_first: bool = False) -> Column:
     """The plan of one text's hits of one channel, without leaving the row; ``rank`` is the channel's."""
     mode = (lambda x: F.when(x["mode"] == "regex", 1).otherwise(0)) if exact_first else (lambda x: F.lit(0))
     row = lambda x: F.struct(F.lit(rank).alias("rank"), mode(x).alias("m"), x["rule_ord"].alias("rule"), x["start"].alias("start"), (x["start"] - x["end"]).alias("size"), x["end"].alias("end"), x["source"].alias("source"), x["rule_name"].alias("rule_name"), x["replacement"].alias("replacement"), x["channel"].alias("channel"), x["rule_ord"].alias("rule_ord"))
-    return greedy(F.array_sort(F.transform(hits, row)))
+    return greedy(F.sort_array(F.transform(hits, row)))
 
 
 def batch_replace(blocks: DataFrame, rules: list[dict], default: str = "*") -> DataFrame:
