@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from maskwright.operators.rules import first_seen
 from maskwright.sources.shared import stored
 
 MIN_WIDTH = 5.0
-#: Boxes of a fold's result are gathered in stretches of so many, so that a step copies no more than one.
-STRETCH = 256
+#: Boxes for a task where their number is known.
+TASK_BOXES = 1_000_000
+SIDES = ("x0", "y0", "x1", "y1")
+RECT = pa.struct([pa.field(c, pa.float64()) for c in "xywh"])
 #: A box that meets more cells is not dealt to them.
 MANY_CELLS = 256
 
@@ -86,31 +90,95 @@ def kept_span_rect(r: Column, text: Column, start: Column, end: Column) -> Colum
     return F.when(ok, rect(r["x"] + text_width(piece(text, F.lit(0), start)) / total * r["w"], r["y"], w, r["h"]))
 
 
-def merge_adjacent(hits: DataFrame, gap: float = 30, y_tol: float = 8) -> DataFrame:
+def merge_adjacent(hits: DataFrame, gap: float = 30, y_tol: float = 8, expected: int | None = None) -> DataFrame:
     """Boxes of one line whose horizontal gap is small, joined: doc_id, page, rect. Hits: doc_id, page, y_center, rect.
 
     Lines: in order of y a box joins the first line whose first y is near, so what counts is that anchor and not the neighbour;
-    with boxes in order only the latest anchor can be near, so a running fold over the page's boxes finds them. Inside a
-    line, gaps and islands over x, in the same exchange by page. Hits are read once.
+    with boxes in order only the latest anchor can be near. Inside a line, gaps and islands over x. Boxes are moved and sorted once, by
+    page, and stream in that order; of the open line only its islands are held. ``expected``: about how many hits there are, where
+    this is known; then the number of tasks grows with them, otherwise Spark's settings decide.
     """
-    page = ["doc_id", "page"]
-    kind = "array<struct<a:double,rect:struct<x:double,y:double,w:double,h:double>>>"
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
-
-    def step(acc: Column, h: Column) -> Column:
-        a = F.when(acc["a"].isNull() | (h["y"] - acc["a"] > y_tol), h["y"]).otherwise(acc["a"])
-        full, own = F.size(acc["last"]) >= STRETCH, F.array(F.struct(a.alias("a"), h["rect"].alias("rect"))).cast(kind)
-        last, done = F.when(full, own).otherwise(F.concat(acc["last"], own)), F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
-        return F.struct(a.alias("a"), last.alias("last"), done.alias("done"))
-
-    rows = hits.filter("y_center is not null and rect is not null").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("y_center").cast("double").alias("y"), "rect"))).alias("_hits"))
-    own = rows.select(*page, F.explode(F.aggregate("_hits", start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]))))).alias("k")).select(*page, F.col("k.a").alias("_line"), F.col("k.rect").alias("rect"))
-    order = Window.partitionBy(*page, "_line").orderBy("rect.x", "rect.y", "rect.w", "rect.h")
-    reach = F.max(F.col("rect.x") + F.col("rect.w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = own.withColumn("_reach", reach).withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | (F.col("rect.x") - F.col("_reach") > gap), 1).otherwise(0)).over(order))
-    x0, y0 = F.min("rect.x"), F.min("rect.y")
-    box = rect(x0, y0, F.max(F.col("rect.x") + F.col("rect.w")) - x0, F.max(F.col("rect.y") + F.col("rect.h")) - y0)
-    return islands.groupBy(*page, "_line", "_island").agg(box.alias("rect")).drop("_line", "_island")
+    own = rect(*(F.col(f"rect.{c}") for c in "xywh"))
+    sides = {"x0": own["x"], "y0": own["y"], "x1": own["x"] + own["w"], "y1": own["y"] + own["h"]}
+    real = hits.filter("y_center is not null and rect is not null")
+    read = real.select("doc_id", "page", F.col("y_center").cast("double").alias("at"), *(v.alias(c) for c, v in sides.items()))
+    tasks = (expected or 0) // TASK_BOXES
+    dealt = read.repartition(tasks, "doc_id", "page") if tasks > hits.sparkSession.sparkContext.defaultParallelism else read.repartition("doc_id", "page")
+    schema = hits.select("doc_id", "page", own.alias("rect")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, 1
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= due:
+                boxes, rest = _islands(pa.Table.from_batches(held).combine_chunks(), gap, y_tol)
+                held, n, due = rest.to_batches(), rest.num_rows, 2 * rest.num_rows  # a long line is not gone through for each batch
+                yield from boxes.to_batches()
+        if n:
+            yield from _islands(pa.Table.from_batches(held).combine_chunks(), gap, y_tol, last=True)[0].to_batches()
+
+    return dealt.sortWithinPartitions("doc_id", "page", "at", "x0", "y0", "x1").mapInArrow(run, schema)
+
+
+def _opens(at: np.ndarray, turned: np.ndarray, y_tol: float) -> np.ndarray:
+    """Which boxes open a line. at: their y in order, turned: the first ones of a page. Equal y, also not finite ones, are of one line."""
+    alike = (at[1:] == at[:-1]) | (np.isnan(at[1:]) & np.isnan(at[:-1]))
+    opens = turned.copy()
+    opens[1:] |= ~alike & ~(at[1:] - at[:-1] <= y_tol)
+    # a box far from its neighbour opens a line; between such boxes, a line ends where the anchor is no longer near
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(at)) - 1
+    wide = at[last] - at[first] > y_tol
+    for i, j in zip(first[wide].tolist(), last[wide].tolist()):
+        anchor = at[i]
+        for k, y in enumerate(at[i : j + 1].tolist(), i):
+            if y - anchor > y_tol:
+                opens[k], anchor = True, y
+    return opens
+
+
+def _islands(rows: pa.Table, gap: float, y_tol: float, last: bool = False) -> tuple[pa.Table, pa.Table]:
+    """Joined boxes of the lines that have ended, and what must be held of the last line. Null sides count for nothing, NaN is above all."""
+    n = rows.num_rows
+    if not n:
+        return rows.select(["doc_id", "page"]).append_column("rect", pa.array([], RECT)), rows
+    keys = [pc.dictionary_encode(rows.column(c).chunk(0), null_encoding="encode").indices.to_numpy() for c in ("doc_id", "page")]
+    turned = np.append(True, np.logical_or(*(k[1:] != k[:-1] for k in keys)))
+    at = rows.column("at").to_numpy()
+    value = {c: rows.column(c).to_numpy() for c in SIDES}
+    known = {c: rows.column(c).is_valid().to_numpy() for c in SIDES}
+    with np.errstate(invalid="ignore"):
+        opens = _opens(at, turned, y_tol)
+        line = np.cumsum(opens) - 1
+        order = np.lexsort([*(k for c in ("x1", "y0", "x0") for k in (np.where(known[c], value[c], 0), known[c])), line])
+        v, ok = {c: value[c][order] for c in SIDES}, {c: known[c][order] for c in SIDES}
+        first = np.flatnonzero(opens)
+        longest = np.diff(np.append(first, n)).max()
+        # reach: the furthest right side among the boxes of the line that come before
+        reach, step = np.where(ok["x1"], v["x1"], -np.inf), 1
+        while step < longest:
+            reach[step:] = np.where(line[step:] == line[:-step], np.maximum(reach[step:], reach[:-step]), reach[step:])
+            step *= 2
+        reach = np.append(-np.inf, reach[:-1])
+        before = np.cumsum(ok["x1"]) - ok["x1"]
+        none = before == before[first][line]
+        start = np.flatnonzero(none | (ok["x0"] & ~(v["x0"] - reach <= gap)))
+    has = {c: np.logical_or.reduceat(ok[c], start) for c in SIDES}
+    side = {c: np.fmin.reduceat(np.where(ok[c], v[c], np.nan), start) for c in ("x0", "y0")}
+    side |= {c: np.maximum.reduceat(np.where(ok[c], v[c], -np.inf), start) for c in ("x1", "y1")}
+    names = rows.select(["doc_id", "page"]).take(pa.array(order[start]))
+    open_ = first[-1]
+    done = len(start) if last else int(np.searchsorted(start, open_))
+    with np.errstate(invalid="ignore"):
+        parts = {c: (side[c], ~has[c]) for c in ("x0", "y0")} | {c: (side[f"{a}1"] - side[f"{a}0"], ~(has[f"{a}0"] & has[f"{a}1"])) for c, a in (("w", "x"), ("h", "y"))}
+    box = pa.StructArray.from_arrays([pa.array(p[:done], mask=m[:done]) for p, m in (parts[c] for c in ("x0", "y0", "w", "h"))], fields=list(RECT))
+    boxes = names.slice(0, done).append_column("rect", box)
+    # islands stand for their boxes: what comes later in the line only widens or joins them, unless a side is null or not finite
+    if all(np.isfinite(value[c][open_:]).all() for c in SIDES):
+        held = [pa.array(np.full(len(start) - done, at[open_])), *(pa.array(side[c][done:]) for c in SIDES)]
+        return boxes, pa.table([*names.slice(done).columns, *held], schema=rows.schema)
+    return boxes, rows.slice(open_)
 
 
 def collapse_touching(hits: DataFrame, pad: float = 2) -> DataFrame:

@@ -750,7 +750,7 @@ CELLS = f"""cu AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITIO
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x - reach > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, y ORDER BY x, w, ord ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT doc_id, min(x) AS x, y, max(x + w) - min(x) AS w, CAST(12 AS DOUBLE) AS h FROM i GROUP BY doc_id, y, k""")
 def e6_merge_adjacent(spark, sf_dir):
-    return _flat(geometry.merge_adjacent(_cells(spark, sf_dir)), "doc_id")
+    return _flat(geometry.merge_adjacent(_cells(spark, sf_dir), expected=t(spark, sf_dir, "lineitem").count()), "doc_id")
 
 
 @query(HITS + """, s AS (SELECT doc_id, location, start, text, string_split(text, '4') AS gs FROM h), k AS (SELECT doc_id, location, start, text, gs, unnest(range(1, len(gs) + 1)) AS i FROM s)

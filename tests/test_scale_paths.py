@@ -297,3 +297,68 @@ def test_conflicts_are_sorted_without_a_function(spark):
     out = resolve.batch_replace(b, rules).select("doc_id", "redacted")
     assert sorted(map(tuple, out.collect())) == [(1, "<> <> " * 30), (2, "<> <>")]
     assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+BOXES = "doc_id long, page int, y_center double, rect struct<x:double,y:double,w:double,h:double>"
+
+
+def merged_one_by_one(rows, gap=30, tol=8):
+    pages = {}
+    for d, p, y, r in rows:
+        pages.setdefault((d, p), []).append((y, r))
+    out = []
+    for own in pages.values():
+        lines = []
+        for y, r in sorted(own):
+            if not lines or y - lines[-1][0] > tol:
+                lines.append((y, []))
+            lines[-1][1].append(r)
+        for _, rects in lines:
+            islands = []
+            for x, y, w, h in sorted(rects):
+                if islands and x - islands[-1][2] <= gap:
+                    x0, y0, x1, y1 = islands[-1]
+                    islands[-1] = (x0, min(y0, y), max(x1, x + w), max(y1, y + h))
+                else:
+                    islands.append((x, y, x + w, y + h))
+            out += [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in islands]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_boxes_of_a_line_are_joined_over_batches(spark, batch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), 0, rng.randrange(300) / 3, (float(rng.randrange(9000)), float(rng.randrange(60)), float(rng.randrange(1, 40)), 10.0)) for _ in range(1500)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, batch)
+    try:
+        got = sorted(tuple(r["rect"]) for r in geometry.merge_adjacent(spark.createDataFrame(rows, BOXES).repartition(3)).collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == merged_one_by_one(rows)
+
+
+def test_boxes_with_unknown_sides_are_joined_as_before(spark):
+    nan = float("nan")
+    rows = [(1, 0, 5.0, (None, 0.0, 9.0, 9.0)), (1, 0, 5.0, (0.0, None, 10.0, 9.0)), (1, 0, 6.0, (20.0, 3.0, None, 9.0)), (1, 0, 7.0, (90.0, 0.0, 5.0, 9.0)), (2, 0, 5.0, (0.0, 0.0, nan, 9.0)), (2, 0, 5.0, (1.0, 0.0, 5.0, 9.0)), (3, 0, None, (0.0, 0.0, 1.0, 1.0)), (3, 0, 1.0, None)]
+    got = sorted(repr((r["doc_id"], *r["rect"])) for r in geometry.merge_adjacent(spark.createDataFrame(rows, BOXES)).collect())
+    assert got == ["(1, 0.0, 3.0, 10.0, 9.0)", "(1, 90.0, 0.0, 5.0, 9.0)", "(1, None, 0.0, None, 9.0)", "(2, 0.0, 0.0, nan, 9.0)", "(2, 1.0, 0.0, 5.0, 9.0)"]
+
+
+def test_boxes_are_moved_and_sorted_once_and_tasks_grow_with_them(spark, monkeypatch):
+    x = F.col("id") % 90_000
+    df = spark.range(100_000).select((F.col("id") % 1000).alias("doc_id"), F.lit(0).alias("page"), (F.col("id") % 7 * 20.0).alias("y_center"), geometry.rect(x, F.lit(0), F.lit(5), F.lit(5)).alias("rect"))
+    once = geometry.merge_adjacent(df)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    monkeypatch.setattr(geometry, "TASK_BOXES", 5_000)
+    dealt = geometry.merge_adjacent(df, expected=100_000)
+    assert dealt.select(F.spark_partition_id()).distinct().count() == 20
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, once.collect()))
+
+
+def test_a_page_of_many_boxes_is_joined_in_seconds(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), (F.col("id") % 4 * 3.0).alias("y_center"), geometry.rect(F.col("id") * 20, F.lit(0), F.when(F.col("id") % 10 == 0, 0).otherwise(30), F.lit(9)).alias("rect"))
+    began = time.time()
+    assert geometry.merge_adjacent(df, gap=25).count() > 1 and time.time() - began < 60
